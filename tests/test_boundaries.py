@@ -1,0 +1,97 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import types as T
+
+from tierview.functions.boundaries import (
+    PLACEHOLDERS,
+    SENTINELS,
+    Boundary,
+    BoundaryError,
+    from_value,
+    parse_boundary,
+    sentinel,
+    validate_targets,
+)
+
+GOOD = [
+    ("2025-11-12 00:00:00", "datetime", "2025-11-12 00:00:00"),
+    ("'2025-11-12 00:00:00'", "datetime", "2025-11-12 00:00:00"),
+    ("2025-11-12 7:08:09", "datetime", "2025-11-12 07:08:09"),
+    ("2025-11-12 00:00:00.5", "datetime", "2025-11-12 00:00:00.500000"),
+    ("2025-11-12 00:00:00,25", "datetime", "2025-11-12 00:00:00.250000"),
+    ("2025-11-12 00:00:00.0000001", "datetime", "2025-11-12 00:00:00.000001"),
+    ("2025-11-12 00:00:00.0000000", "datetime", "2025-11-12 00:00:00"),
+    ("2025-11-12 23:59:59.9999999", "datetime", "2025-11-13 00:00:00"),
+    ("2025-11-12", "DATE", "2025-11-12"),
+    ("'2025-11-12'", "date", "2025-11-12"),
+    ("1731369600", "bigint", "1731369600"),
+    ("-5", "bigint", "-5"),
+    ("+5", "bigint", "5"),
+    ("-9223372036854775808", "bigint", "-9223372036854775808"),
+]
+BAD = [
+    ("2025/11/12 00:00:00", "datetime"),
+    ("20250101", "datetime"),
+    ("2025-11-12", "datetime"),
+    ("2025-11-12T00:00:00", "datetime"),
+    ("2025-02-30 00:00:00", "datetime"),
+    ("2025-11-12 25:00:00", "datetime"),
+    ("2025-11-12 00:00:00\n", "datetime"),
+    ("9999-12-31 23:59:59.9999999", "datetime"),
+    ("2025-1-2", "date"),
+    ("2025-11-12 00:00:00", "date"),
+    ("2025-02-30", "date"),
+    ("2025-11-12 00:00:00", "bigint"),
+    ("12.5", "bigint"),
+    ("9223372036854775808", "bigint"),
+    ("", "bigint"),
+    ("1_000", "bigint"),
+    ("5", "varchar"),
+]
+
+
+@pytest.mark.parametrize("value,kind,text", GOOD)
+def test_accepted(value, kind, text):
+    assert parse_boundary(value, kind).text == text
+
+
+@pytest.mark.parametrize("value,kind", BAD)
+def test_refused(value, kind):
+    with pytest.raises(BoundaryError):
+        parse_boundary(value, kind)
+
+
+def test_the_column_form_agrees_with_the_single_form(spark):
+    cases = [(v, k) for v, k, _ in GOOD] + BAD
+    rows = spark.createDataFrame(cases, "boundary string, time_type string")
+    for row in validate_targets(rows).collect():
+        try:
+            expected = parse_boundary(row.boundary, row.time_type).text
+        except BoundaryError:
+            expected = None
+        assert (row.normalized, row.ok) == (expected, expected is not None), row
+        assert (row.problem is None) == row.ok
+
+
+def test_literals(spark):
+    assert sentinel("date").sql() == "DATE '9999-12-31'"
+    assert sentinel("bigint").sql() == "9999999999999L"
+    assert sentinel("datetime").sql() == "TIMESTAMP_NTZ '9999-12-31 23:59:59'"
+    assert sentinel("datetime").sql(T.TimestampType()).startswith("TIMESTAMP '")
+    lowest = Boundary("bigint", -(2**63))
+    assert spark.sql(f"SELECT {lowest.sql()}").first()[0] == lowest.value
+    assert spark.sql(f"SELECT {sentinel('datetime').sql()}").first()[0] == dt.datetime(9999, 12, 31, 23, 59, 59)
+
+
+def test_from_value():
+    assert from_value(None, "date") == sentinel("date")
+    assert from_value(dt.datetime(2020, 1, 2), "date").value == dt.date(2020, 1, 2)
+    assert from_value(7, "bigint").text == "7"
+
+
+def test_fixed_values():
+    assert SENTINELS["bigint"] == "9999999999999"
+    assert PLACEHOLDERS["json"] == "{}"

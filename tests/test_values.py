@@ -1,0 +1,121 @@
+"""Array codec and addresses against plain Python."""
+
+from __future__ import annotations
+
+import ipaddress
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tierview.functions import addresses, codec
+
+D = "<d>"
+
+
+def decode(spark, texts, element, **options):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    rows = df.select("i", codec.decode_array("s", element, D, **options).alias("a")).collect()
+    return [r.a for r in sorted(rows, key=lambda r: r.i)]
+
+
+def test_decode_strings(spark):
+    texts = ["", None, "a", "a<d>", "<d>", "<d>a", "a<d>b", "a<>b"]
+    assert decode(spark, texts, T.StringType()) == [
+        [], None, ["a"], ["a", ""], ["", ""], ["", "a"], ["a", "b"], ["a<>b"],
+    ]
+
+
+def test_decode_typed(spark):
+    assert decode(spark, ["", None, "1<d>x<d>3"], T.IntegerType()) == [[], None, [1, None, 3]]
+    big = [int(v) if v is not None else None for v in decode(spark, [f"{2**126}<d>{2**127}"], codec.INT128)[0]]
+    assert big == [2**126, 2**127 if 2**127 < 10**38 else None]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        decode(spark, ["1<d>x"], T.IntegerType(), strict=True)
+
+
+def test_default_delimiter(spark):
+    df = spark.createDataFrame([("1CKTOSRFRAGEMENT2",)], "s string")
+    assert df.select(codec.decode_array("s", T.LongType())).first()[0] == [1, 2]
+
+
+@pytest.mark.parametrize("delimiter", ["|", ".", "\\", "a'b", "$^", "aa", "[x]", "\\E"])
+def test_any_delimiter_round_trips(spark, delimiter):
+    arrays = [[], ["x"], ["x", "y", ""], ["", ""], ["1", "2", "3"]]
+    df = spark.createDataFrame([(a,) for a in arrays], "a array<string>")
+    df = df.select(codec.encode_array("a", delimiter).alias("t"), "a")
+    df = df.select("a", codec.decode_array("t", T.StringType(), delimiter).alias("b"))
+    assert all(r.a == r.b for r in df.collect())
+
+
+def test_what_cannot_be_encoded(spark):
+    arrays = [[""], ["a", None], ["a<d>b"], ["a<", "d>b"], ["a<d", "b"], [], ["a"], None]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<string>")
+    rows = {r.i: r for r in df.select("i", codec.is_encodable("a", D).alias("ok"),
+                                      codec.encode_array("a", D, strict=False).alias("t")).collect()}
+    assert [rows[i].ok for i in range(8)] == [False, False, False, True, True, True, True, True]
+    assert [rows[i].t for i in range(8)] == [None, None, None, "a<<d>d>b", "a<d<d>b", "", "a", None]
+    with pytest.raises(Exception, match="without loss"):
+        df.select(codec.encode_array("a", D)).collect()
+
+
+def test_empty_delimiter_is_refused():
+    with pytest.raises(ValueError):
+        codec.decode_sql("s", T.StringType(), "")
+
+
+def test_element_type():
+    assert codec.element_type(T.ArrayType(T.LongType())) == T.LongType()
+    assert codec.element_type(T.LongType()) == T.LongType()
+    with pytest.raises(ValueError):
+        codec.element_type(T.ArrayType(T.ArrayType(T.LongType())))
+
+
+def python_ip(text, version):
+    try:
+        return int(version(text)) if "%" not in text else None
+    except ValueError:
+        return None
+
+
+V4 = ["0.0.0.0", "255.255.255.255", "10.0.0.1", "10.0.1", "10.0.1.300", "a.b.c.d", "", "1.2.3.4.5", "1.2.3.4\n",
+      " 1.2.3.4", "01.2.3.4", "1..3.4", "-1.2.3.4", "256.1.1.1"]
+V6 = ["::", "::1", "1::", "2001:db8::1", "2001:DB8::1", "3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "fe80::1", "fc00::1",
+      "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", ":::", "1:::2",
+      "1::2::3", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "12345::", "g::1", "", "::1\n", " ::1", "::ffff:10.0.0.1",
+      "::10.0.0.1", "1:2:3:4:5:6:10.0.0.1", "::ffff:10.0.0.256", "10.0.0.1", "::1.2.3", "1:2:3:4:5:6:7:10.0.0.1",
+      "1:2:3:4:5:6:7:8::", "::1:2:3:4:5:6:7:8", "64:ff9b::192.0.2.33", "0:0:0:0:0:0:0:0", "0000::0001", "ffff::",
+      "4b3b:4ca8:5a86:c47a:098a:223f:ffff:ffff", "4b3b:4ca8:5a86:c47a:098a:2240::", "1:2", "::0:0"]
+
+
+def test_ipv4(spark):
+    rng = random.Random(4)
+    texts = V4 + [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts + [None]], "t string")
+    for row in df.select("t", addresses.ipv4_to_int("t").alias("v")).collect():
+        assert row.v == (None if row.t is None else python_ip(row.t, ipaddress.IPv4Address)), row
+
+
+def test_ipv6(spark):
+    rng = random.Random(6)
+    numbers = [ipaddress.IPv6Address(rng.getrandbits(128) & rng.getrandbits(128)) for _ in range(300)]
+    numbers += [ipaddress.IPv6Address(rng.getrandbits(128) << rng.randrange(128) & (2**128 - 1)) for _ in range(300)]
+    texts = V6 + [str(n) for n in numbers] + [n.exploded for n in numbers]
+    df = spark.createDataFrame([(t,) for t in texts + [None]], "t string")
+    both = addresses.with_ipv6_bytes(addresses.with_ipv6_int(df, "t", "v"), "t", "raw")
+    assert both.columns == ["t", "v", "raw"]
+    for row in both.collect():
+        expected = None if row.t is None else python_ip(row.t, ipaddress.IPv6Address)
+        assert (None if row.raw is None else int.from_bytes(row.raw)) == expected, row
+        fits = expected is not None and expected < 10**38
+        assert (None if row.v is None else int(row.v)) == (expected if fits else None), row
+
+
+def test_arrays_of_addresses(spark):
+    df = spark.createDataFrame([(["::1", "x", None, "2001:db8::2"], ["10.0.0.1", "bad"])], "a array<string>, b array<string>")
+    row = df.select(
+        F.expr(addresses.array_sql("a", addresses.IPV6_STEPS)), F.expr(addresses.array_sql("b", [addresses.ipv4_sql]))
+    ).first()
+    assert [None if v is None else int(v) for v in row[0]] == [1, None, None, int(ipaddress.ip_address("2001:db8::2"))]
+    assert row[1] == [int(ipaddress.ip_address("10.0.0.1")), None]
