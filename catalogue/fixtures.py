@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tierview import MappingPlan, PartitionRule, TableSpec, reconcile
 from tierview.functions import codec
-from tierview.functions.boundaries import epoch_seconds
+from tierview.functions.boundaries import utc_epoch_seconds
 
 # A short delimiter made of regular-expression characters, so that quoting is exercised.
 DELIMITER = "|+|"
@@ -42,7 +42,7 @@ def orders(spark: SparkSession, sf_dir: str) -> Tiers:
 
 
 def with_epoch(events: DataFrame) -> DataFrame:
-    return events.withColumn("recordTimestamp", epoch_seconds(F.col("ts"))).drop("ts")
+    return events.withColumn("recordTimestamp", utc_epoch_seconds(F.col("ts"))).drop("ts")
 
 
 def events(spark: SparkSession, sf_dir: str) -> Tiers:
@@ -156,7 +156,8 @@ def customer_objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         .alias("kind"),
     )
     # A name has one kind: a view where any order asks for one.
-    return cold, hot.where("kind IS NOT NULL").groupBy("table").agg(F.max("kind").alias("kind"))
+    any_view = F.when(F.bool_or(F.col("kind") == "VIEW"), "VIEW").otherwise("TABLE")
+    return cold, hot.where("kind IS NOT NULL").groupBy("table").agg(any_view.alias("kind"))
 
 
 def encoded(df: DataFrame, name: str) -> DataFrame:

@@ -326,7 +326,8 @@ ORACLES: dict[str, str] = {
         f"UNION ALL SELECT '(all)', {_SUMMARY} FROM orders"
     ),
     "q_probe_tables": " UNION ALL ".join(
-        f"SELECT '{t}' AS tbl, CASE WHEN count(*) > 0 THEN 'rows' ELSE 'empty' END AS status FROM {source}"
+        f"SELECT '{t}' AS tbl, CASE WHEN count(*) > 0 THEN 'rows' ELSE 'empty' END AS status, "
+        f"CAST(NULL AS VARCHAR) AS error FROM {source}"
         for t, source in [*((t, t) for t in _PROBED), ("no_orders", "(SELECT * FROM orders WHERE o_totalprice < 0)")]
     ),
 }

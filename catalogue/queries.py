@@ -320,7 +320,7 @@ def decode_empty(spark, sf_dir):
 @query
 def epoch(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select(
-        "event_id", boundaries.epoch_seconds(F.col("ts")).alias("epoch"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+        "event_id", boundaries.utc_epoch_seconds(F.col("ts")).alias("epoch"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
     )
 
 
@@ -458,4 +458,4 @@ def probe_tables(spark, sf_dir):
     names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark"
     frames = {n: fx.table(spark, sf_dir, n) for n in [*names.split(), "labels", "conversations"]}
     frames["no_orders"] = frames["orders"].where("o_totalprice < 0")
-    return audit.probe_frames(frames)
+    return audit.probe(spark, {name: lambda df=df: df for name, df in frames.items()})

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierview.functions.boundaries import (
@@ -10,9 +11,11 @@ from tierview.functions.boundaries import (
     SENTINELS,
     Boundary,
     BoundaryError,
+    epoch_seconds,
     from_value,
     parse_boundary,
     sentinel,
+    utc_epoch_seconds,
     validate_targets,
 )
 
@@ -95,3 +98,18 @@ def test_from_value():
 def test_fixed_values():
     assert SENTINELS["bigint"] == "9999999999999"
     assert PLACEHOLDERS["json"] == "{}"
+
+
+def test_epochs(spark):
+    times = ["1969-12-31 23:59:59.5", "2024-01-01 00:00:07.9", "1900-03-01 12:00:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    utc = [int((dt.datetime.fromisoformat(t) - dt.datetime(1970, 1, 1)).total_seconds() // 1) for t in times]
+    try:
+        for name, shift in [("UTC", 0), ("Etc/GMT-8", -8 * 3600)]:
+            spark.conf.set("spark.sql.session.timeZone", name)
+            rows = df.select(epoch_seconds(F.col("t")), utc_epoch_seconds(F.col("t"))).collect()
+            assert [r[1] for r in rows] == utc
+            assert [r[0] for r in rows] == [s + shift for s in utc]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

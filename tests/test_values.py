@@ -102,6 +102,9 @@ def test_ipv6(spark):
     numbers = [ipaddress.IPv6Address(rng.getrandbits(128) & rng.getrandbits(128)) for _ in range(300)]
     numbers += [ipaddress.IPv6Address(rng.getrandbits(128) << rng.randrange(128) & (2**128 - 1)) for _ in range(300)]
     texts = V6 + [str(n) for n in numbers] + [n.exploded for n in numbers]
+    # Near misses: colons and groups put together at random.
+    texts += ["".join(rng.choice([":", "::", "1", "ab", "0", "g", "12345", "1.2.3.4"]) for _ in range(rng.randrange(1, 17))) for _ in range(3000)]
+    texts += [":".join(rng.choice(["", "1", "ffff", "0"]) for _ in range(rng.randrange(7, 11))) for _ in range(3000)]
     df = spark.createDataFrame([(t,) for t in texts + [None]], "t string")
     both = addresses.with_ipv6_bytes(addresses.with_ipv6_int(df, "t", "v"), "t", "raw")
     assert both.columns == ["t", "v", "raw"]

@@ -11,35 +11,15 @@ from pyspark.sql import functions as F
 
 from tierview.functions import sqltext
 
-# "Nothing follows": unlike ``$`` it does not accept a trailing newline, and it needs no backslash.
-_END = "(?!(?s:.))"
+# The last part means "nothing follows": unlike ``$`` it does not accept a trailing newline.
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_IPV4 = f"^{_OCTET}(?:[.]{_OCTET}){{3}}{_END}"
-
-
-def _groups(low: int, high: int) -> str:
-    """Between low and high colon-separated hex groups."""
-    group = "[0-9a-fA-F]{1,4}"
-    if high == 0:
-        return ""
-    some = f"{group}(?::{group}){{{max(low - 1, 0)},{high - 1}}}"
-    return some if low else f"(?:{some})?"
-
-
-def _ipv6_pattern() -> str:
-    # Eight groups, or ``::`` standing for at least one group between n groups and at most 7 - n more.
-    forms = [_groups(8, 8)] + [f"{_groups(n, n)}::{_groups(0, 7 - n)}" for n in range(8)]
-    return f"^(?:{'|'.join(forms)}){_END}"
-
-
-_IPV6 = _ipv6_pattern()
+_IPV4 = f"^{_OCTET}(?:[.]{_OCTET}){{3}}(?!(?s:.))"
 
 
 def ipv4_sql(value: str) -> str:
     """SQL text: dotted quad to BIGINT; octets of 0-255 without leading zeros, anything else NULL."""
-    terms = [
-        f"try_cast(split_part({value}, '.', {i + 1}) AS bigint) * {256 ** (3 - i)}" for i in range(4)
-    ]
+    octets = [f"substring_index(substring_index({value}, '.', {n}), '.', -1)" for n in range(1, 5)]
+    terms = [f"try_cast({octet} AS bigint) * {256 ** (3 - n)}" for n, octet in enumerate(octets)]
     return f"CASE WHEN {value} RLIKE '{_IPV4}' THEN {' + '.join(terms)} END"
 
 
@@ -54,28 +34,48 @@ def ipv6_plain_sql(value: str) -> str:
     )
 
 
-def ipv6_hex_sql(plain: str) -> str:
-    """Step 2: the 32 hex digits of a valid address, NULL otherwise."""
+def ipv6_groups_sql(plain: str) -> str:
+    """Step 2: the groups, with ``::`` written out as the zero groups it stands for.
+
+    Whether they are eight groups of one to four digits is for the next step to see: every misuse of
+    colons leaves another number of groups or an empty one, except for two ``::``, refused here.
+    """
     colons = f"length({plain}) - length(replace({plain}, ':', ''))"
-    ends = f"cast(startswith({plain}, '::') AS int) + cast(endswith({plain}, '::') AS int)"
-    zeros = f"repeat('0:', 8 - ({colons}) + {ends})"
-    full = f"trim(BOTH ':' FROM replace({plain}, '::', concat(':', {zeros})))"
-    padded = f"replace(concat(':', {full}), ':', ':000')"
-    digits = f"regexp_replace({padded}, ':0*?([0-9a-fA-F]{{4}})(?=:|{_END})', '$1')"
-    return f"CASE WHEN {plain} RLIKE '{_IPV6}' THEN {digits} END"
+    first, last = f"startswith({plain}, '::')", f"endswith({plain}, '::')"
+    zeros = f"substr(repeat(':0', 8 - ({colons}) + cast({first} AS int) + cast({last} AS int)), 2)"
+    full = f"replace({plain}, '::', concat(if({first}, '', ':'), {zeros}, if({last}, '', ':')))"
+    return f"CASE WHEN length({plain}) - length(replace({plain}, '::', '')) <= 2 THEN split({full}, ':') END"
+
+
+def ipv6_hex_sql(groups: str) -> str:
+    """Step 3: the groups as 32 characters, NULL unless they have the lengths of an address."""
+    members = [f"get({groups}, {n})" for n in range(8)]
+    lengths = ", ".join(f"length({m})" for m in members)
+    digits = ", ".join(f"lpad({m}, 4, '0')" for m in members)
+    return (
+        f"CASE WHEN size({groups}) = 8 AND least({lengths}) >= 1 AND greatest({lengths}) <= 4 "
+        f"THEN concat({digits}) END"
+    )
+
+
+def ipv6_bytes_sql(hex_digits: str) -> str:
+    """Step 4: the 16 bytes; NULL when a character is not a hex digit."""
+    return f"unhex({hex_digits})"
 
 
 def ipv6_value_sql(hex_digits: str) -> str:
-    """Step 3: 32 hex digits to DECIMAL(38,0), NULL when the value does not fit."""
+    """Step 4: the DECIMAL(38,0) value; NULL when it does not fit or a character is not a hex digit."""
 
     def half(start: int) -> str:
         return f"cast(conv(substr({hex_digits}, {start}, 16), 16, 10) AS decimal(20,0))"
 
     shifted = f"try_multiply({half(1)}, cast({2 ** 64} AS decimal(20,0)))"
-    return f"cast(try_add({shifted}, {half(17)}) AS decimal(38,0))"
+    value = f"cast(try_add({shifted}, {half(17)}) AS decimal(38,0))"
+    return f"CASE WHEN unhex({hex_digits}) IS NOT NULL THEN {value} END"
 
 
-IPV6_STEPS = (ipv6_plain_sql, ipv6_hex_sql, ipv6_value_sql)
+IPV6_STEPS = (ipv6_plain_sql, ipv6_groups_sql, ipv6_hex_sql, ipv6_value_sql)
+_IPV6_BYTE_STEPS = (*IPV6_STEPS[:-1], ipv6_bytes_sql)
 
 
 def array_sql(value: str, steps) -> str:
@@ -108,4 +108,4 @@ def with_ipv6_int(df: DataFrame, source: str, target: str) -> DataFrame:
 
 def with_ipv6_bytes(df: DataFrame, source: str, target: str) -> DataFrame:
     """Add ``target``: the 16 bytes of the IPv6 text in ``source``; no address is out of range."""
-    return _stepwise(df, source, target, (ipv6_plain_sql, ipv6_hex_sql, lambda h: f"unhex({h})"))
+    return _stepwise(df, source, target, _IPV6_BYTE_STEPS)

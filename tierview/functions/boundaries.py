@@ -159,5 +159,11 @@ def validate_targets(targets: DataFrame, kind: str = "time_type", value: str = "
 
 
 def epoch_seconds(column: Column) -> Column:
-    """Whole seconds since 1970-01-01, the datetime being read in the session time zone."""
+    """Whole seconds since 1970-01-01, a zoneless time being read in the session time zone."""
     return F.unix_timestamp(column)
+
+
+def utc_epoch_seconds(column: Column) -> Column:
+    """Whole seconds since 1970-01-01 of a zoneless time read as UTC, whatever the session zone."""
+    days = F.datediff(F.to_date(column), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,33 +129,26 @@ def run_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def probe_frames(frames: dict[str, DataFrame]) -> DataFrame:
-    """``tbl, status`` by asking each table for one row: ``rows`` or ``empty``, in a single query."""
-    rows = [
-        df.limit(1)
-        .agg(F.count("*").alias("n"))
-        .select(F.lit(name).alias("tbl"), F.when(F.col("n") > 0, "rows").otherwise("empty").alias("status"))
-        for name, df in frames.items()
-    ]
-    return reduce(DataFrame.union, rows)
-
-
-def probe_tables(spark: SparkSession, db: str, skip_suffix: str | None = None) -> DataFrame:
-    """``tbl, status, error``: ask each table and view of a schema for one row.
+def probe(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """``tbl, status, error``: ask each table for one row; status is ``rows``, ``empty`` or ``error``.
 
-    Tables are asked one by one, so that one that cannot be read does not spoil the others.
+    Tables are asked one by one, so that one that cannot be read does not spoil the others; and by
+    ``take``, which starts with a single task where a limit inside a larger query would start them all.
     """
     results = []
-    for name in sorted(catalog.table_kinds(spark, db)):
-        if skip_suffix and name.endswith(skip_suffix):
-            continue
+    for name, read in sorted(readers.items()):
         try:
-            empty = spark.table(sqltext.table_ref(db, name)).isEmpty()
-            results.append((name, "empty" if empty else "rows", None))
+            results.append((name, "rows" if read().take(1) else "empty", None))
         except Exception as error:  # noqa: BLE001 - any failure to answer is the finding
             results.append((name, "error", str(error).splitlines()[0]))
     return spark.createDataFrame(results, "tbl string, status string, error string")
 
 
+def probe_tables(spark: SparkSession, db: str, skip_suffix: str | None = None) -> DataFrame:
+    """:func:`probe` of the tables and views of a schema, without those ending with ``skip_suffix``."""
+    names = [n for n in catalog.table_kinds(spark, db) if not (skip_suffix and n.endswith(skip_suffix))]
+    return probe(spark, {n: partial(spark.table, sqltext.table_ref(db, n)) for n in names})
+
+
 def probe_totals(probed: DataFrame) -> DataFrame:
     return probed.groupBy("status").agg(F.count("*").alias("tables"))

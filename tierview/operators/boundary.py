@@ -54,25 +54,11 @@ def partition_boundary(spark: SparkSession, table: str, spec: TableSpec) -> Boun
     """
     if spec.hot_partition is None:
         raise ValueError(f"{table}: no partition rule is declared, use global_boundary")
-    column = spec.hot_partition.column
-    names = catalog.partition_values(spark, table, column)
-    if not names:
-        return global_boundary(spark.table(table), spec)
-    hot, done, width = spark.table(table), 0, 1
-    while done < len(names):
-        batch = names[done : done + width]
-        low = hot.where(F.col(column).isin(batch)).agg(F.min(spec.time_column)).first()[0]
-        if low is not None:
-            return from_value(low, spec.time_type)
-        done, width = done + width, width * 2
-    # Rows of the NULL partition have, by the rule, no time; nothing is left that could have one.
-    return sentinel(spec.time_type)
+    return table_boundary(spark, table, spec)
 
 
 def table_boundary(spark: SparkSession, table: str, spec: TableSpec) -> Boundary:
-    if spec.hot_partition is not None:
-        return partition_boundary(spark, table, spec)
-    return global_boundary(spark.table(table), spec)
+    return many_boundaries(spark, {table: spec})[table]
 
 
 def boundaries_frame(tables: dict[str, tuple[DataFrame, TableSpec]]) -> DataFrame:
@@ -85,12 +71,34 @@ def boundaries_frame(tables: dict[str, tuple[DataFrame, TableSpec]]) -> DataFram
 
 
 def many_boundaries(spark: SparkSession, tables: dict[str, TableSpec]) -> dict[str, Boundary]:
-    """Boundaries of many catalog tables; those without a partition rule share jobs."""
-    found = {name: partition_boundary(spark, name, spec) for name, spec in tables.items() if spec.hot_partition}
-    rest = [name for name in tables if name not in found]
-    for start in range(0, len(rest), TABLES_PER_JOB):
-        batch = {name: (spark.table(name), tables[name]) for name in rest[start : start + TABLES_PER_JOB]}
-        for row in boundaries_frame(batch).collect():
-            kind = tables[row.tbl].time_type
-            found[row.tbl] = sentinel(kind) if row.boundary is None else parse_boundary(row.boundary, kind)
+    """Boundaries of many catalog tables, :data:`TABLES_PER_JOB` to a job.
+
+    A table with a partition rule is read a few partitions at a time, in as many rounds as it takes to
+    find a time; any other table is read once.
+    """
+    found = {name: sentinel(spec.time_type) for name, spec in tables.items()}
+    left = {name: _reads(spark, name, spec) for name, spec in tables.items()}
+    while left:
+        ready = {name: (reads.pop(0), tables[name]) for name, reads in left.items()}
+        for names in _chunks(sorted(ready), TABLES_PER_JOB):
+            for row in boundaries_frame({name: ready[name] for name in names}).collect():
+                if row.boundary is not None:
+                    found[row.tbl] = parse_boundary(row.boundary, tables[row.tbl].time_type)
+                    del left[row.tbl]
+        # Rows of the NULL partition have, by the rule, no time: a table read to its end has none.
+        left = {name: reads for name, reads in left.items() if reads}
     return found
+
+
+def _reads(spark: SparkSession, table: str, spec: TableSpec) -> list[DataFrame]:
+    """What to look at for the smallest time, in turn: ever more partitions, or the whole table."""
+    hot, rule = spark.table(table), spec.hot_partition
+    values = catalog.partition_values(spark, table, rule.column) if rule else []
+    if not values:
+        return [hot]
+    starts = [2**n - 1 for n in range(len(values).bit_length())]
+    return [hot.where(F.col(rule.column).isin(values[s : 2 * s + 1])) for s in starts]
+
+
+def _chunks(items: list, size: int) -> list[list]:
+    return [items[n : n + size] for n in range(0, len(items), size)]

@@ -24,24 +24,38 @@ def table_states(cold: DataFrame, hot: DataFrame, suffix: str, ignore: Iterable[
     """
     if not suffix.strip():
         raise ValueError("an empty suffix cannot tell hot tables from views")
-    none = F.lit(None).cast("string")
-    facts = (
-        cold.select(F.col("table").alias("base_table"), F.lit(True).alias("is_cold"), none.alias("b"), none.alias("s"))
-        .union(hot.select("table", F.lit(False), F.col("kind"), none))
-        .union(
-            hot.where(F.col("table").endswith(suffix)).select(
-                F.expr(f"substr(table, 1, length(table) - {len(suffix)})"), F.lit(False), none, F.col("kind")
-            )
+    code = F.when(F.col("kind") == VIEW, 2).otherwise(1)
+    nothing = F.lit(0)
+
+    def fact(name, is_cold: bool, base, suffixed):
+        return F.struct(
+            name.alias("base_table"), F.lit(is_cold).alias("is_cold"), base.alias("base"), suffixed.alias("suffixed")
         )
+
+    # A hot name is one thing as a base name and, where it ends so, another as a suffixed name.
+    stripped = F.expr(f"substr(table, 1, length(table) - {len(suffix)})")
+    roles = F.array(
+        fact(F.col("table"), False, code, nothing),
+        F.when(F.col("table").endswith(suffix), fact(stripped, False, nothing, code)),
+    )
+    facts = (
+        cold.select(fact(F.col("table"), True, nothing, nothing).alias("f"))
+        .union(hot.select(F.explode(roles).alias("f")).where("f IS NOT NULL"))
+        .select("f.*")
     )
     ignored = list(ignore)
     if ignored:
         facts = facts.where(~F.col("base_table").isin(ignored))
     return (
         facts.groupBy("base_table")
-        .agg(F.max("is_cold").alias("is_cold"), F.max("b").alias("base_kind"), F.max("s").alias("suffixed_kind"))
+        .agg(F.max("is_cold").alias("is_cold"), F.max("base").alias("base"), F.max("suffixed").alias("suffixed"))
         .where("is_cold")
-        .select("base_table", F.concat("base_table", F.lit(suffix)).alias("suffixed_table"), "base_kind", "suffixed_kind")
+        .select(
+            "base_table",
+            F.concat("base_table", F.lit(suffix)).alias("suffixed_table"),
+            F.when(F.col("base") == 2, VIEW).when(F.col("base") == 1, TABLE).alias("base_kind"),
+            F.when(F.col("suffixed") == 2, VIEW).when(F.col("suffixed") == 1, TABLE).alias("suffixed_kind"),
+        )
     )
 
 

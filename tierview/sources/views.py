@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tierview.functions import sqltext
 from tierview.functions.boundaries import Boundary, parse_boundary
@@ -13,6 +14,9 @@ from tierview.operators.unify import unified_sql
 from tierview.plans.mapping import MappingPlan
 from tierview.sources import catalog
 
+# So many one-column rows may be fetched to count them.
+FEW_ROWS = 10_000
+
 CHECK_SCHEMA = "check string, ok boolean, detail string"
 
 
@@ -81,7 +85,10 @@ def has_rows(spark: SparkSession, table: str) -> bool:
 
 def count_at_least(df: DataFrame, rows: int) -> bool:
     """Whether there are that many rows; stops reading once there are."""
-    return rows <= 0 or df.limit(rows).count() >= rows
+    if rows <= FEW_ROWS:
+        # Reads one task's worth first and more only if that is not enough.
+        return rows <= 0 or len(df.select(F.lit(1)).take(rows)) >= rows
+    return df.limit(rows).count() >= rows
 
 
 def check_view(
@@ -104,7 +111,7 @@ def check_view(
         try:
             df = spark.table(sqltext.table_ref(view))
             results += [("column", c in df.columns, c) for c in columns]
-            df.limit(1).collect()
+            df.take(1)
             results.append(("selectable", True, None))
             if min_rows:
                 results.append(("min_rows", count_at_least(df, min_rows), str(min_rows)))
