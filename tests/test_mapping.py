@@ -151,6 +151,26 @@ def test_time_filter_reaches_the_stored_column():
     assert isinstance(plan.time_rule.hot_type, T.DateType)
 
 
+@pytest.mark.parametrize("at", ["2024-01-05 00:00:00", "2024-01-05 00:00:01", "9999-12-31 23:59:59"])
+def test_days_against_a_moment(spark, at):
+    cold = spark.sql("SELECT date_add(DATE '2024-01-01', cast(id AS int)) AS t FROM range(10)")
+    plan = reconcile(schema("t timestamp_ntz"), cold.schema, TableSpec("t", "datetime"))
+    b = parse_boundary(at, "datetime")
+    for op in ("<", ">="):
+        by_plan = cold.where(plan.cold_time_filter(op, b)).collect()
+        assert by_plan == cold.where(f"cast(t AS timestamp_ntz) {op} {b.sql()}").collect()
+
+
+@pytest.mark.parametrize("at", ["2024-01-05", "9999-12-31"])
+def test_moments_against_a_day(spark, at):
+    cold = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-04 23:59:59.999999' + make_dt_interval(0, 0, 0, id / 1000000) AS t FROM range(3)")
+    plan = reconcile(schema("t date"), cold.schema, TableSpec("t", "date"))
+    b = parse_boundary(at, "date")
+    for op in ("<", ">="):
+        by_plan = cold.where(plan.cold_time_filter(op, b)).collect()
+        assert by_plan == cold.where(f"cast(t AS date) {op} {b.sql()}").collect()
+
+
 def config():
     pairs = (TierPair("p", "h", "c", "_hot"), TierPair("q", "h2", "c2", "_local"))
     return TierConfig(pairs, {"a": TableSpec("insertTime", "datetime"), "b_hot": TableSpec("x", "date"), "b": TableSpec("", "")})

@@ -160,7 +160,7 @@ def validate_targets(targets: DataFrame, kind: str = "time_type", value: str = "
 
 def epoch_seconds(column: Column) -> Column:
     """Whole seconds since 1970-01-01, a zoneless time being read in the session time zone."""
-    return F.unix_timestamp(column)
+    return F.unix_seconds(column.cast("timestamp"))
 
 
 def utc_epoch_seconds(column: Column) -> Column:

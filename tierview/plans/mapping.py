@@ -97,17 +97,20 @@ class MappingPlan:
             # A day lies before another exactly when its moments lie before the other's midnight.
             literal = f"TIMESTAMP_NTZ '{boundary.text} 00:00:00'"
             return _compare(sqltext.ident(rule.cold_column), op, literal, spec.cold_partition)
-        if isinstance(self.cold_time_type, T.DateType) and isinstance(rule.hot_type, T.TimestampNTZType):
+        days = isinstance(self.cold_time_type, T.DateType) and isinstance(rule.hot_type, T.TimestampNTZType)
+        day = _day_from(boundary.value) if days else None
+        if day is not None:
             # A midnight lies before a moment exactly when its day lies before the first day from then on.
-            literal = f"DATE '{_day_from(boundary.value)}'"
-            return _compare(sqltext.ident(rule.cold_column), op, literal, spec.cold_partition)
+            return _compare(sqltext.ident(rule.cold_column), op, f"DATE '{day}'", spec.cold_partition)
         return _compare(rule.cold_expr, op, literal, spec.cold_partition)
 
 
-def _day_from(moment: dt.datetime) -> dt.date:
-    """The first day whose midnight is not before the moment; past the calendar, its last day."""
-    midnight = dt.datetime(moment.year, moment.month, moment.day)
-    return midnight.date() if midnight == moment else midnight.date() + dt.timedelta(days=1)
+def _day_from(moment: dt.datetime) -> dt.date | None:
+    """The first day whose midnight is not before the moment, None past the end of the calendar."""
+    day = moment.date()
+    if moment == dt.datetime(day.year, day.month, day.day):
+        return day
+    return None if day == dt.date.max else day + dt.timedelta(days=1)
 
 
 def _compare(time_sql: str, op: str, literal: str, partition) -> str:
