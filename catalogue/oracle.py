@@ -142,7 +142,7 @@ _REPORT = [
     ("user_id", "plain", "bigint", "bigint", 0, 0),
     ("value", "cast", "string", "double", 1, 0),
     ("src_ip_int", "ipv4", "ipv4", "bigint", 1, 0),
-    ("ids", "decode_typed", "string", "array<bigint>", 1, 1),
+    ("ids", "decode_typed", "string", "array<bigint>", 1, 0),
 ]
 
 _STEPS = ("precheck", "mapping", "rename", "create_view", "alter_view", "drop_view", "rename_back", "drop_cold")

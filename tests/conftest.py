@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
-@pytest.fixture(scope="session")
+@pytest.fixture(scope="session", autouse=True)
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")

@@ -95,6 +95,14 @@ def test_from_value():
     assert from_value(7, "bigint").text == "7"
 
 
+def test_one_step_before():
+    assert parse_boundary("2024-03-01", "date").before().text == "2024-02-29"
+    assert parse_boundary("2024-03-01 00:00:00", "datetime").before().text == "2024-02-29 23:59:59.999999"
+    assert Boundary("bigint", 5).before().value == 4
+    starts = [Boundary("bigint", -(2**63)), Boundary("date", dt.date.min), Boundary("datetime", dt.datetime.min)]
+    assert [b.before() for b in starts] == [None] * 3
+
+
 def test_fixed_values():
     assert SENTINELS["bigint"] == "9999999999999"
     assert PLACEHOLDERS["json"] == "{}"

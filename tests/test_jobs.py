@@ -414,6 +414,40 @@ def test_cold_sources_of_a_failed_pair_are_kept(site, tmp_path):
     assert "dns_log" in catalog.table_kinds(site.spark, site.cold)
 
 
+def test_two_pairs_and_a_catalog_qualified_cold_schema(spark, site):
+    other = Site(spark)
+    days = spark.range(10).select("id", F.col("id").alias("recordTimestamp"))
+    other.save(days.where("id >= 5"), "dns_log")
+    other.save(days.where("id < 7"), "dns_log", "cold")
+    pairs = (
+        TierPair("first", site.hot, f"spark_catalog.{site.cold}", SUFFIX),
+        TierPair("second", other.hot, other.cold, "_h"),
+    )
+    config = TierConfig(pairs, site.specs)
+    done = [(r.pair, r.tbl) for r in run_init(spark, config).collect()]
+    assert done == [("first", t) for t in ALL] + [("second", "dns_log")]
+    assert site.rows("platform_log").count() == 300
+    assert other.rows("dns_log").count() == 10
+    update(spark, config, "second", "dns_log", 6)
+    assert other.boundary("dns_log") == "6" and site.boundary("dns_log") == str(200 * 86400)
+    assert {r.detail for r in refresh_all(spark, config).collect() if r.pair == "second"} == {"5"}
+    site.sql("DROP VIEW {hot}.dns_log")
+    site.sql("CREATE TABLE {hot}.dns_log (id INT) USING parquet")
+    results = run_rollback(spark, config, on_error="continue")
+    summary = {r.pair: (r.total, r.success, r.failed) for r in audit.run_summary(results).collect()}
+    assert summary == {"first": (3, 2, 1), "second": (1, 1, 0), "(all)": (4, 3, 1)}
+    assert other.kinds() == {"dns_log": "TABLE"}
+
+
+def test_a_cold_source_that_is_not_ours_is_not_dropped(site):
+    site.init()
+    site.sources = {"dns_log": ColdSource("parquet", "/nowhere")}
+    with pytest.raises(JobError, match="drop_cold"):
+        run_rollback(site.spark, site.config)
+    assert site.kinds() == HOT_ONLY
+    assert "dns_log" in catalog.table_kinds(site.spark, site.cold)
+
+
 def test_drop_view_spares_tables(site):
     with pytest.raises(views.ViewError, match="is a table"):
         views.drop_view(site.spark, f"{site.hot}.dns_log")

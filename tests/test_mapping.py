@@ -148,9 +148,47 @@ def test_time_filter_reaches_the_stored_column():
     b = parse_boundary("2000-01-01", "date")
     assert plan.cold_time_filter("<", b) == "`d` < TIMESTAMP_NTZ '2000-01-01 00:00:00'"
     assert plan.hot_time_filter(">=", b) == "`d` >= DATE '2000-01-01' AND `ym` >= date_format(DATE '2000-01-01', 'yyyyMM')"
+    assert plan.hot_time_filter("<", b) == "`d` < DATE '2000-01-01' AND `ym` <= date_format(DATE '1999-12-31', 'yyyyMM')"
     assert isinstance(plan.time_rule.hot_type, T.DateType)
 
 
+STORED = {
+    "date": "date_add(DATE '2024-01-01', cast(id AS int))",
+    "timestamp_ntz": "TIMESTAMP_NTZ '2024-01-01 12:00:00' + make_dt_interval(cast(id AS int), 0, 0, 0.000001)",
+    "bigint": "id",
+    "int": "cast(id AS int)",
+    "decimal(10,1)": "cast(id - 0.5 AS decimal(10,1))",
+    "string": "cast(id AS string)",
+}
+
+
+@pytest.mark.parametrize(
+    "stored,hot,kind,at,rule",
+    [
+        ("date", "date", "date", "2024-01-05", "date_add({t}, 0)"),
+        ("timestamp_ntz", "date", "date", "2024-01-05", "cast({t} AS date)"),
+        ("date", "timestamp_ntz", "datetime", "2024-01-05 10:00:00", "date_add({t}, 0)"),
+        ("timestamp_ntz", "timestamp_ntz", "datetime", "2024-01-05 00:00:00", "cast({t} AS date)"),
+        ("bigint", "bigint", "bigint", "5", "{t} div 5"),
+        ("bigint", "bigint", "bigint", "-9223372036854775808", "{t} div 5"),
+        ("int", "bigint", "bigint", "5", "{t} div 5"),
+        ("decimal(10,1)", "bigint", "bigint", "5", "ceil({t})"),
+        ("string", "bigint", "bigint", "5", "cast({t} AS bigint) div 5"),
+    ],
+)
+def test_partition_predicates_lose_no_rows(spark, stored, hot, kind, at, rule):
+    partition = PartitionRule("p", rule)
+    rows = spark.sql(f"SELECT t, {partition.of('t')} AS p FROM (SELECT {STORED[stored]} AS t FROM range(12))")
+    spec = TableSpec("t", kind, cold_partition=partition, hot_partition=partition)
+    plan = reconcile(schema(f"t {hot}, p string"), rows.schema, spec)
+    b = parse_boundary(at, kind)
+    for op in ("<", ">="):
+        expected = rows.where(f"try_cast(t AS {hot}) {op} {b.sql()}")
+        assert rows.where(plan.cold_time_filter(op, b)).collect() == expected.collect()
+        if stored == hot:
+            assert rows.where(plan.hot_time_filter(op, b)).collect() == expected.collect()
+
+
 @pytest.mark.parametrize("at", ["2024-01-05 00:00:00", "2024-01-05 00:00:01", "9999-12-31 23:59:59"])
 def test_days_against_a_moment(spark, at):
     cold = spark.sql("SELECT date_add(DATE '2024-01-01', cast(id AS int)) AS t FROM range(10)")

@@ -71,6 +71,16 @@ class Boundary:
             return self.value.isoformat(sep=" ")
         return str(self.value)
 
+    def before(self) -> Boundary | None:
+        """The latest point of this kind that lies before, None at the start of the range."""
+        try:
+            if self.kind == "bigint":
+                return Boundary(self.kind, self.value - 1) if self.value > -(2**63) else None
+            step = dt.timedelta(days=1) if self.kind == "date" else dt.timedelta(microseconds=1)
+            return Boundary(self.kind, self.value - step)
+        except OverflowError:
+            return None
+
     def sql(self, column_type: T.DataType | None = None) -> str:
         """Typed literal; ``column_type`` tells a zoned timestamp column from a zoneless one."""
         if self.kind == "bigint":
@@ -131,24 +141,25 @@ def validate_targets(targets: DataFrame, kind: str = "time_type", value: str = "
     kind_name = F.lower(F.col(kind))
 
     def shaped(name: str) -> Column:
-        return text.rlike(_PATTERNS[name].removesuffix("$") + "(?!(?s:.))")
+        # Text of another shape is not handed to the casts: a cast that fails costs far more than one that works.
+        pattern = _PATTERNS[name].removesuffix("$") + "(?!(?s:.))"
+        return F.when((kind_name == name) & text.rlike(pattern), text)
 
-    whole = F.substring_index(F.translate(text, ",", "."), ".", 1)
-    fraction = F.when(F.regexp_like(text, F.lit("[.,]")), F.substring_index(F.translate(text, ",", "."), ".", -1))
+    moment_text = F.translate(shaped("datetime"), ",", ".")
+    whole = F.substring_index(moment_text, ".", 1).try_cast("timestamp_ntz")
+    fraction = F.when(F.contains(moment_text, F.lit(".")), F.substring_index(moment_text, ".", -1))
     micros = F.coalesce(F.rpad(F.substring(fraction, 1, 6), 6, "0").try_cast("int"), F.lit(0))
     finer = F.coalesce(F.regexp_like(F.substring(fraction, 7, 1 << 20), F.lit("[1-9]")), F.lit(False))
-    moment = whole.try_cast("timestamp_ntz") + F.make_dt_interval(
-        secs=((micros + finer.cast("int")) / F.lit(1000000)).cast("decimal(18,6)")
-    )
+    moment = whole + F.make_dt_interval(secs=((micros + finer.cast("int")) / F.lit(1000000)).cast("decimal(18,6)"))
     seconds = F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
     shown = F.when(F.date_format(moment, "SSSSSS") == "000000", seconds).otherwise(
         F.date_format(moment, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     )
-    day = text.try_cast("date")
-    normalized = (
-        F.when((kind_name == "datetime") & shaped("datetime") & F.year(moment).between(1, 9999), shown)
-        .when((kind_name == "date") & shaped("date") & F.year(day).between(1, 9999), day.cast("string"))
-        .when((kind_name == "bigint") & shaped("bigint"), text.try_cast("bigint").cast("string"))
+    day = shaped("date").try_cast("date")
+    normalized = F.coalesce(
+        F.when(F.year(moment).between(1, 9999), shown),
+        F.when(F.year(day).between(1, 9999), day.cast("string")),
+        shaped("bigint").try_cast("bigint").cast("string"),
     )
     expected = F.lit("time column type is not supported")
     for name, form in _EXPECTED.items():

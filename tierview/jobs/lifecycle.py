@@ -195,8 +195,13 @@ def run_rollback(spark: SparkSession, config: TierConfig, on_error: str = "stop"
         if results.failures(pair.name):
             continue
         for name in sorted(pair.cold_sources):
-            with step("drop_cold"):
-                catalog.unregister_cold(spark, f"{pair.cold_db}.{name}")
+            try:
+                with step("drop_cold"):
+                    catalog.unregister_cold(spark, f"{pair.cold_db}.{name}")
+            except StepError as error:
+                results.failed(pair.name, name, error)
+                if on_error == "stop":
+                    raise results.stop(f"rollback of {pair.name}.{name} failed: {error}") from error
     return results.frame(spark)
 
 

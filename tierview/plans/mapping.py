@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tierview.functions import addresses, codec, sqltext
 from tierview.functions.boundaries import Boundary
-from tierview.plans.spec import TableSpec
+from tierview.plans.spec import PartitionRule, TableSpec
 
 log = logging.getLogger(__name__)
 
@@ -29,8 +29,8 @@ _TIME_TYPES = {
     "date": (T.DateType,),
     "bigint": _INTEGRAL,
 }
-# Casts that cannot fail, written as plain casts: Catalyst sees through those when it pushes filters.
-_WIDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+# Times stored in steps of one: microseconds, days, units.
+_STEPWISE = (T.TimestampNTZType, T.TimestampType, T.DateType, *_INTEGRAL)
 
 REPORT_SCHEMA = "ordinal int, column string, side string, rule string, hot_type string, cold_column string, cold_type string"
 
@@ -83,7 +83,8 @@ class MappingPlan:
         return boundary.sql(self.time_rule.hot_type)
 
     def hot_time_filter(self, op: str, boundary: Boundary) -> str:
-        return _compare(sqltext.ident(self.spec.time_column), op, self.hot_literal(boundary), self.spec.hot_partition)
+        time, rule = sqltext.ident(self.spec.time_column), self.time_rule
+        return _compare(time, op, boundary, rule.hot_type, rule.hot_type, self.spec.hot_partition)
 
     def cold_time_filter(self, op: str, boundary: Boundary) -> str:
         """Predicate on the *stored* cold columns equal to ``time <op> boundary`` on the aligned one.
@@ -91,18 +92,19 @@ class MappingPlan:
         Stated on what is stored, it reaches the scan (pushed filters, row-group and partition pruning)
         also where the aligned column is a conversion that Catalyst does not look through.
         """
-        rule, spec = self.time_rule, self.spec
-        literal = self.hot_literal(boundary)
-        if boundary.kind == "date" and isinstance(self.cold_time_type, T.TimestampNTZType):
+        rule, stored, partition = self.time_rule, self.cold_time_type, self.spec.cold_partition
+        column = sqltext.ident(rule.cold_column)
+        if boundary.kind == "date" and isinstance(stored, T.TimestampNTZType):
             # A day lies before another exactly when its moments lie before the other's midnight.
-            literal = f"TIMESTAMP_NTZ '{boundary.text} 00:00:00'"
-            return _compare(sqltext.ident(rule.cold_column), op, literal, spec.cold_partition)
-        days = isinstance(self.cold_time_type, T.DateType) and isinstance(rule.hot_type, T.TimestampNTZType)
-        day = _day_from(boundary.value) if days else None
-        if day is not None:
-            # A midnight lies before a moment exactly when its day lies before the first day from then on.
-            return _compare(sqltext.ident(rule.cold_column), op, f"DATE '{day}'", spec.cold_partition)
-        return _compare(rule.cold_expr, op, literal, spec.cold_partition)
+            day = boundary.value
+            midnight = Boundary("datetime", dt.datetime(day.year, day.month, day.day))
+            return _compare(column, op, midnight, stored, stored, partition)
+        if isinstance(stored, T.DateType) and isinstance(rule.hot_type, T.TimestampNTZType):
+            day = _day_from(boundary.value)
+            if day is not None:
+                # A midnight lies before a moment exactly when its day lies before the first day from then on.
+                return _compare(column, op, Boundary("date", day), stored, stored, partition)
+        return _compare(rule.cold_expr, op, boundary, rule.hot_type, stored, partition)
 
 
 def _day_from(moment: dt.datetime) -> dt.date | None:
@@ -113,14 +115,23 @@ def _day_from(moment: dt.datetime) -> dt.date | None:
     return None if day == dt.date.max else day + dt.timedelta(days=1)
 
 
-def _compare(time_sql: str, op: str, literal: str, partition) -> str:
-    """Time comparison plus, on a partitioned tier, what it implies for the partition column."""
-    predicate = f"{time_sql} {op} {literal}"
+def _compare(
+    time_sql: str, op: str, boundary: Boundary, compared: T.DataType, stored: T.DataType, partition: PartitionRule | None
+) -> str:
+    """Time comparison plus, on a partitioned tier, what it implies for the partition column.
+
+    The partition value never falls as time rises, so a bound on time bounds it too. Below a boundary,
+    the latest time possible is one step before it, provided that times are stored in such steps: a
+    boundary at a partition's start then leaves that partition out.
+    """
+    predicate = f"{time_sql} {op} {boundary.sql(compared)}"
     if partition is None:
         return predicate
-    # The partition value never falls as time rises, so a strict bound is kept as a loose one.
-    loose = {"<": "<=", "<=": "<=", ">": ">=", ">=": ">="}[op]
-    return f"{predicate} AND {sqltext.ident(partition.column)} {loose} {partition.of(literal)}"
+    edge = boundary
+    if op == "<" and isinstance(stored, _STEPWISE) and type(stored) in (type(compared), *_INTEGRAL):
+        edge = boundary.before() or boundary
+    bound = {"<": "<=", ">=": ">="}[op]
+    return f"{predicate} AND {sqltext.ident(partition.column)} {bound} {partition.of(edge.sql(compared))}"
 
 
 def reconcile(hot: T.StructType, cold: T.StructType, spec: TableSpec) -> MappingPlan:
@@ -216,13 +227,18 @@ def _normal(declared: str) -> str:
 def _cast(expr: str, source: T.DataType, target: T.DataType, strict: bool) -> str:
     if source == target or (isinstance(source, T.StringType) and isinstance(target, T.StringType)):
         return expr
-    widening = (
-        type(source) in _WIDER and type(target) in _WIDER and _WIDER.index(type(source)) <= _WIDER.index(type(target))
-    ) or (isinstance(source, T.DateType) and isinstance(target, _TIME_TYPES["datetime"]))
-    keyword = "cast" if strict or widening else "try_cast"
+    keyword = "cast" if strict or _never_fails(source, target) else "try_cast"
     return f"{keyword}({expr} AS {target.simpleString()})"
 
 
+def _never_fails(source: T.DataType, target: T.DataType) -> bool:
+    """Casts written as plain casts, which Catalyst sees through when it pushes filters."""
+    if type(source) in _INTEGRAL and type(target) in _INTEGRAL:
+        return _INTEGRAL.index(type(source)) <= _INTEGRAL.index(type(target))
+    days, moments = isinstance(source, T.DateType), isinstance(source, _TIME_TYPES["datetime"])
+    return days and isinstance(target, _TIME_TYPES["datetime"]) or moments and isinstance(target, T.DateType)
+
+
 def _cold_expression(
     cold: T.StructField, declared: str, hot: T.StructField, spec: TableSpec
 ) -> tuple[str, str, list[tuple[str, str]]]:

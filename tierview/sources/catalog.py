@@ -98,20 +98,24 @@ def has_column(spark: SparkSession, table: str, column: str) -> bool:
     return column in spark.table(sqltext.table_ref(table)).columns
 
 
+def _partitions(spark: SparkSession, table: str) -> DataFrame:
+    return spark.sql(f"SHOW PARTITIONS {sqltext.table_ref(table)}").where("trim(partition) <> ''")
+
+
 def partitions(spark: SparkSession, table: str) -> DataFrame:
     """Partition names of a table, ascending, blanks left out; an unpartitioned table is an error."""
-    shown = spark.sql(f"SHOW PARTITIONS {sqltext.table_ref(table)}")
-    return shown.where("trim(partition) <> ''").orderBy("partition")
+    return _partitions(spark, table).orderBy("partition")
 
 
 def partition_values(spark: SparkSession, table: str, column: str) -> list:
     """Values of one partition column in its own type, ascending; the partition of NULL is left out."""
     kind = spark.table(sqltext.table_ref(table)).schema[column].dataType
     escaped = F.regexp_extract("partition", f"(?:^|/){column}=([^/]*)", 1)
-    named = partitions(spark, table).select(escaped.alias("v")).where("v <> '' AND v <> '__HIVE_DEFAULT_PARTITION__'")
+    named = _partitions(spark, table).select(escaped.alias("v")).where("v <> '' AND v <> '__HIVE_DEFAULT_PARTITION__'")
     # Names are percent-encoded, but a plus sign in them means itself.
     value = F.url_decode(F.replace("v", F.lit("+"), F.lit("%2B"))).cast(kind)
-    return [r.value for r in named.select(value.alias("value")).distinct().orderBy("value").collect()]
+    # A listing the catalog has already handed to the driver: sorting it here costs no job.
+    return sorted({r.value for r in named.select(value.alias("value")).collect()})
 
 
 def partition_scan(df: DataFrame, column: str, value) -> DataFrame:
