@@ -12,7 +12,6 @@ from tierview.functions.boundaries import (
     Boundary,
     BoundaryError,
     epoch_seconds,
-    from_value,
     parse_boundary,
     sentinel,
     utc_epoch_seconds,
@@ -89,12 +88,6 @@ def test_literals(spark):
     assert spark.sql(f"SELECT {sentinel('datetime').sql()}").first()[0] == dt.datetime(9999, 12, 31, 23, 59, 59)
 
 
-def test_from_value():
-    assert from_value(None, "date") == sentinel("date")
-    assert from_value(dt.datetime(2020, 1, 2), "date").value == dt.date(2020, 1, 2)
-    assert from_value(7, "bigint").text == "7"
-
-
 def test_one_step_before():
     assert parse_boundary("2024-03-01", "date").before().text == "2024-02-29"
     assert parse_boundary("2024-03-01 00:00:00", "datetime").before().text == "2024-02-29 23:59:59.999999"

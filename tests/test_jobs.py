@@ -439,6 +439,48 @@ def test_two_pairs_and_a_catalog_qualified_cold_schema(spark, site):
     assert other.kinds() == {"dns_log": "TABLE"}
 
 
+def test_awkward_column_names_and_a_catalog_qualified_hot_schema(spark, site):
+    site.sql("CREATE TABLE {hot}.odd (`event time` BIGINT, `a.b` INT, `x``y` STRING, `select` INT DEFAULT 2) USING parquet")
+    site.sql("CREATE TABLE {cold}.odd (`event time` INT, `a.b` STRING, `x``y` STRING) USING parquet")
+    site.sql("INSERT INTO {hot}.odd VALUES (10, 1, 'h', 3), (12, 1, 'h', 3)")
+    site.sql("INSERT INTO {cold}.odd VALUES (9, '7', 'c'), (10, '8', 'c')")
+    pair = TierPair("q", f"spark_catalog.{site.hot}", site.cold, SUFFIX)
+    config = TierConfig((pair,), {"odd": TableSpec("event time")}, frozenset(ALL))
+    assert statuses(run_init(spark, config)) == {"odd": "created"}
+    assert statuses(run_init(spark, config)) == {"odd": "skipped"}
+    assert sorted(tuple(r) for r in site.rows("odd").collect()) == [(9, 7, "c", 2), (10, 1, "h", 3), (12, 1, "h", 3)]
+    assert unified(spark, config, "q", "odd").count() == 3
+    assert unified_range(spark, config, "q", "odd", 10, 12).count() == 1
+    hot, cold = site.rows("odd" + SUFFIX), spark.table(f"{site.cold}.odd")
+    from tierview import reconcile
+
+    plan = reconcile(hot.schema, cold.schema, config.spec("odd"))
+    at = parse_boundary(10, "bigint")
+    assert {r.tier: (r.shown, r.hidden) for r in audit.tier_audit(hot, cold, plan, at).collect()} == {"cold": (1, 1), "hot": (2, 0)}
+    assert {r.column: r.lost for r in audit.conversion_losses(cold, plan).collect()} == dict.fromkeys(hot.columns, 0)
+    assert {r.column: r.nulls for r in catalog.measured_columns(hot, "odd").collect()} == dict.fromkeys(hot.columns, 0)
+    assert tables.without_time(hot, "event time", at).count() == 1
+    assert statuses(refresh_all(spark, config)) == {"odd": "unchanged"}
+    assert statuses(run_rollback(spark, config)) == {"odd": "restored"}
+
+
+def test_zoned_timestamps_are_cut_in_the_session_zone(spark, site):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+    try:
+        days = spark.range(10).selectExpr("id", "timestamp_seconds(id * 86400) AS at")
+        site.save(days.where("id >= 5"), "zoned")
+        site.save(days.where("id < 8"), "zoned", "cold")
+        site.specs = {**site.specs, "zoned": TableSpec("at", "datetime")}
+        site.init()
+        assert site.boundary("zoned") == "1970-01-06 08:00:00"
+        assert sorted(r.id for r in site.rows("zoned").collect()) == list(range(10))
+        assert statuses(refresh_all(spark, site.config))["zoned"] == "unchanged"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert site.rows("zoned").count() == 10
+
+
 def test_a_cold_source_that_is_not_ours_is_not_dropped(site):
     site.init()
     site.sources = {"dns_log": ColdSource("parquet", "/nowhere")}

@@ -120,18 +120,6 @@ def parse_boundary(value: str | int | dt.date | dt.datetime, kind: str) -> Bound
         raise BoundaryError(f"boundary {value!r} is not {_EXPECTED[kind]}: {error}") from error
 
 
-def from_value(value, kind: str) -> Boundary:
-    """Boundary of an aggregated value; NULL (no rows, or no times) gives the sentinel."""
-    kind = check_kind(kind)
-    if value is None:
-        return sentinel(kind)
-    if kind == "date" and isinstance(value, dt.datetime):
-        value = value.date()
-    if kind == "datetime" and not isinstance(value, dt.datetime):
-        value = dt.datetime(value.year, value.month, value.day)
-    return Boundary(kind, int(value) if kind == "bigint" else value)
-
-
 def validate_targets(targets: DataFrame, kind: str = "time_type", value: str = "boundary") -> DataFrame:
     """Check a table of requested boundaries, one row each, by the rules of :func:`parse_boundary`.
 

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def ident(name: str) -> str:
     """Back-quoted identifier."""
     return "`" + name.replace("`", "``") + "`"
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(ident(name))
+
+
 def table_ref(*parts: str) -> str:
     """Back-quoted, dotted table name; each part may itself be dotted (``cat.db``)."""
     names = [n for part in parts if part for n in part.split(".")]

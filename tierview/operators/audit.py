@@ -36,9 +36,9 @@ def tier_audit(
     def summary(df: DataFrame, tier: str, op: str) -> DataFrame:
         return df.agg(
             F.count("*").alias("n_rows"),
-            F.min(time).alias("min_time"),
-            F.max(time).alias("max_time"),
-            F.count_if(F.col(time).isNull()).alias("null_times"),
+            F.min(sqltext.column(time)).alias("min_time"),
+            F.max(sqltext.column(time)).alias("max_time"),
+            F.count_if(sqltext.column(time).isNull()).alias("null_times"),
             F.count_if(F.expr(f"{column} {op} {now}")).alias("shown"),
             F.count_if(F.expr(f"NOT ({column} {op} {now})")).alias("hidden"),
             F.count_if(F.expr(f"{column} {op} {then}")).alias("shown_if_moved"),
@@ -46,7 +46,7 @@ def tier_audit(
 
     # Only the time column is read from either tier.
     cold_times = cold.selectExpr(f"{rule.cold_expr} AS {column}")
-    return summary(cold_times, "cold", "<").union(summary(hot.select(time), "hot", ">="))
+    return summary(cold_times, "cold", "<").union(summary(hot.select(column), "hot", ">="))
 
 
 def conversion_losses(cold: DataFrame, plan: MappingPlan) -> DataFrame:
@@ -77,7 +77,7 @@ def _stored(ordinal: int) -> str:
 def _lost(ordinal: int, rule: ColumnRule) -> Column:
     if rule.cold_column is None or rule.rule == "plain":
         return F.lit(0).cast("bigint")
-    new, old = F.col(sqltext.ident(rule.name)), F.col(_stored(ordinal))
+    new, old = sqltext.column(rule.name), F.col(_stored(ordinal))
     if isinstance(rule.hot_type, T.ArrayType):
         gone = F.size(new) - F.size(F.array_compact(new))
         return F.coalesce(F.sum(F.when(new.isNotNull(), gone).cast("bigint")), F.lit(0).cast("bigint"))
@@ -87,7 +87,8 @@ def _lost(ordinal: int, rule: ColumnRule) -> Column:
 def partition_violations(df: DataFrame, time_column: str, rule: PartitionRule) -> DataFrame:
     """Rows whose partition is not the one their time belongs to; none if the rule may be relied on."""
     expected = F.expr(rule.of(sqltext.ident(time_column)))
-    return df.where(F.col(time_column).isNotNull() & ~F.col(rule.column).eqNullSafe(expected))
+    timed = sqltext.column(time_column).isNotNull()
+    return df.where(timed & ~sqltext.column(rule.column).eqNullSafe(expected))
 
 
 def name_diff(left: DataFrame, right: DataFrame, skip_suffix: str | None = None) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierview.functions.boundaries import Boundary, from_value, parse_boundary, sentinel
+from tierview.functions import sqltext
+from tierview.functions.boundaries import Boundary, parse_boundary, sentinel
 from tierview.plans.spec import TableSpec
 from tierview.sources import catalog
 
@@ -22,11 +23,20 @@ def boundary_frame(hot: DataFrame, spec: TableSpec, name: str = "boundary") -> D
     """
     column = hot.schema[spec.time_column]
     late = F.expr(sentinel(spec.time_type).sql(column.dataType)).cast(column.dataType)
-    return hot.agg(F.coalesce(F.min(spec.time_column), late).alias(name))
+    return hot.agg(F.coalesce(_lowest(spec), late).alias(name))
 
 
 def global_boundary(hot: DataFrame, spec: TableSpec) -> Boundary:
-    return from_value(hot.agg(F.min(spec.time_column)).first()[0], spec.time_type)
+    return _parsed(hot.agg(_lowest(spec).cast("string")).first()[0], spec)
+
+
+def _lowest(spec: TableSpec) -> Column:
+    return F.min(sqltext.column(spec.time_column))
+
+
+def _parsed(low: str | None, spec: TableSpec) -> Boundary:
+    # Fetched as text: as a Python value, a zoned timestamp would arrive in the driver's own time zone.
+    return sentinel(spec.time_type) if low is None else parse_boundary(low, spec.time_type)
 
 
 def partition_boundary_frame(
@@ -39,8 +49,8 @@ def partition_boundary_frame(
     column = hot.schema[spec.time_column]
     late = F.expr(sentinel(spec.time_type).sql(column.dataType)).cast(column.dataType)
     minima = (
-        hot.groupBy(F.col(partition).cast("string").alias("partition"))
-        .agg(F.min(spec.time_column).alias("low"))
+        hot.groupBy(sqltext.column(partition).cast("string").alias("partition"))
+        .agg(_lowest(spec).alias("low"))
         .where("partition IS NOT NULL AND trim(partition) <> '' AND low IS NOT NULL")
     )
     return minima.agg(F.coalesce(F.min_by("low", "partition"), late).alias(name))
@@ -64,7 +74,7 @@ def table_boundary(spark: SparkSession, table: str, spec: TableSpec) -> Boundary
 def boundaries_frame(tables: dict[str, tuple[DataFrame, TableSpec]]) -> DataFrame:
     """``tbl, boundary`` (as text; NULL when a table has no time) of many hot tables in one query."""
     rows = [
-        hot.agg(F.min(spec.time_column).cast("string").alias("boundary")).select(F.lit(name).alias("tbl"), "boundary")
+        hot.agg(_lowest(spec).cast("string").alias("boundary")).select(F.lit(name).alias("tbl"), "boundary")
         for name, (hot, spec) in tables.items()
     ]
     return reduce(DataFrame.union, rows)
@@ -83,7 +93,7 @@ def many_boundaries(spark: SparkSession, tables: dict[str, TableSpec]) -> dict[s
         for names in _chunks(sorted(ready), TABLES_PER_JOB):
             for row in boundaries_frame({name: ready[name] for name in names}).collect():
                 if row.boundary is not None:
-                    found[row.tbl] = parse_boundary(row.boundary, tables[row.tbl].time_type)
+                    found[row.tbl] = _parsed(row.boundary, tables[row.tbl])
                     del left[row.tbl]
         # Rows of the NULL partition have, by the rule, no time: a table read to its end has none.
         left = {name: reads for name, reads in left.items() if reads}
@@ -97,7 +107,7 @@ def _reads(spark: SparkSession, table: str, spec: TableSpec) -> list[DataFrame]:
     if not values:
         return [hot]
     starts = [2**n - 1 for n in range(len(values).bit_length())]
-    return [hot.where(F.col(rule.column).isin(values[s : 2 * s + 1])) for s in starts]
+    return [hot.where(sqltext.column(rule.column).isin(values[s : 2 * s + 1])) for s in starts]
 
 
 def _chunks(items: list, size: int) -> list[list]:

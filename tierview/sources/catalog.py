@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def list_tables(spark: SparkSession, db: str) -> DataFrame:
     """``table, kind`` of a schema, from two listings and without looking at each table."""
     shown = spark.sql(f"SHOW TABLES IN {sqltext.table_ref(db)}").where("NOT isTemporary")
     names = shown.select(F.col("tableName").alias("table"))
-    if "." in db:
+    if "." in db and not db.startswith("spark_catalog."):
         # Views live in the session catalog; other catalogs need not know the statement.
         return names.select("table", F.lit(TABLE).alias("kind"))
     views = _views(spark, db).select(F.col("viewName").alias("table"), F.lit(VIEW).alias("kind"))
@@ -79,7 +80,7 @@ def measured_columns(df: DataFrame, table: str) -> DataFrame:
 
     One pass, one row of counts, turned into one row per column.
     """
-    counts = df.agg(*[F.count_if(F.col(sqltext.ident(c)).isNull()).alias(f"c{n}") for n, c in enumerate(df.columns)])
+    counts = df.agg(*[F.count_if(sqltext.column(c).isNull()).alias(f"c{n}") for n, c in enumerate(df.columns)])
     rows = [
         F.struct(
             F.lit(t).alias("tbl"),
@@ -110,7 +111,7 @@ def partitions(spark: SparkSession, table: str) -> DataFrame:
 def partition_values(spark: SparkSession, table: str, column: str) -> list:
     """Values of one partition column in its own type, ascending; the partition of NULL is left out."""
     kind = spark.table(sqltext.table_ref(table)).schema[column].dataType
-    escaped = F.regexp_extract("partition", f"(?:^|/){column}=([^/]*)", 1)
+    escaped = F.regexp_extract("partition", f"(?:^|/){re.escape(column)}=([^/]*)", 1)
     named = _partitions(spark, table).select(escaped.alias("v")).where("v <> '' AND v <> '__HIVE_DEFAULT_PARTITION__'")
     # Names are percent-encoded, but a plus sign in them means itself.
     value = F.url_decode(F.replace("v", F.lit("+"), F.lit("%2B"))).cast(kind)
@@ -120,7 +121,7 @@ def partition_values(spark: SparkSession, table: str, column: str) -> list:
 
 def partition_scan(df: DataFrame, column: str, value) -> DataFrame:
     """Rows of one partition; on a partitioned table only its files are read."""
-    return df.where(F.col(column) == F.lit(value))
+    return df.where(sqltext.column(column) == F.lit(value))
 
 
 def register_cold(spark: SparkSession, table: str, source: ColdSource) -> None:

@@ -27,7 +27,9 @@ def rename(spark: SparkSession, db: str, old: str, new: str) -> None:
     partitioned = bool(catalog.describe(spark, f"{db}.{old}").get("partition_columns"))
     before = _partition_names(spark, f"{db}.{old}") if partitioned else set()
     filled = not spark.table(source).isEmpty()
-    spark.sql(f"ALTER TABLE {source} RENAME TO {target}")
+    # The new name is one within the table's catalog and must not name the catalog again.
+    within = sqltext.table_ref(db.partition(".")[2] or db, new)
+    spark.sql(f"ALTER TABLE {source} RENAME TO {within}")
     if partitioned:
         spark.sql(f"ALTER TABLE {target} RECOVER PARTITIONS")
         lost = before - _partition_names(spark, f"{db}.{new}")
@@ -88,9 +90,8 @@ def complete_rows(
         required = {f.name for f in target.fields if not f.nullable}
     picked = []
     for f in target.fields:
-        name = sqltext.ident(f.name)
         if f.name in rows.columns:
-            picked.append(F.col(name).cast(f.dataType).alias(f.name))
+            picked.append(sqltext.column(f.name).cast(f.dataType).alias(f.name))
         elif mode == "all" or (f.name in required and "CURRENT_DEFAULT" not in (f.metadata or {})):
             picked.append(_filler(f, f.name in required).alias(f.name))
     return rows.select(*picked)
@@ -113,7 +114,7 @@ def append_rows(
 def without_time(df: DataFrame, column: str, value: Boundary) -> DataFrame:
     """All rows but those at one time; rows without a time stay."""
     literal = F.expr(value.sql(df.schema[column].dataType))
-    return df.where(~F.col(column).eqNullSafe(literal))
+    return df.where(~sqltext.column(column).eqNullSafe(literal))
 
 
 def copy_without_time(spark: SparkSession, table: str, column: str, value: Boundary, into: str) -> None:
