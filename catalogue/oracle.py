@@ -232,7 +232,7 @@ ORACLES: dict[str, str] = {
         f"FROM {EVENTS_COLD}"
     ),
     "q_ipv4_int": f"SELECT event_id, {_IPV4} AS ip FROM events",
-    "q_ipv6_int": f"SELECT event_id, {_IPV6} AS ip FROM events",
+    "q_ipv6_int": f"SELECT event_id, CAST({_IPV6} AS VARCHAR) AS ip FROM events",
     "q_ipv6_bytes": f"SELECT event_id, {_IPV6_HEX} AS ip_hex FROM events",
     "q_decode_strings": "SELECT doc_id, string_split(text, ' ') AS words FROM documents",
     "q_decode_typed": "SELECT vec_id, embedding FROM embeddings",
@@ -244,7 +244,7 @@ ORACLES: dict[str, str] = {
     "q_decode_int128": (
         "SELECT event_id, list_transform([event_id || repeat('0', 30), event_type, "
         "repeat('9', 34) || (event_id + 100000), CAST(user_id AS VARCHAR)], "
-        "lambda x: TRY_CAST(x AS DECIMAL(38,0))) AS ids FROM events"
+        "lambda x: CAST(TRY_CAST(x AS DECIMAL(38,0)) AS VARCHAR)) AS ids FROM events"
     ),
     "q_decode_empty": (
         "SELECT event_id, CASE event_type WHEN 'error' THEN CAST([] AS VARCHAR[]) WHEN 'view' THEN ['', ''] "
@@ -289,6 +289,13 @@ ORACLES: dict[str, str] = {
         SELECT name, 'left_only' AS side FROM l WHERE name NOT IN (SELECT name FROM r)
         UNION ALL SELECT name, 'right_only' FROM r WHERE name NOT IN (SELECT name FROM l)
     """,
+    "q_table_kinds": f"""
+        WITH v AS (
+            SELECT 'customer_' || o_custkey AS name FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000)
+        SELECT DISTINCT 'customer_' || o_custkey AS "table",
+               CASE WHEN 'customer_' || o_custkey IN (SELECT name FROM v) THEN 'VIEW' ELSE 'TABLE' END AS kind
+        FROM {ORDERS_HOT}
+    """,
     "q_init_plan": _STATES
     + """
         SELECT base_table, suffixed_table,

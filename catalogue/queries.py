@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,6 +242,11 @@ def drop_alias_columns(spark, sf_dir):
     return aliases.without_aliases(aliases.with_aliases(tiers.cold, tiers.spec), tiers.cold.schema, tiers.spec)
 
 
+def _digits(name: str, kind: str) -> Column:
+    # 38-digit numbers are compared as text, which nothing on the way can round.
+    return F.col(name).cast(kind).alias(name)
+
+
 # Values ------------------------------------------------------------------------------------------
 
 
@@ -252,7 +257,8 @@ def ipv4_int(spark, sf_dir):
 
 @query
 def ipv6_int(spark, sf_dir):
-    return addresses.with_ipv6_int(fx.addresses(spark, sf_dir), "ip6", "ip").select("event_id", "ip")
+    numbered = addresses.with_ipv6_int(fx.addresses(spark, sf_dir), "ip6", "ip")
+    return numbered.select("event_id", _digits("ip", "string"))
 
 
 @query
@@ -300,7 +306,8 @@ def decode_int128(spark, sf_dir):
     stored = fx.table(spark, sf_dir, "events").select(
         "event_id", F.concat_ws(fx.DELIMITER, wide, "event_type", beyond, "user_id").alias("ids")
     )
-    return stored.select("event_id", codec.decode_array("ids", codec.INT128, fx.DELIMITER).alias("ids"))
+    decoded = stored.select("event_id", codec.decode_array("ids", codec.INT128, fx.DELIMITER).alias("ids"))
+    return decoded.select("event_id", _digits("ids", "array<string>"))
 
 
 @query
@@ -414,6 +421,14 @@ def table_diff(spark, sf_dir):
     return audit.name_diff(left, right, skip_suffix="_hot")
 
 
+@query
+def table_kinds(spark, sf_dir):
+    orders = fx.orders(spark, sf_dir)
+    name = F.concat(F.lit("customer_"), "o_custkey").alias("table")
+    views = fx.table(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_totalprice > 150000").select(name)
+    return catalog.with_kinds(orders.hot.select(name), views)
+
+
 @query
 def init_plan(spark, sf_dir):
     return lifecycle.plan_init(lifecycle.table_states(*fx.customer_objects(spark, sf_dir), "_hot", ["customer_7"]))

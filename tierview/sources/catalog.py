@@ -32,8 +32,21 @@ def list_tables(spark: SparkSession, db: str) -> DataFrame:
     if "." in db and not db.startswith("spark_catalog."):
         # Views live in the session catalog; other catalogs need not know the statement.
         return names.select("table", F.lit(TABLE).alias("kind"))
-    views = _views(spark, db).select(F.col("viewName").alias("table"), F.lit(VIEW).alias("kind"))
-    return names.join(views, "table", "left").select("table", F.coalesce("kind", F.lit(TABLE)).alias("kind"))
+    return with_kinds(names, _views(spark, db).select(F.col("viewName").alias("table")))
+
+
+def with_kinds(names: DataFrame, views: DataFrame) -> DataFrame:
+    """``table, kind`` of a listing that holds tables and views alike, given the views among them.
+
+    Both have a column ``table``. One aggregation: names listed only as views are left out.
+    """
+    marked = names.select("table", F.lit(1).alias("seen")).union(views.select("table", F.lit(2)))
+    return (
+        marked.groupBy("table")
+        .agg(F.bit_or("seen").alias("seen"))
+        .where("seen <> 2")
+        .select("table", F.when(F.col("seen") == 3, VIEW).otherwise(TABLE).alias("kind"))
+    )
 
 
 def table_kinds(spark: SparkSession, db: str) -> dict[str, str]:
