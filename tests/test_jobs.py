@@ -386,6 +386,20 @@ def test_rename_keeps_partitioned_rows_and_refuses_a_taken_name(site):
     assert tables.rename_back(site.spark, site.hot, "dns_log", SUFFIX) == "dns_log"
 
 
+def test_external_tables_stay_where_they_are(site, tmp_path):
+    path = str(tmp_path / "elsewhere")
+    site.rows("daily").write.partitionBy("ym").parquet(path)
+    site.sql("DROP TABLE {hot}.daily")
+    site.sql(f"CREATE TABLE {{hot}}.daily (id BIGINT, d DATE, ym STRING) USING parquet PARTITIONED BY (ym) LOCATION '{path}'")
+    site.sql("ALTER TABLE {hot}.daily RECOVER PARTITIONS")
+    site.init()
+    assert catalog.describe(site.spark, f"{site.hot}.daily{SUFFIX}")["location"].endswith(path)
+    assert site.rows("daily").count() == 300
+    site.rollback()
+    assert site.rows("daily").count() == 100
+    assert catalog.describe(site.spark, f"{site.hot}.daily")["location"].endswith(path)
+
+
 def test_cold_sources_are_registered_and_forgotten(site, tmp_path):
     path = str(tmp_path / "cold files")
     site.spark.table(f"{site.cold}.dns_log").write.json(path)

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from tierview import MappingError, PartitionRule, TableSpec, mapping_report, parse_boundary, reconcile
+from tierview.operators.audit import conversion_losses
 from tierview.operators.unify import cold_scan, unified_sql, unify
 from tierview.plans.mapping import mapping_counts
 from tierview.plans.spec import TierConfig, TierPair, declared_frame, time_specs
@@ -119,6 +120,17 @@ def test_every_cold_form_of_an_address(spark):
     ]
 
 
+def test_losses_do_not_count_what_was_null_before(spark):
+    cold = spark.sql(
+        "SELECT 1L AS recordTimestamp, array('1', NULL, 'x') AS a, array('::1', NULL, 'fe80::1') AS b, '1|y|z' AS c, "
+        "cast(NULL AS string) AS d, 'n' AS e, 'q' AS f"
+    )
+    hot = schema(f"{TIME}, a array<int>, b_int array<decimal(38,0)>, c array<int>, d int, e int, f string, g int")
+    plan = reconcile(hot, cold.schema, TableSpec(cold_types={"b": "array<ipv6>"}, delimiter="|"))
+    lost = {r.column: r.lost for r in conversion_losses(cold, plan).collect()}
+    assert lost == {"recordTimestamp": 0, "a": 1, "b_int": 1, "c": 2, "d": 0, "e": 1, "f": 0, "g": 0}
+
+
 def test_strict_conversion_fails_the_query(spark):
     cold = spark.sql("SELECT 1L AS recordTimestamp, 'x' AS n")
     plan = reconcile(schema(f"{TIME}, n int"), cold.schema, TableSpec(strict=True))

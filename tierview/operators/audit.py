@@ -78,10 +78,16 @@ def _lost(ordinal: int, rule: ColumnRule) -> Column:
     if rule.cold_column is None or rule.rule == "plain":
         return F.lit(0).cast("bigint")
     new, old = sqltext.column(rule.name), F.col(_stored(ordinal))
-    if isinstance(rule.hot_type, T.ArrayType):
-        gone = F.size(new) - F.size(F.array_compact(new))
-        return F.coalesce(F.sum(F.when(new.isNotNull(), gone).cast("bigint")), F.lit(0).cast("bigint"))
-    return F.count_if(new.isNull() & old.isNotNull())
+    if not isinstance(rule.hot_type, T.ArrayType):
+        return F.count_if(new.isNull() & old.isNotNull())
+    gone = _null_elements(new)
+    if isinstance(rule.stored, T.ArrayType):
+        gone = gone - _null_elements(old)
+    return F.coalesce(F.sum(F.when(new.isNotNull(), gone).cast("bigint")), F.lit(0).cast("bigint"))
+
+
+def _null_elements(array: Column) -> Column:
+    return F.size(array) - F.size(F.array_compact(array))
 
 
 def partition_violations(df: DataFrame, time_column: str, rule: PartitionRule) -> DataFrame:

@@ -48,7 +48,9 @@ class ColumnRule:
     hot_type: T.DataType
     cold_expr: str
     cold_column: str | None = None
+    # What the column stands for, and how it is stored.
     cold_type: str | None = None
+    stored: T.DataType | None = None
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,6 @@ class MappingPlan:
     cold_steps: tuple[tuple[tuple[str, str], ...], ...]
     skipped: tuple[tuple[str, str], ...]
     spec: TableSpec
-    cold_time_type: T.DataType
 
     @property
     def names(self) -> list[str]:
@@ -92,8 +93,8 @@ class MappingPlan:
         Stated on what is stored, it reaches the scan (pushed filters, row-group and partition pruning)
         also where the aligned column is a conversion that Catalyst does not look through.
         """
-        rule, stored, partition = self.time_rule, self.cold_time_type, self.spec.cold_partition
-        column = sqltext.ident(rule.cold_column)
+        rule, partition = self.time_rule, self.spec.cold_partition
+        column, stored = sqltext.ident(rule.cold_column), rule.stored
         if boundary.kind == "date" and isinstance(stored, T.TimestampNTZType):
             # A day lies before another exactly when its moments lie before the other's midnight.
             day = boundary.value
@@ -164,9 +165,8 @@ def reconcile(hot: T.StructType, cold: T.StructType, spec: TableSpec) -> Mapping
             if n == len(steps):
                 steps.append([])
             steps[n].append(helper)
-        columns.append(
-            ColumnRule(target, rule, field.dataType, expr, f.name, declared or f.dataType.simpleString())
-        )
+        stands_for = declared or f.dataType.simpleString()
+        columns.append(ColumnRule(target, rule, field.dataType, expr, f.name, stands_for, f.dataType))
     double = [n for n, k in Counter(c.name for c in columns).items() if k > 1]
     if double:
         raise MappingError(f"several cold columns map to one hot column: {double}")
@@ -185,8 +185,8 @@ def reconcile(hot: T.StructType, cold: T.StructType, spec: TableSpec) -> Mapping
     missing = [f.name for f in hot.fields if f.name not in {c.name for c in columns}]
     if missing:
         raise MappingError(f"hot columns missing from the plan: {missing}")
-    cold_time_type = _check_time(columns, cold, spec)
-    return MappingPlan(tuple(columns), tuple(tuple(s) for s in steps), tuple(skipped), spec, cold_time_type)
+    _check_time(columns, spec)
+    return MappingPlan(tuple(columns), tuple(tuple(s) for s in steps), tuple(skipped), spec)
 
 
 def _check_names(schema: T.StructType, side: str) -> None:
@@ -207,7 +207,7 @@ def _check_type(name: str, data_type: T.DataType) -> None:
         raise MappingError(f"column {name}: {error}") from error
 
 
-def _check_time(columns: list[ColumnRule], cold: T.StructType, spec: TableSpec) -> T.DataType:
+def _check_time(columns: list[ColumnRule], spec: TableSpec) -> None:
     rule = next((c for c in columns if c.name == spec.time_column), None)
     if rule is None:
         raise MappingError(f"time column {spec.time_column} is not in the hot tier")
@@ -217,7 +217,6 @@ def _check_time(columns: list[ColumnRule], cold: T.StructType, spec: TableSpec)
         raise MappingError(
             f"time column {spec.time_column} is {rule.hot_type.simpleString()}, declared as {spec.time_type}"
         )
-    return cold[rule.cold_column].dataType
 
 
 def _normal(declared: str) -> str:

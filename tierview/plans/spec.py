@@ -51,6 +51,7 @@ class TableSpec:
     # ``array<ipv4>``, ``array<ipv6>``, ``array<T>``.
     cold_types: Mapping[str, str] = field(default_factory=dict)
     delimiter: str = DEFAULT_DELIMITER
+    # Whether a cold value that does not convert fails the query (in ANSI mode, Spark's default).
     strict: bool = False
     hot_partition: PartitionRule | None = None
     cold_partition: PartitionRule | None = None

@@ -19,19 +19,22 @@ def rename(spark: SparkSession, db: str, old: str, new: str) -> None:
     """Rename a table and make sure it still has its rows.
 
     A renamed managed table has moved, and the catalog may go on listing its partitions at the old
-    place, where they read as empty. So partitions are recovered and compared.
+    place, where they read as empty. So its partitions are recovered, and any table's are compared. An
+    external table stays where it is and nothing is listed anew.
     """
     source, target = sqltext.table_ref(db, old), sqltext.table_ref(db, new)
     if spark.catalog.tableExists(target):
         raise TableError(f"cannot rename {db}.{old}: {db}.{new} exists")
-    partitioned = bool(catalog.describe(spark, f"{db}.{old}").get("partition_columns"))
+    about = catalog.describe(spark, f"{db}.{old}")
+    partitioned = bool(about.get("partition_columns"))
     before = _partition_names(spark, f"{db}.{old}") if partitioned else set()
     filled = not spark.table(source).isEmpty()
     # The new name is one within the table's catalog and must not name the catalog again.
     within = sqltext.table_ref(db.partition(".")[2] or db, new)
     spark.sql(f"ALTER TABLE {source} RENAME TO {within}")
     if partitioned:
-        spark.sql(f"ALTER TABLE {target} RECOVER PARTITIONS")
+        if about.get("type") != "EXTERNAL":
+            spark.sql(f"ALTER TABLE {target} RECOVER PARTITIONS")
         lost = before - _partition_names(spark, f"{db}.{new}")
         if lost:
             raise TableError(f"{db}.{new}: partitions lost by the rename: {sorted(lost)}")
