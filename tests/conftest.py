@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         .appName("tierview-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", os.environ.get("TEST_TIME_ZONE", "UTC"))
+        .config("spark.sql.ansi.enabled", os.environ.get("TEST_ANSI", "true"))
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")

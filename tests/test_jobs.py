@@ -361,7 +361,7 @@ def test_partition_boundary_reads_first_partitions_only(site):
 def test_partition_boundary_skips_partitions_without_times_and_sorts_by_value(site):
     from tierview.operators import boundary
 
-    rows = [(None, 2), (None, 9), (50, 10), (60, 11), (None, None)]
+    rows = [(None, 2), (None, 9), (50, 10), (55, 11), (None, None)]
     df = site.spark.createDataFrame(rows, "recordTimestamp long, p int")
     site.save(df, "numbered", by=["p"])
     spec = TableSpec(hot_partition=PartitionRule("p", "cast({t} div 5 AS int)"))
@@ -372,6 +372,16 @@ def test_partition_boundary_skips_partitions_without_times_and_sorts_by_value(si
     assert boundary.partition_boundary(site.spark, f"{site.hot}.untimed", spec) == sentinel("bigint")
 
 
+def test_misplaced_rows_stop_a_refresh(site):
+    site.init()
+    site.sql("INSERT INTO {hot}.daily{s} VALUES (-1, DATE '2024-01-01', '202408'), (-2, DATE '2024-09-01', '202407')")
+    with pytest.raises(JobError, match="1 rows read are not where"):
+        refresh_all(site.spark, site.config)
+    assert site.boundary("daily") == "2024-07-19"
+    rule = site.specs["daily"].hot_partition
+    assert sorted(r.id for r in audit.partition_violations(site.rows("daily" + SUFFIX), "d", rule).collect()) == [-2, -1]
+
+
 def test_awkward_partition_values(site):
     values = ["a b", "c/d", "e=f", "g%h", "i+j", "é"]
     site.save(site.spark.createDataFrame([(v, 1) for v in values], "p string, x int").select("x", "p"), "odd", by=["p"])

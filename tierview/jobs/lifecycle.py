@@ -17,7 +17,7 @@ from tierview.jobs.results import Results, StepError, step
 from tierview.operators.boundary import many_boundaries, table_boundary
 from tierview.operators.unify import read_range, unified_sql, unify
 from tierview.plans import lifecycle as plans
-from tierview.plans.mapping import MappingError, MappingPlan, reconcile
+from tierview.plans.mapping import MappingPlan, reconcile
 from tierview.plans.spec import TableSpec, TierConfig, TierPair
 from tierview.sources import catalog, tables, views
 
@@ -155,9 +155,9 @@ def refresh_all(spark: SparkSession, config: TierConfig) -> DataFrame:
         hot_names = {v: _names(pair, v)[1] for v in found}
         try:
             work = [(v, _checked(spark, config, pair, v)) for v in found]
-        except (MappingError, views.ViewError) as error:
+            lows = many_boundaries(spark, {hot_names[v]: config.spec(v) for v in found})
+        except Exception as error:
             raise results.stop(f"refresh of {pair.name} failed: {error}") from error
-        lows = many_boundaries(spark, {hot_names[v]: config.spec(v) for v in found})
         for table, plan in work:
             _alter(spark, pair, table, lows[hot_names[table]], plan, results)
     return results.frame(spark)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tierview.functions import sqltext
 from tierview.functions.boundaries import Boundary
+from tierview.operators.boundary import misplacement
 from tierview.operators.unify import cold_scan
 from tierview.plans.mapping import ColumnRule, MappingPlan
 from tierview.plans.spec import PartitionRule
@@ -92,9 +93,7 @@ def _null_elements(array: Column) -> Column:
 
 def partition_violations(df: DataFrame, time_column: str, rule: PartitionRule) -> DataFrame:
     """Rows whose partition is not the one their time belongs to; none if the rule may be relied on."""
-    expected = F.expr(rule.of(sqltext.ident(time_column)))
-    timed = sqltext.column(time_column).isNotNull()
-    return df.where(timed & ~sqltext.column(rule.column).eqNullSafe(expected))
+    return df.where(misplacement(time_column, rule))
 
 
 def name_diff(left: DataFrame, right: DataFrame, skip_suffix: str | None = None) -> DataFrame:

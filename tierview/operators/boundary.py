@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from tierview.functions import sqltext
 from tierview.functions.boundaries import Boundary, parse_boundary, sentinel
-from tierview.plans.spec import TableSpec
+from tierview.plans.spec import PartitionRule, TableSpec
 from tierview.sources import catalog
 
 # One job takes this many tables' minima; more would only make the query plan long.
 TABLES_PER_JOB = 64
 
 
+class PartitionError(RuntimeError):
+    """Rows are in other partitions than the declared rule says."""
+
+
 def boundary_frame(hot: DataFrame, spec: TableSpec, name: str = "boundary") -> DataFrame:
     """One row: the smallest time, or the sentinel when there is none.
 
@@ -73,25 +77,42 @@ def table_boundary(spark: SparkSession, table: str, spec: TableSpec) -> Boundary
 
 def boundaries_frame(tables: dict[str, tuple[DataFrame, TableSpec]]) -> DataFrame:
     """``tbl, boundary`` (as text; NULL when a table has no time) of many hot tables in one query."""
-    rows = [
-        hot.agg(_lowest(spec).cast("string").alias("boundary")).select(F.lit(name).alias("tbl"), "boundary")
-        for name, (hot, spec) in tables.items()
-    ]
-    return reduce(DataFrame.union, rows)
+    return _lows(tables).select("tbl", "boundary")
+
+
+def _lows(tables: dict[str, tuple[DataFrame, TableSpec]]) -> DataFrame:
+    def low(name: str, hot: DataFrame, spec: TableSpec) -> DataFrame:
+        misplaced = F.lit(0).cast("bigint")
+        if spec.hot_partition is not None:
+            misplaced = F.count_if(misplacement(spec.time_column, spec.hot_partition))
+        found = hot.agg(_lowest(spec).cast("string").alias("boundary"), misplaced.alias("misplaced"))
+        return found.select(F.lit(name).alias("tbl"), "boundary", "misplaced")
+
+    return reduce(DataFrame.union, [low(name, hot, spec) for name, (hot, spec) in tables.items()])
+
+
+def misplacement(time_column: str, rule: PartitionRule) -> Column:
+    """True for a row whose partition is not the one its time belongs to."""
+    expected = F.expr(rule.of(sqltext.ident(time_column)))
+    timed = sqltext.column(time_column).isNotNull()
+    return timed & ~sqltext.column(rule.column).eqNullSafe(expected)
 
 
 def many_boundaries(spark: SparkSession, tables: dict[str, TableSpec]) -> dict[str, Boundary]:
     """Boundaries of many catalog tables, :data:`TABLES_PER_JOB` to a job.
 
     A table with a partition rule is read a few partitions at a time, in as many rounds as it takes to
-    find a time; any other table is read once.
+    find a time; any other table is read once. Rows met on the way that break their table's rule are an
+    error, since a boundary found by it could not be relied on.
     """
     found = {name: sentinel(spec.time_type) for name, spec in tables.items()}
     left = {name: _reads(spark, name, spec) for name, spec in tables.items()}
     while left:
         ready = {name: (reads.pop(0), tables[name]) for name, reads in left.items()}
         for names in _chunks(sorted(ready), TABLES_PER_JOB):
-            for row in boundaries_frame({name: ready[name] for name in names}).collect():
+            for row in _lows({name: ready[name] for name in names}).collect():
+                if row.misplaced:
+                    raise PartitionError(f"{row.tbl}: {row.misplaced} rows read are not where the partition rule says")
                 if row.boundary is not None:
                     found[row.tbl] = _parsed(row.boundary, tables[row.tbl])
                     del left[row.tbl]
