@@ -47,7 +47,7 @@ def test_hot_only_columns():
 def test_rule_precedence():
     hot = schema(f"{TIME}, a_int array<decimal(38,0)>, b array<string>, c array<int>, d_int bigint, e_int decimal(38,0), f int, g string")
     cold = schema(f"{TIME}, a string, b string, c string, d string, e string, f bigint, g string")
-    spec = TableSpec(cold_types={"a": "Array(IPv6)".replace("(", "<").replace(")", ">"), "b": "array<string>", "c": "array<int>", "d": "ipv4", "e": "IPv6"})
+    spec = TableSpec(cold_types={"a": "Array(Nullable(IPv6))", "b": "array<string>", "c": "array<int>", "d": "LowCardinality(Nullable(IPv4))", "e": "IPv6"})
     plan = reconcile(hot, cold, spec)
     assert rules(plan) == {
         "recordTimestamp": "plain", "a_int": "decode_ipv6", "b": "decode_text", "c": "decode_typed",

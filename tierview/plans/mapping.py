@@ -153,7 +153,7 @@ def reconcile(hot: T.StructType, cold: T.StructType, spec: TableSpec) -> Mapping
     steps: list[list[tuple[str, str]]] = []
     skipped: list[tuple[str, str]] = []
     for f in cold.fields:
-        declared = _normal(spec.cold_types.get(f.name, ""))
+        declared = spec.cold_types.get(f.name, "")
         target = f.name + _ADDRESS_SUFFIX if "ipv4" in declared or "ipv6" in declared else f.name
         field = hot_fields.get(target)
         if field is None:
@@ -219,10 +219,6 @@ def _check_time(columns: list[ColumnRule], spec: TableSpec) -> None:
         )
 
 
-def _normal(declared: str) -> str:
-    return declared.replace(" ", "").lower()
-
-
 def _cast(expr: str, source: T.DataType, target: T.DataType, strict: bool) -> str:
     if source == target or (isinstance(source, T.StringType) and isinstance(target, T.StringType)):
         return expr

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -41,6 +42,13 @@ class ColdSource:
     options: Mapping[str, str] = field(default_factory=dict)
 
 
+def _plain_type(declared: str) -> str:
+    """Lower case, angle brackets, and without wrappers that say nothing about the values."""
+    text = "".join(declared.lower().split()).replace("(", "<").replace(")", ">")
+    bare = re.sub("(?:nullable|lowcardinality)<([^<>]*)>", r"\1", text)
+    return bare if bare == text else _plain_type(bare)
+
+
 @dataclass(frozen=True)
 class TableSpec:
     """Declarations for one table; empty strings mean "the default"."""
@@ -48,7 +56,7 @@ class TableSpec:
     time_column: str = DEFAULT_TIME_COLUMN
     time_type: str = DEFAULT_TIME_TYPE
     # Types the cold columns stand for where the stored type does not say it: ``ipv4``, ``ipv6``,
-    # ``array<ipv4>``, ``array<ipv6>``, ``array<T>``.
+    # ``array<ipv4>``, ``array<ipv6>``, ``array<T>``; ``Array(Nullable(IPv6))`` and the like will do.
     cold_types: Mapping[str, str] = field(default_factory=dict)
     delimiter: str = DEFAULT_DELIMITER
     # Whether a cold value that does not convert fails the query (in ANSI mode, Spark's default).
@@ -58,6 +66,8 @@ class TableSpec:
 
     def __post_init__(self):
         object.__setattr__(self, "time_column", self.time_column.strip() or DEFAULT_TIME_COLUMN)
+        plain = {name: _plain_type(declared) for name, declared in self.cold_types.items()}
+        object.__setattr__(self, "cold_types", plain)
         object.__setattr__(self, "time_type", check_kind(self.time_type.strip() or DEFAULT_TIME_TYPE))
 
 

@@ -14,7 +14,7 @@ def alias_names(schema: T.StructType, spec: TableSpec) -> dict[str, str]:
     """Source column to alias column: ``x_int`` for addresses, ``x_str`` for native arrays."""
     names = {}
     for f in schema.fields:
-        declared = spec.cold_types.get(f.name, "").replace(" ", "").lower()
+        declared = spec.cold_types.get(f.name, "")
         if declared in ("ipv4", "ipv6"):
             names[f.name] = f"{f.name}_int"
         elif isinstance(f.dataType, T.ArrayType):
@@ -30,7 +30,7 @@ def with_aliases(cold: DataFrame, spec: TableSpec) -> DataFrame:
     """
     schema = cold.schema
     for source, alias in alias_names(schema, spec).items():
-        declared = spec.cold_types.get(source, "").replace(" ", "").lower()
+        declared = spec.cold_types.get(source, "")
         value = sqltext.ident(source)
         if declared == "ipv4":
             cold = cold.withColumn(alias, F.expr(addresses.ipv4_sql(value)))
