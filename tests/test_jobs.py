@@ -557,6 +557,19 @@ def test_partial_rows_are_completed_by_the_table(site):
         tables.complete_rows(rows.withColumn("zz", F.lit(1)), site.rows("made").schema, "t")
 
 
+def test_every_type_has_a_placeholder(spark):
+    ddl = (
+        "t bigint, a tinyint, b smallint, c int, d bigint, e decimal(38,0), f float, g double, h decimal(9,2), i boolean, "
+        "j string, k date, l timestamp, m timestamp_ntz, n array<int>, o variant"
+    )
+    target = spark.createDataFrame([], ddl).schema
+    rows = tables.complete_rows(spark.range(1).toDF("t"), target, "t", required=set(target.names))
+    assert [t for _, t in rows.dtypes] == [f.dataType.simpleString() for f in target.fields]
+    row = rows.withColumn("o", F.to_json("o")).withColumn("l", F.col("l").cast("string")).first()
+    assert row[1:9] == (0,) * 8 and row[9:11] == (False, "") and row.n == [] and row.o == "{}"
+    assert [str(row[c]) for c in "klm"] == ["1970-01-01", "1970-01-01 00:00:00", "1970-01-01 00:00:00"]
+
+
 def test_rows_at_one_time_are_left_out_of_the_copy(site):
     at = parse_boundary("2024-07-19", "date")
     tables.copy_without_time(site.spark, f"{site.hot}.daily", "d", at, f"{site.hot}.daily_copy")

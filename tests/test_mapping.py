@@ -120,6 +120,15 @@ def test_every_cold_form_of_an_address(spark):
     ]
 
 
+def test_json_text_fills_a_variant(spark):
+    cold = spark.sql("SELECT 1L AS recordTimestamp, '{\"a\": 5}' AS j UNION ALL SELECT 2L, 'no json'")
+    hot = spark.sql("SELECT 9L AS recordTimestamp, parse_json('[1]') AS j")
+    plan = reconcile(hot.schema, cold.schema, TableSpec())
+    df = unify(hot, cold, plan, parse_boundary(5, "bigint"))
+    assert [r[0] for r in df.selectExpr("to_json(j)", "recordTimestamp").orderBy("recordTimestamp").collect()] == ['{"a":5}', None, "[1]"]
+    assert {r.column: r.lost for r in conversion_losses(cold, plan).collect()} == {"recordTimestamp": 0, "j": 1}
+
+
 def test_losses_do_not_count_what_was_null_before(spark):
     cold = spark.sql(
         "SELECT 1L AS recordTimestamp, array('1', NULL, 'x') AS a, array('::1', NULL, 'fe80::1') AS b, '1|y|z' AS c, "

@@ -222,6 +222,8 @@ def _check_time(columns: list[ColumnRule], spec: TableSpec) -> None:
 def _cast(expr: str, source: T.DataType, target: T.DataType, strict: bool) -> str:
     if source == target or (isinstance(source, T.StringType) and isinstance(target, T.StringType)):
         return expr
+    if isinstance(source, T.StringType) and isinstance(target, T.VariantType):
+        return f"{'parse_json' if strict else 'try_parse_json'}({expr})"
     keyword = "cast" if strict or _never_fails(source, target) else "try_cast"
     return f"{keyword}({expr} AS {target.simpleString()})"
 

@@ -65,6 +65,8 @@ def _filler(field: T.StructField, required: bool) -> Column:
         value = F.expr(default)
     elif required and isinstance(field.dataType, T.ArrayType):
         value = F.array()
+    elif required and isinstance(field.dataType, T.VariantType):
+        value = F.parse_json(F.lit(catalog.placeholder("json")))
     elif required:
         value = F.lit(catalog.placeholder(field.dataType.simpleString()))
     else:
