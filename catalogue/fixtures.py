@@ -91,7 +91,9 @@ def events_damaged(spark: SparkSession, sf_dir: str) -> Tiers:
         "user_id",
         F.when(bad, "n/a").otherwise(F.col("value")).alias("value"),
         F.when(bad, F.concat("src_ip", F.lit(".1"))).otherwise(F.col("src_ip")).alias("src_ip"),
-        F.concat_ws(DELIMITER, "user_id", F.when(bad, F.col("event_type")).otherwise(F.col("user_id").cast("string")), "event_id").alias("ids"),
+        F.concat_ws(
+            DELIMITER, "user_id", F.when(bad, F.col("event_type")).otherwise(F.col("user_id").cast("string")), "event_id"
+        ).alias("ids"),
     )
     hot = tiers.hot.select(
         "event_id", "recordTimestamp", "user_id", "value", "src_ip_int", F.array("user_id", "event_id").alias("ids")

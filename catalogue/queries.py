@@ -327,7 +327,9 @@ def decode_empty(spark, sf_dir):
 @query
 def epoch(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").select(
-        "event_id", boundaries.utc_epoch_seconds(F.col("ts")).alias("epoch"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+        "event_id",
+        boundaries.utc_epoch_seconds(F.col("ts")).alias("epoch"),
+        F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"),
     )
 
 

@@ -127,8 +127,8 @@ def _reads(spark: SparkSession, table: str, spec: TableSpec) -> list[DataFrame]:
     values = catalog.partition_values(spark, table, rule.column) if rule else []
     if not values:
         return [hot]
-    starts = [2**n - 1 for n in range(len(values).bit_length())]
-    return [hot.where(sqltext.column(rule.column).isin(values[s : 2 * s + 1])) for s in starts]
+    slices = [values[2**n - 1 : 2 ** (n + 1) - 1] for n in range(len(values).bit_length())]
+    return [hot.where(sqltext.column(rule.column).between(s[0], s[-1])) for s in slices]
 
 
 def _chunks(items: list, size: int) -> list[list]:

@@ -32,7 +32,9 @@ _TIME_TYPES = {
 # Times stored in steps of one: microseconds, days, units.
 _STEPWISE = (T.TimestampNTZType, T.TimestampType, T.DateType, *_INTEGRAL)
 
-REPORT_SCHEMA = "ordinal int, column string, side string, rule string, hot_type string, cold_column string, cold_type string"
+REPORT_SCHEMA = (
+    "ordinal int, column string, side string, rule string, hot_type string, cold_column string, cold_type string"
+)
 
 
 class MappingError(ValueError):
@@ -117,7 +119,12 @@ def _day_from(moment: dt.datetime) -> dt.date | None:
 
 
 def _compare(
-    time_sql: str, op: str, boundary: Boundary, compared: T.DataType, stored: T.DataType, partition: PartitionRule | None
+    time_sql: str,
+    op: str,
+    boundary: Boundary,
+    compared: T.DataType,
+    stored: T.DataType,
+    partition: PartitionRule | None,
 ) -> str:
     """Time comparison plus, on a partitioned tier, what it implies for the partition column.
 
