@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierview.llm import shards, tokens, urls
+from tierview.llm import pieces, shards, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,22 @@ URL_GLOBS = tuple(
 )
 
 
+def piece_model() -> str:
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op2_sentencepiece(spark, sf_dir):
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), "doc_id", "text", piece_model())
+    decoded = pieces.decode(encoded, "doc_id", "ids", piece_model())
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op3_url_filter(spark, sf_dir):
     judged = urls.judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", URL_RULES, URL_GLOBS)
