@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierview.llm import pieces, shards, tokens, urls
+from tierview.llm import pieces, secrets, shards, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +58,20 @@ def op3_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op4_secret_scan(spark, sf_dir):
+    findings, _ = secrets.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return findings.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(secrets.listed(F.col("spans")), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op7_token_counts(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
