@@ -1,0 +1,118 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+
+from tierview.llm import minhash, queries, words
+from tierview.llm.components import components
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def shingles(text: str | None) -> frozenset:
+    own = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    if len(own) < 5:
+        return frozenset([tuple(own)] if own else [])
+    return frozenset(tuple(own[i : i + 5]) for i in range(len(own) - 4))
+
+
+def brute(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, bool]]:
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = defaultdict(list)
+    for i in sorted(sets):
+        common = Counter(j for s in sets[i] for j in holders[s])
+        for j, n in common.items():
+            if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for s in sets[i]:
+            holders[s].append(i)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def test_shingles_are_told_apart():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["a", "B", "b", "cc", "é\t", "\n"], k=rng.randrange(12))) for _ in range(400)] + ["", "x", " \t "]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(d) for d in data])
+    h, bounds, _ = words.hashed(np.frombuffer(b"".join(data), np.uint8), offsets, words.white_space_words())
+    s, begins = words.shingled(h, bounds, 5)
+    of = {}
+    for t, a, b in zip(texts, begins[:-1], begins[1:]):
+        assert of.setdefault(frozenset(s[a:b].tolist()), shingles(t)) == shingles(t)
+    assert len(of) == len({shingles(t) for t in texts})
+
+
+def test_signatures_are_those_of_single_sets():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (1, 40_000, 3, 70_000, 1, 500)]
+    begins = np.cumsum([0] + [len(s) for s in sets])[:-1]
+    together = minhash.signatures(np.concatenate(sets), begins, 7)
+    for s, row in zip(sets, together):
+        assert (minhash.signatures(s, np.array([0]), 7)[0] == row).all()
+    one = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    two = np.concatenate((one[:3000], rng.integers(0, 2**63, 1000, dtype=np.uint64)))
+    a, b = minhash.signatures(np.concatenate((one, two)), np.array([0, 4000]), 500)
+    assert abs(np.mean(a == b) - 0.6) < 0.08
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(500, 400), (7, 7)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([rng.sample(e, 2) for e in edges], "a long, b long")
+    want = {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 150)}, 400: 400, 500: 400}
+    assert {tuple(r) for r in components(df).collect()} == set(want.items())
+    assert components(df.limit(0)).count() == 0
+
+
+def near_copies(rng, count, words_each=90):
+    """A text, copies of it at all distances around 75 %, chains of them, and texts that share a passage."""
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = rng.choices(vocabulary, k=words_each)
+    out = []
+    for n in range(count):
+        own = list(base if n % 3 else (out[-1].split() if out else base))
+        for at in rng.sample(range(words_each), rng.randrange(0, 6)):
+            own[at] = rng.choice(vocabulary)
+        out.append(" ".join(own))
+    passage = " ".join(rng.choices(vocabulary, k=40))
+    return out + [passage + " " + " ".join(rng.choices(vocabulary, k=rng.randrange(5, 60))) for _ in range(count)]
+
+
+def test_large_groups_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 8)  # so that these buckets are large
+    texts = near_copies(random.Random(11), 150)
+    rows = list(enumerate(texts + texts[:20] + ["a b c", "A  b\tC", "a b", "", None, "x"]))
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, "doc_id", "text").collect()}
+    want = brute(rows)
+    assert len({c for _, c, _ in want.values()}) > 20
+    assert got == want
+
+
+def test_awkward_texts(awkward, nothing):
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(awkward, "doc_id", "text").collect()]
+    assert len(got) == awkward.count()
+    known = {r.doc_id: r.text for r in awkward.collect() if r.doc_id is not None}
+    want = brute(list(known.items()))
+    assert {(i, *want[i]) for i in known} == {g for g in got if g[0] is not None}
+    assert [g for g in got if g[0] is None] == [(None, 1, None, True)]
+    assert minhash.near_duplicates(nothing, "doc_id", "text").count() == 0
+
+
+def test_query_agrees_with_brute_force(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.QUERIES["op5_minhash"](spark, sf_dir).collect()}
+    assert got == brute(rows)

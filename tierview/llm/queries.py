@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierview.llm import pieces, secrets, shards, tokens, urls
+from tierview.llm import minhash, pieces, secrets, shards, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,11 @@ def op4_secret_scan(spark, sf_dir):
     )
 
 
+@query
+def op5_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query
 def op7_token_counts(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
