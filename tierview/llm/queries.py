@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierview.llm import minhash, pieces, secrets, shards, tokens, urls
+from tierview.llm import leaks, minhash, pieces, secrets, shards, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,10 @@ def op8_balanced_shards(spark, sf_dir):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query
+def op10_decontaminate(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = leaks.overlaps(docs, "doc_id", "text", items, "item_id", "text")
+    return found.withColumn("similarity", F.col("n_equal") / F.col("n_words"))
