@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierview.llm import leaks, minhash, pieces, secrets, shards, tokens, urls
+from tierview.llm import leaks, minhash, pieces, quality, secrets, shards, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +36,18 @@ URL_GLOBS = tuple(
 )
 
 
+@query
+def op1_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ranking = quality.learn(docs, "doc_id", "text", labels, "quality")
+    return quality.scored(docs, "doc_id", "text", ranking).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
