@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierview.llm import leaks, minhash, pieces, quality, secrets, shards, tokens, urls
+from tierview.llm import digests, leaks, minhash, pieces, quality, secrets, shards, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,6 +89,27 @@ def op5_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query
+def op6_fingerprints(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    ranks = digests.rarity(digests.entropy_counts(docs, "text"))
+    n, half = F.length("t"), F.floor(F.length("t") / 2).cast("int")
+    edited = F.concat(F.substr("t", F.lit(1), n - half), F.substr("next", F.lit(1), half))
+    rows = digests.followed(docs, "doc_id", "text").withColumn("edited", edited)
+    rows = rows.withColumns({"n_chars": n.cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    prints = digests.fingerprints(rows, ["t", "edited", "next"], ranks, keep=["k", "n_chars", "edited_sha256"])
+    alike = digests.compared(prints, {"near_edited": ("t", "edited"), "near_next": ("t", "next")})
+    return alike.select(
+        F.col("k").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        F.col("t").alias("fingerprint"),
+        F.col("edited").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 @query
 def op7_token_counts(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
