@@ -146,6 +146,28 @@ def overlaps(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     return out.select(F.col("id").alias(key), F.col("item").alias(item_key), "first_word", "n_words", "n_equal")
 
 
+def clean(df: DataFrame, text: str, items: DataFrame, item_text: str) -> DataFrame:
+    """The rows of ``df`` whose text overlaps with no item, with all their columns. A null text is an empty one."""
+    bounded_batches(df.sparkSession)
+    for _, texts in _blocks(items, item_text, item_text):
+        df = df.mapInArrow(_keeper(df.sparkSession.sparkContext.broadcast(Seeds(texts)), text), df.schema)
+    return df
+
+
+def _keeper(sent, text: str):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seeds = words.plain_words(), sent.value
+        for batch in batches:
+            data, offsets = words.raw(batch.column(text).fill_null(""))
+            mine = np.ones(batch.num_rows, bool)
+            for lo, hi in words.chunks(offsets):
+                own, bounds, _ = words.hashed(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table)
+                mine[[lo + found[0] for found in _overlaps(seeds, own, bounds)]] = False
+            yield batch.filter(pa.array(mine))
+
+    return keep
+
+
 def _finder(sent, keys: list, key_type):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type

@@ -87,35 +87,33 @@ def scan(
     of each task by then. The join back moves addresses only, and a hot one is split (adaptive skew join).
     """
     rows = versions.select(column(path).alias("path"), F.coalesce(column(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("blob", F.sha2("text", 256))
+    rows = rows.withColumn("blob", address(F.col("text")))
+    found, new = _found(rows, rules, ledger)
+    findings = rows.select("path", "blob").join(found, "blob", "left")
+    spans = F.array_sort(F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
+    return findings.select(F.col("path").alias(path), "blob", spans.alias("spans")), new
+
+
+def _found(rows: DataFrame, rules: Sequence[Rule], ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``rows``: blob and text. Returns blob and spans of the blobs with findings, and the new rows of the ledger."""
     blobs = rows.select("blob", "text").dropDuplicates(["blob"])
     own = [rule.id for rule in rules]
+    none = F.array().cast("array<string>")
     if ledger is None:
-        unseen = blobs.withColumn("seen", F.array().cast("array<string>"))
+        unseen = blobs.withColumn("seen", none)
     else:
         seen = ledger.where(F.col("rule").isin(own)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        unseen = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-        unseen = unseen.where(F.size("seen") < len(own))
-    scanned = unseen.select(
-        "blob",
-        *(
-            F.when(~F.array_contains("seen", rule.id), _spans(F.col("text"), rule, n)).alias(f"r{n}")
-            for n, rule in enumerate(rules)
-        ),
-    )
-    each = F.array(*(F.struct(F.lit(rule.id).alias("rule"), F.col(f"r{n}").alias("spans")) for n, rule in enumerate(rules)))
+        unseen = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", none)).where(F.size("seen") < len(own))
+    spans = [F.when(~F.array_contains("seen", rule.id), _spans(F.col("text"), rule, n)) for n, rule in enumerate(rules)]
+    names = [f"r{n}" for n in range(len(own))]
+    scanned = unseen.select("blob", *(s.alias(name) for s, name in zip(spans, names)))
+    each = F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(name).alias("spans")) for rule, name in zip(own, names)))
     new = scanned.select("blob", F.explode(each).alias("x")).where("x.spans IS NOT NULL").select("blob", "x.rule", "x.spans")
-
     if ledger is None:
-        # Nothing but this scan has findings, one row for each blob already.
-        together = F.flatten(F.array(*(F.col(f"r{n}") for n in range(len(own)))))
-        found = scanned.select("blob", together.alias("spans")).where(F.size("spans") > 0)
-    else:
-        known = ledger.where(F.col("rule").isin(own)).select("blob", "rule", "spans").unionByName(new)
-        found = known.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    findings = rows.select("path", "blob").join(found, "blob", "left")
-    spans = F.array_sort(F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
-    return findings.select(F.col("path").alias(path), "blob", spans.alias("spans")), new
+        # Nothing but this scan has findings, and it has one row for each blob already.
+        return scanned.select("blob", F.flatten(F.array(*names)).alias("spans")).where(F.size("spans") > 0), new
+    known = ledger.where(F.col("rule").isin(own)).select("blob", "rule", "spans").unionByName(new)
+    return known.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans")), new
 
 
 def listed(spans: Column) -> Column:
@@ -134,3 +132,14 @@ def masked(text: Column, spans: Column, mark: str = "<secret>") -> Column:
 
     rest = lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(text)
+
+
+def cleaned(df: DataFrame, text: str, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """``df`` with all its rows and columns, and the secrets in ``text`` masked; a null text stays null."""
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(column(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("blob", address(F.col("text")))
+    found, _ = _found(rows, rules, ledger)
+    joined = rows.select("row", "blob").join(found, "blob", "left")
+    body = F.col("row")[text]
+    masks = F.when(F.size("spans") > 0, masked(body, F.array_sort("spans"))).otherwise(body)
+    return joined.select(*(masks.alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns))
