@@ -91,7 +91,8 @@ def near_copies(rng, count, words_each=90):
 
 
 def test_large_groups_agree_with_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "LARGE", 8)  # so that these buckets are large
+    monkeypatch.setattr(minhash, "BLOCK", 7)  # so that groups have many blocks
+    monkeypatch.setattr(minhash, "PART", 9)
     texts = near_copies(random.Random(11), 150)
     rows = list(enumerate(texts + texts[:20] + ["a b c", "A  b\tC", "a b", "", None, "x"]))
     random.Random(1).shuffle(rows)

@@ -5,10 +5,11 @@ stands for. A class's signature comes from two permutations of 32 bits: the firs
 coordinate k is the smallest value that the second gives to the spread shingles shifted around the circle by k. Bands
 of coordinates are buckets, and classes that share one may be alike.
 
-Inside a bucket pairs are not all formed. Each member is held against the bucket's hub, the class that shares most
-buckets, on the full sets. What is connected by then needs no further look. Only members of a bucket that ended in
-different components are paired; in a large bucket only those that share a second one, too, which by 55 more bands
-finds a pair as surely as the first step. All links found are exact.
+Inside a bucket pairs are not formed. Each member is held against the bucket's hub, the class that shares most
+buckets, on the full sets. What is connected by then needs no further look. All classes that met a hub are its group;
+where a group ended in several components, members of different ones are compared, block by block within tasks, and
+only links come out, one for each class and component. So all links between buckets' members that matter are found,
+and each is exact.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ SHINGLE, PERCENT = 5, 75
 #: A pair at 75 % shares a band of 5 with probability 0.237, so all 56 are missed by 3 pairs in 10 million.
 BANDS, ROWS = 56, 5
 
-#: Members of a bucket from which on pairs must share a second bucket, and members that are held against a hub in one task.
-LARGE, PART = 64, 256
+#: Members that are held against a hub in one task, and members of a block when a group is compared within itself.
+PART, BLOCK = 256, 256
 
 _U32 = np.uint32
 _SPREAD, _SHIFTED = (0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35), (0x7F4A7C15, 0x2C1B3C6D, 0x297A2D39)
@@ -154,6 +155,87 @@ def _verified(df: DataFrame, key: str, text: str, pairs: DataFrame) -> DataFrame
     return together.mapInArrow(verify, f"a {kind}, b {kind}").distinct()
 
 
+def _between(df: DataFrame, key: str, text: str, stars: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Links between members of a hub's group that are in different components.
+
+    Most of a group is in the hub's component; the others are held against it, and against each other, in blocks.
+    """
+    group = stars.unionByName(stars.select("a", F.col("a").alias("b")).distinct()).select(F.col("a").alias("hub"), F.col("b").alias("id"))
+    named = grouped.withColumnRenamed("node", "id")
+    placed = group.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = placed.where("id = hub").select("hub", F.col("component").alias("first"))
+    placed = placed.join(own, "hub").withColumn("inner", F.col("component") == F.col("first"))
+    sizes = placed.groupBy("hub").agg(
+        F.ceil(F.count_if("inner") / BLOCK).cast("int").alias("inners"), F.ceil(F.count_if(~F.col("inner")) / BLOCK).cast("int").alias("outers")
+    )
+    placed = checkpointed(placed.join(sizes.where("outers > 0"), "hub").drop("first"))
+
+    def block(blocks: str):
+        return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int").alias("y")
+
+    # A pair of blocks is (kind, x, y): kind 1 is an outer block x against an inner block y, kind 0 two outer ones.
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    inner = placed.where("inner").select("hub", "id", "component", F.lit(1).alias("kind"), F.explode(upto("outers")).alias("x"), block("inners"), F.lit(1).alias("side"))
+    outer = placed.where("NOT inner").withColumn("o", block("outers"))
+    against = outer.select("hub", "id", "component", F.lit(1).alias("kind"), F.col("o").alias("x"), F.explode(upto("inners")).alias("y"), F.lit(0).alias("side"))
+    among = outer.select("hub", "id", "component", "o", F.explode(upto("outers")).alias("p"))
+    among = among.select(
+        "hub", "id", "component", F.lit(0).alias("kind"), F.least("o", "p").alias("x"), F.greatest("o", "p").alias("y"), (F.col("o") > F.col("p")).cast("int").alias("side")
+    )
+    unit = ["hub", "kind", "x", "y"]
+    texts = df.select(column(key).alias("id"), column(text).alias("t")).where("t IS NOT NULL")
+    rows = texts.join(inner.unionByName(against).unionByName(among), "id").select(*unit, "side", "id", "component", "t")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_compared, f"a {kind}, b {kind}").distinct()
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Holds the documents of one pair of blocks at a time. ``side`` tells the blocks apart, unless it is one block."""
+    table = words.white_space_words()
+    held, rows, kind = None, [], None
+    for batch in batches:
+        data, offsets = words.raw(batch.column("t"))
+        unit = list(zip(*(batch.column(c).to_pylist() for c in ("hub", "kind", "x", "y"))))
+        told = list(zip(*(batch.column(c).to_pylist() for c in ("side", "id", "component"))))
+        kind = batch.column("id").type
+        for lo, hi in words.chunks(offsets):
+            sets = _sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table)
+            for i, own in zip(range(lo, hi), sets):
+                if unit[i] != held:
+                    yield _linked(held, rows, kind)
+                    held, rows = unit[i], []
+                rows.append((*told[i], own))
+    if held is not None:
+        yield _linked(held, rows, kind)
+
+
+def _linked(unit: tuple | None, rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    """For each class of the first block, one link to each other component that it has links to."""
+    a, b = [], []
+    if unit is not None:
+        one_block = unit[1] == 0 and unit[2] == unit[3]
+        left = [r for r in rows if r[0] == 0]
+        right = left if one_block else [r for r in rows if r[0] == 1]
+        right = [r for r in right if len(r[3])]
+        if left and right and len({r[2] for r in left + right}) > 1:
+            tokens, inverse = np.unique(np.concatenate([r[3] for r in right]), return_inverse=True)
+            sizes = np.array([len(r[3]) for r in right])
+            begins = np.cumsum(sizes) - sizes
+            parts = np.array([r[2] for r in right])
+            marked = np.zeros(len(tokens), np.int32)
+            for _, own, component, shingles in left:
+                at = np.minimum(np.searchsorted(tokens, shingles), len(tokens) - 1)
+                at = at[tokens[at] == shingles]
+                marked[at] = 1
+                common = np.add.reduceat(marked[inverse], begins)
+                marked[at] = 0
+                alike = (100 * common >= PERCENT * (sizes + len(shingles) - common)) & (parts != component)
+                for n in dict(zip(parts[alike].tolist(), np.flatnonzero(alike).tolist())).values():
+                    a.append(own)
+                    b.append(right[n][1])
+    return pa.record_batch([pa.array(a, kind or pa.int64()), pa.array(b, kind or pa.int64())], names=["a", "b"])
+
+
 def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """Returns per row ``key`` (under its name), ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -180,22 +262,8 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     links = checkpointed(_verified(df, key, text, stars))
     grouped = components(links)
 
-    placed = members.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    torn = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = checkpointed(placed.join(torn, "bucket").select("bucket", "size", "id", "component"))
-    if not open_.isEmpty():
-        few = open_.where(F.col("size") <= LARGE)
-        many = open_.where(F.col("size") > LARGE)
-        second = firsts.join(many.select("bucket", "id", "component"), "id")
-        second = second.select("bucket", "id", "component", F.explode("bands").alias("other")).where("other <> bucket")
-        second = second.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "id", "component").distinct()
-        cells = few.select("bucket", "id", "component").unionByName(second)
-        other = cells.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-        pairs = cells.join(other, "bucket").where("component < cb").select(F.col("id").alias("a"), "b").distinct()
-        seen = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-        pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(seen, ["x", "y"], "left_anti")
-        more = _verified(df, key, text, checkpointed(pairs.select("a", "b")))
-        grouped = components(links.unionByName(more))
+    more = _between(df, key, text, stars, grouped)
+    grouped = components(links.unionByName(more))
 
     # From a row to its class, and from the class to its component.
     named = classes.join(grouped, classes.rep == grouped.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
