@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierview.llm import digests, leaks, minhash, pieces, quality, secrets, shards, tokens, urls
+from tierview.llm import digests, leaks, minhash, pieces, quality, secrets, shards, suffixes, tokens, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,6 +124,12 @@ def op8_balanced_shards(spark, sf_dir):
     )
 
 
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op10_decontaminate(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")

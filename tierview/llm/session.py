@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def named(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns of ``df`` under the operator's own names, so that others cannot clash."""
-    return df.select(*[column(old).alias(new) for new, old in columns.items()])
+def written(df: DataFrame) -> DataFrame:
+    """As ``checkpointed``, in Parquet: smaller, and read as far as needed. The folder is new each time."""
+    session = df.sparkSession
+    base = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def column(name: str) -> Column:
