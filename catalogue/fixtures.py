@@ -51,6 +51,49 @@ def events(spark: SparkSession, sf_dir: str) -> Tiers:
     return Tiers(df.where("recordTimestamp >= 1705708800"), df.where("recordTimestamp < 1706140800"), TableSpec())
 
 
+def events_by_id(spark: SparkSession, sf_dir: str) -> Tiers:
+    """Bigint boundary on a column as it is stored, so that it reaches both scans."""
+    df = table(spark, sf_dir, "events")
+    n = df.agg(F.max("event_id")).first()[0]
+    return Tiers(
+        df.where(F.col("event_id") >= n // 2), df.where(F.col("event_id") < n // 2 + n // 4), TableSpec("event_id", "bigint")
+    )
+
+
+def events_addressed(spark: SparkSession, sf_dir: str) -> Tiers:
+    """Like :func:`events_drifted`, with IPv6 addresses, whose numbers take helper columns, and encoded arrays."""
+    tiers = events_drifted(spark, sf_dir)
+    ip6 = F.concat(F.lit("2001:db8::"), F.lower(F.hex("user_id")))
+    hot = tiers.hot.select("*", F.lit(None).cast(codec.INT128).alias("ip6_int"), F.array("user_id", "event_id").alias("ids"))
+    cold = tiers.cold.select("*", ip6.alias("ip6"), F.concat_ws(DELIMITER, "user_id", "event_id").alias("ids"))
+    spec = replace(tiers.spec, cold_types={"src_ip": "ipv4", "ip6": "ipv6"}, delimiter=DELIMITER)
+    return Tiers(hot, cold, spec)
+
+
+def orders_narrowed(spark: SparkSession, sf_dir: str) -> Tiers:
+    """Cold values that the hot types hold only in part: fractions, wide numbers, moments."""
+    tiers = orders(spark, sf_dir)
+    hot = tiers.hot.selectExpr(
+        "o_orderdate",
+        "try_cast(o_totalprice AS int) AS price",
+        "try_cast(o_totalprice AS decimal(7,1)) AS rounded",
+        "try_cast(o_orderkey AS tinyint) AS small",
+        "CAST(o_orderdate AS date) AS day",
+        "array(CAST(1 AS int)) AS both",
+        "o_custkey",
+    )
+    cold = tiers.cold.selectExpr(
+        "o_orderdate",
+        "o_totalprice AS price",
+        "CAST(o_totalprice AS decimal(12,2)) AS rounded",
+        "o_orderkey AS small",
+        "o_orderdate + make_dt_interval(0, o_orderkey % 2) AS day",
+        "array(o_totalprice, CAST(o_orderkey AS double)) AS both",
+        "CAST(o_custkey AS string) AS o_custkey",
+    )
+    return Tiers(hot, cold, tiers.spec)
+
+
 def events_without_some_times(spark: SparkSession, sf_dir: str) -> Tiers:
     tiers = events(spark, sf_dir)
     time = F.when(F.col("value") >= 20, F.col("recordTimestamp"))

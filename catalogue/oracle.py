@@ -5,8 +5,6 @@ Boundaries are written as subqueries over the hot tier, not as constants, so the
 
 from __future__ import annotations
 
-from tierview.functions.boundaries import PLACEHOLDERS
-
 DELIMITER = "|+|"
 
 ORDERS_HOT = "(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01 00:00:00')"
@@ -19,6 +17,7 @@ EVENTS = (
 )
 EVENTS_HOT = f'(SELECT * FROM {EVENTS} WHERE "recordTimestamp" >= 1705708800)'
 EVENTS_COLD = f'(SELECT * FROM {EVENTS} WHERE "recordTimestamp" < 1706140800)'
+RECORD = '"recordTimestamp"'
 EVENTS_B = f'(SELECT min("recordTimestamp") FROM {EVENTS_HOT})'
 _UNTIMED = '* REPLACE (CASE WHEN value >= 20 THEN "recordTimestamp" END AS "recordTimestamp")'
 UNTIMED_HOT = f"(SELECT {_UNTIMED} FROM {EVENTS_HOT})"
@@ -145,14 +144,31 @@ _REPORT = [
     ("ids", "decode_typed", "string", "array<bigint>", 1, 0),
 ]
 
-_STEPS = ("precheck", "mapping", "rename", "create_view", "alter_view", "drop_view", "rename_back", "drop_cold")
+_FRACTION = "trunc(o_totalprice) <> o_totalprice"
+_LOSSES = [
+    # column, rule, cold type, hot type, what is lost, what is changed
+    ("o_orderdate", "plain", "timestamp_ntz", "timestamp_ntz", "false", "false"),
+    ("price", "cast", "double", "int", "false", _FRACTION),
+    (
+        "rounded", "cast", "decimal(12,2)", "decimal(7,1)", "o_totalprice >= 999999.95",
+        "o_totalprice < 999999.95 AND CAST(o_totalprice * 100 AS BIGINT) % 10 <> 0",
+    ),
+    ("small", "cast", "bigint", "tinyint", "o_orderkey > 127", "false"),
+    ("day", "cast", "timestamp_ntz", "date", "false", "o_orderkey % 2 = 1 OR date_trunc('day', o_orderdate) <> o_orderdate"),
+    ("both", "cast", "array<double>", "array<int>", "false", _FRACTION),
+    ("o_custkey", "cast", "string", "bigint", "false", "false"),
+]
+
+_STEPS = ("precheck", "mapping", "rename", "create_view", "alter_view", "drop_view", "rename_back", "drop_cold", "unknown")
 _SUMMARY = (
     "count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS success, "
     "count(*) FILTER (o_orderstatus = 'P') AS failed, "
     + ", ".join(
         {
             "drop_view": "count(*) FILTER (o_orderstatus = 'P' AND o_totalprice > 200000) AS failed_drop_view",
-            "precheck": "count(*) FILTER (o_orderstatus = 'P' AND NOT o_totalprice > 200000) AS failed_precheck",
+            "precheck": "count(*) FILTER (o_orderstatus = 'P' AND o_totalprice <= 200000 AND o_totalprice > 100000) "
+            "AS failed_precheck",
+            "unknown": "count(*) FILTER (o_orderstatus = 'P' AND o_totalprice <= 100000) AS failed_unknown",
         }.get(s, f"CAST(0 AS BIGINT) AS failed_{s}")
         for s in _STEPS
     )
@@ -187,6 +203,38 @@ ORACLES: dict[str, str] = {
     "q_update_sentinel": _unified(ORDERS_COLD, ORDERS_HOT, "o_orderdate", "TIMESTAMP '9999-12-31 23:59:59'"),
     "q_read_range_hot_only": _orders_range("2000-03-01 00:00:00", "2000-09-01 00:00:00"),
     "q_read_range_cold_only": _orders_range("1996-03-01 00:00:00", "1997-03-01 00:00:00"),
+    "q_read_range_from": _orders_range("1998-11-01 00:00:00", "9999-01-01 00:00:00"),
+    "q_read_range_until": _orders_range("0001-01-01 00:00:00", "1999-03-01 00:00:00"),
+    "q_read_range_events": (
+        f"SELECT * FROM ({_unified(EVENTS_COLD, EVENTS_HOT, RECORD, EVENTS_B)}) "
+        f"WHERE {RECORD} >= 1705600000 AND {RECORD} < 1706000000"
+    ),
+    "q_read_range_lineitem": (
+        f"SELECT * FROM ({_unified(LINEITEM_COLD, LINEITEM_HOT, 'd', LINEITEM_B)}) "
+        "WHERE d >= DATE '1999-11-01' AND d < DATE '2000-02-01'"
+    ),
+    "q_view_orders": _unified(ORDERS_COLD, ORDERS_HOT, "o_orderdate", ORDERS_B),
+    "q_view_lineitem": _unified(
+        f"(SELECT *, CAST(NULL AS VARCHAR) AS ym FROM {LINEITEM_COLD})", MONTHLY_HOT, "d", LINEITEM_B
+    ),
+    "q_view_drifted": _unified(
+        f"(SELECT *, CAST({_IPV6_BASE} + CAST(user_id AS DECIMAL(38,0)) AS VARCHAR) AS ip6_int, "
+        f"[user_id, event_id] AS ids FROM {DRIFTED_COLD})",
+        f"(SELECT *, CAST(NULL AS VARCHAR) AS ip6_int, [user_id, event_id] AS ids FROM {DRIFTED_HOT})",
+        RECORD,
+        EVENTS_B,
+    ),
+    "q_unified_event_ids": _unified(
+        "(SELECT * FROM events WHERE event_id < (SELECT max(event_id) // 2 + max(event_id) // 4 FROM events))",
+        "(SELECT * FROM events WHERE event_id >= (SELECT max(event_id) // 2 FROM events))",
+        "event_id",
+        "(SELECT min(event_id) FROM events WHERE event_id >= (SELECT max(event_id) // 2 FROM events))",
+    ),
+    "q_conversion_losses": " UNION ALL ".join(
+        f"SELECT {n} AS ordinal, '{name}' AS \"column\", '{rule}' AS rule, '{cold}' AS cold_type, '{hot}' AS hot_type, "
+        f"count(*) FILTER ({lost}) AS lost, count(*) FILTER ({changed}) AS changed FROM {ORDERS_COLD}"
+        for n, (name, rule, cold, hot, lost, changed) in enumerate(_LOSSES)
+    ),
     "q_read_range_both": _orders_range("1998-11-01 00:00:00", "1999-03-01 00:00:00"),
     "q_boundary_ts": f"SELECT min(o_orderdate) AS boundary FROM {ORDERS_HOT}",
     "q_boundary_date": f"SELECT min(d) AS boundary FROM {LINEITEM_HOT}",
@@ -200,6 +248,14 @@ ORACLES: dict[str, str] = {
         f"AS boundary FROM {ORDERS_HOT}"
     ),
     "q_boundary_partition": f"SELECT min(d) AS boundary FROM {LINEITEM_HOT}",
+    "q_boundary_partition_numeric": (
+        f"SELECT min(d) AS boundary FROM {LINEITEM_HOT} WHERE d >= DATE '2000-09-01' AND d < DATE '2001-01-01'"
+    ),
+    "q_rule_proof": (
+        f"SELECT 'hot' AS tbl, count(d) AS timed, CAST(0 AS BIGINT) AS misplaced FROM {LINEITEM_HOT} UNION ALL "
+        "SELECT 'cold', count(d), count(*) FILTER (strftime(d, '%Y%m') <> strftime(d + l_linenumber, '%Y%m')) "
+        f"FROM {LINEITEM_COLD}"
+    ),
     "q_partitions_sorted": f"SELECT DISTINCT ym AS partition FROM {MONTHLY_HOT} ORDER BY 1",
     "q_partition_scan": f"SELECT * FROM {MONTHLY_HOT} WHERE ym = (SELECT min(ym) FROM {MONTHLY_HOT})",
     "q_partition_violations": (
@@ -260,7 +316,7 @@ ORACLES: dict[str, str] = {
     ),
     "q_complete_rows": (
         "SELECT o_orderkey, CAST(0 AS BIGINT) AS o_custkey, 'O' AS o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, "
-        f"o_orderdate, '{PLACEHOLDERS['string']}' AS o_orderpriority, DATE '{PLACEHOLDERS['date']}' AS o_billed, "
+        f"o_orderdate, '' AS o_orderpriority, DATE '1970-01-01' AS o_billed, "
         "false AS o_open FROM orders"
     ),
     "q_complete_rows_required": (
@@ -323,9 +379,11 @@ ORACLES: dict[str, str] = {
     "q_time_spec": """
         SELECT c_name || CASE c_mktsegment WHEN 'BUILDING' THEN '_hot' WHEN 'FURNITURE' THEN '_local' ELSE '' END
                    AS "table",
-               CASE WHEN c_acctbal > 0 AND c_mktsegment <> 'MACHINERY' THEN 'insertTime' ELSE 'recordTimestamp' END
-                   AS time_column,
-               CASE WHEN c_acctbal > 0 AND c_mktsegment <> 'HOUSEHOLD' THEN 'datetime' ELSE 'bigint' END AS time_type
+               CASE WHEN c_acctbal < -500 AND c_mktsegment <> 'FURNITURE' THEN 'hotTime'
+                    WHEN (c_acctbal > 0 OR c_acctbal < -500) AND c_mktsegment <> 'MACHINERY' THEN 'insertTime'
+                    ELSE 'recordTimestamp' END AS time_column,
+               CASE WHEN (c_acctbal > 0 OR c_acctbal < -500) AND c_mktsegment <> 'HOUSEHOLD' THEN 'datetime'
+                    ELSE 'bigint' END AS time_type
         FROM customer
     """,
     "q_run_summary": (
@@ -336,5 +394,6 @@ ORACLES: dict[str, str] = {
         f"SELECT '{t}' AS tbl, CASE WHEN count(*) > 0 THEN 'rows' ELSE 'empty' END AS status, "
         f"CAST(NULL AS VARCHAR) AS error FROM {source}"
         for t, source in [*((t, t) for t in _PROBED), ("no_orders", "(SELECT * FROM orders WHERE o_totalprice < 0)")]
-    ),
+    )
+    + " UNION ALL SELECT 'missing', 'error', 'TABLE_OR_VIEW_NOT_FOUND'",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tierview.functions import addresses, boundaries, codec
 from tierview.functions.boundaries import parse_boundary, sentinel
 from tierview.operators import audit, boundary, unify
 from tierview.plans import lifecycle
-from tierview.plans.spec import TableSpec, time_specs
+from tierview.plans.spec import PartitionRule, TableSpec, time_specs
 from tierview.sources import aliases, catalog, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,13 +115,70 @@ def read_range_both(spark, sf_dir):
     return _range(spark, sf_dir, "1998-11-01 00:00:00", "1999-03-01 00:00:00")
 
 
-def _range(spark, sf_dir, start: str, end: str) -> DataFrame:
-    tiers = fx.orders(spark, sf_dir)
+@query
+def read_range_from(spark, sf_dir):
+    return _range(spark, sf_dir, "1998-11-01 00:00:00", None)
+
+
+@query
+def read_range_until(spark, sf_dir):
+    return _range(spark, sf_dir, None, "1999-03-01 00:00:00")
+
+
+@query
+def read_range_events(spark, sf_dir):
+    return _limited(fx.events(spark, sf_dir), "1705600000", "1706000000")
+
+
+@query
+def read_range_lineitem(spark, sf_dir):
+    return _limited(fx.lineitem(spark, sf_dir), "1999-11-01", "2000-02-01")
+
+
+def _range(spark, sf_dir, start: str | None, end: str | None) -> DataFrame:
+    return _limited(fx.orders(spark, sf_dir), start, end)
+
+
+def _limited(tiers: fx.Tiers, start: str | None, end: str | None) -> DataFrame:
     cut = boundary.global_boundary(tiers.hot, tiers.spec)
-    limits = [parse_boundary(t, "datetime") for t in (start, end)]
+    limits = [t if t is None else parse_boundary(t, tiers.spec.time_type) for t in (start, end)]
     return unify.read_range(tiers.hot, tiers.cold, tiers.plan, cut, *limits)
 
 
+# The text of the view ----------------------------------------------------------------------------
+
+
+def _viewed(spark, tiers: fx.Tiers, name: str) -> DataFrame:
+    """The unified table by the query text that a view would hold, over temporary views of both tiers."""
+    cut = boundary.global_boundary(tiers.hot, tiers.spec)
+    tiers.hot.createOrReplaceTempView(f"{name}_hot")
+    tiers.cold.createOrReplaceTempView(f"{name}_cold")
+    return spark.sql(unify.unified_sql(tiers.plan, cut, f"{name}_hot", f"{name}_cold"))
+
+
+@query
+def view_orders(spark, sf_dir):
+    return _viewed(spark, fx.orders(spark, sf_dir), "view_orders")
+
+
+@query
+def view_lineitem(spark, sf_dir):
+    tiers = fx.lineitem(spark, sf_dir)
+    tiers = replace(tiers, hot=fx.lineitem_by_month(spark, sf_dir), spec=replace(tiers.spec, hot_partition=fx.MONTH))
+    return _viewed(spark, tiers, "view_lineitem")
+
+
+@query
+def view_drifted(spark, sf_dir):
+    tiers = fx.events_addressed(spark, sf_dir)
+    return _viewed(spark, tiers, "view_drifted").withColumn("ip6_int", F.col("ip6_int").cast("string"))
+
+
+@query
+def unified_event_ids(spark, sf_dir):
+    return _unified(fx.events_by_id(spark, sf_dir))
+
+
 # Boundaries and partitions -----------------------------------------------------------------------
 
 
@@ -158,13 +216,35 @@ def boundary_all_null_hot(spark, sf_dir):
 @query
 def boundary_partition(spark, sf_dir):
     hot = fx.lineitem_by_month(spark, sf_dir)
-    return boundary.partition_boundary_frame(hot, TableSpec("d", "date"), fx.MONTH.column)
+    return _pruned(spark, hot, TableSpec("d", "date", hot_partition=fx.MONTH))
 
 
 @query
-def partitions_sorted(spark, sf_dir):
+def boundary_partition_numeric(spark, sf_dir):
+    # Months as numbers: 9 comes before 10, as it does not by name.
+    rule = PartitionRule("m", "month({t})")
+    year = fx.lineitem(spark, sf_dir).hot.where("d >= DATE '2000-09-01' AND d < DATE '2001-01-01'")
+    return _pruned(spark, year.withColumn("m", F.expr(rule.of("d"))), TableSpec("d", "date", hot_partition=rule))
+
+
+def _pruned(spark, hot: DataFrame, spec: TableSpec) -> DataFrame:
+    values = [r.partition for r in catalog.frame_partitions(hot, spec.hot_partition.column).collect()]
+    low = boundary.pruned_boundary(hot, spec, values)
+    return spark.range(1).select(F.expr(low.sql(hot.schema[spec.time_column].dataType)).alias("boundary"))
+
+
+@query
+def rule_proof(spark, sf_dir):
+    """Of each tier the rows that a partition rule would lose: none of the hot ones, some of the cold ones."""
     hot = fx.lineitem_by_month(spark, sf_dir)
-    return hot.select(F.col(fx.MONTH.column).alias("partition")).distinct().orderBy("partition")
+    cold = fx.lineitem(spark, sf_dir).cold.withColumn("d", F.to_date("d"))
+    moved = cold.withColumn(fx.MONTH.column, F.expr(fx.MONTH.of("date_add(d, l_linenumber)")))
+    return boundary.rule_proofs({"hot": (hot, "d", fx.MONTH), "cold": (moved, "d", fx.MONTH)})
+
+
+@query
+def partitions_sorted(spark, sf_dir):
+    return catalog.frame_partitions(fx.lineitem_by_month(spark, sf_dir), fx.MONTH.column)
 
 
 @query
@@ -225,6 +305,12 @@ def ip_mapping(spark, sf_dir):
 @query
 def mapping_report(spark, sf_dir):
     tiers = fx.events_damaged(spark, sf_dir)
+    return audit.conversion_losses(tiers.cold, tiers.plan).drop("changed")
+
+
+@query
+def conversion_losses(spark, sf_dir):
+    tiers = fx.orders_narrowed(spark, sf_dir)
     return audit.conversion_losses(tiers.cold, tiers.plan)
 
 
@@ -451,9 +537,14 @@ def time_spec(spark, sf_dir):
         .otherwise(F.col("c_name"))
         .alias("table")
     )
-    declared = customers.where("c_acctbal > 0").select(
-        F.col("c_name").alias("table"),
-        F.when(segment == "MACHINERY", " ").otherwise(F.lit("insertTime")).alias("time_column"),
+    # Declared under the hot name what has a debt, and beside it under its own name, which then does not count.
+    debt = F.when(F.col("c_acctbal") < -500, F.array(F.lit("_hot"), F.lit(""))).otherwise(F.array(F.lit("")))
+    declared = customers.where("c_acctbal > 0 OR c_acctbal < -500").withColumn("suffix", F.explode(debt)).select(
+        F.concat("c_name", "suffix").alias("table"),
+        F.when(F.col("suffix") == "_hot", "hotTime")
+        .when(segment == "MACHINERY", " ")
+        .otherwise(F.lit("insertTime"))
+        .alias("time_column"),
         F.when(segment == "HOUSEHOLD", "").otherwise(F.lit("DATETIME")).alias("time_type"),
     )
     return time_specs(names, declared, ["_hot", "_local"])
@@ -465,7 +556,12 @@ def run_summary(spark, sf_dir):
     results = fx.table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("pair"),
         F.when(late, "failed").otherwise("restored").alias("status"),
-        F.when(late, F.when(F.col("o_totalprice") > 200000, "drop_view").otherwise("precheck")).alias("step"),
+        F.when(
+            late,
+            F.when(F.col("o_totalprice") > 200000, "drop_view")
+            .when(F.col("o_totalprice") > 100000, "precheck")
+            .when(F.col("o_totalprice") > 50000, "elsewhere"),
+        ).alias("step"),
     )
     return audit.run_summary(results)
 
@@ -475,4 +571,7 @@ def probe_tables(spark, sf_dir):
     names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark"
     frames = {n: fx.table(spark, sf_dir, n) for n in [*names.split(), "labels", "conversations"]}
     frames["no_orders"] = frames["orders"].where("o_totalprice < 0")
-    return audit.probe(spark, {name: lambda df=df: df for name, df in frames.items()})
+    readers = {name: lambda df=df: df for name, df in frames.items()}
+    readers["missing"] = lambda: spark.table("no_such_table")
+    # Of the error its class only: the text is Spark's own.
+    return audit.probe(spark, readers).withColumn("error", F.regexp_extract("error", r"^\[([A-Z_]+)\]", 1))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tierview import BoundaryError, ColdSource, PartitionRule, TableSpec, TierConfig, TierPair, parse_boundary, sentinel
 from tierview.functions import sqltext
+from tierview.jobs import lifecycle
 from tierview.jobs import (
     JobError,
     init_plan,
@@ -583,3 +585,168 @@ def test_names_are_quoted():
     assert sqltext.table_ref("a.b", "c") == "`a`.`b`.`c`"
     assert sqltext.ident("x`y") == "`x``y`"
     assert sqltext.string("a'b\\") == "'a\\'b\\\\'"
+
+
+# Rules are proved, names resolved, failures recorded ------------------------------------------------
+
+
+def misplace(site, tier):
+    """A row in a later partition than its day belongs to, where no search for the boundary looks."""
+    if tier == "hot":
+        site.sql("INSERT INTO {hot}.daily VALUES (-1, DATE '2024-08-05', '202410')")
+        return
+    rule = PartitionRule("cym", "date_format({t}, 'yyyyMM')")
+    site.specs["daily"] = replace(site.specs["daily"], cold_partition=rule)
+    cold = site.spark.table(f"{site.cold}.daily").selectExpr("*", f"{rule.of('d')} AS cym")
+    moved = cold.selectExpr(*[c for c in cold.columns if c != "cym"], "CASE WHEN id = (SELECT min(id) FROM {c}) THEN '209901' ELSE cym END AS cym".replace("{c}", f"{site.cold}.daily"))
+    rows = site.spark.createDataFrame(moved.collect(), moved.schema)
+    site.spark.sql(f"DROP TABLE {site.cold}.daily")
+    site.save(rows, "daily", tier="cold", by=["cym"])
+
+
+@pytest.mark.parametrize("tier", ["hot", "cold"])
+def test_a_misplaced_row_stops_every_job(site, tier):
+    misplace(site, tier)
+    with pytest.raises(JobError, match="partition rule") as stopped:
+        run_init(site.spark, site.config)
+    assert [r[:4] for r in stopped.value.results if r[2] == "failed"] == [("cold", "daily", "failed", "precheck")]
+    assert site.kinds()["daily"] == "TABLE"
+    # Without the rules nothing is pruned, so nothing can be lost; declared afterwards they are not believed.
+    told = site.specs["daily"]
+    site.specs["daily"] = replace(told, hot_partition=None, cold_partition=None)
+    run_init(site.spark, site.config)
+    rows = site.rows("daily").count()
+    site.specs["daily"] = told
+    assert unified_range(site.spark, site.config, "cold", "daily", "1000-01-01").count() == rows
+    for job in (lambda: refresh_all(site.spark, site.config), lambda: update(site.spark, site.config, "cold", "daily", "2024-08-01")):
+        with pytest.raises(Exception, match="partition rule"):
+            job()
+    assert site.rows("daily").count() == rows
+
+
+def test_declared_under_the_hot_name(site):
+    told = site.specs.pop("daily")
+    site.specs["daily" + SUFFIX] = told
+    site.init()
+    assert site.boundary("daily") == "2024-07-19"
+    refresh_all(site.spark, site.config)
+    update(site.spark, site.config, "cold", "daily", "2024-08-01")
+    assert site.boundary("daily") == "2024-08-01"
+    assert unified_range(site.spark, site.config, "cold", "daily", "2024-08-01", "2024-08-03").count() == 2
+    # Of both names the hot one counts.
+    site.specs["daily"] = TableSpec("no_such_column", "bigint")
+    refresh_all(site.spark, site.config)
+    assert site.config.spec("daily") == site.config.spec("daily" + SUFFIX) == told
+
+
+def test_ranges_take_boundaries_and_refuse_other_kinds(site):
+    site.init()
+    day = lambda text: parse_boundary(text, "date")
+    whole = unified_range(site.spark, site.config, "cold", "daily", "2024-08-01", "2024-08-05").count()
+    assert unified_range(site.spark, site.config, "cold", "daily", day("2024-08-01"), day("2024-08-05")).count() == whole
+    with pytest.raises(BoundaryError, match="is datetime, the boundary is date"):
+        unified_range(site.spark, site.config, "cold", "daily", parse_boundary("2024-08-01 00:00:00", "datetime"))
+    with pytest.raises(BoundaryError):
+        assert day("2024-08-01") < parse_boundary("3", "bigint")
+
+
+def test_failures_are_in_the_results(site):
+    site.init()
+    site.spark.sql(f"DROP TABLE {site.cold}.daily")
+    with pytest.raises(JobError) as stopped:
+        refresh_all(site.spark, site.config)
+    assert [r[:4] for r in stopped.value.results][-1] == ("cold", "daily", "failed", "mapping")
+
+
+def test_rollback_goes_on_past_a_bad_pair(site):
+    site.init()
+    bad = TierPair("bad", site.hot, "no_such_schema", SUFFIX)
+    config = replace(site.config, pairs=(bad, *site.config.pairs))
+    rows = run_rollback(site.spark, config, on_error="continue").collect()
+    assert [tuple(r)[:4] for r in rows if r.status == "failed"] == [("bad", "(all)", "failed", "precheck")]
+    assert site.kinds()["daily"] == "TABLE" and "daily" + SUFFIX not in site.kinds()
+    with pytest.raises(JobError):
+        run_rollback(site.spark, config)
+
+
+def test_init_reads_boundaries_in_batches_and_not_while_names_are_gone(site, monkeypatch):
+    for n in range(10):
+        df = site.spark.range(5).selectExpr("id AS recordTimestamp", "id AS v")
+        site.save(df, f"t{n}")
+        site.save(df, f"t{n}", tier="cold")
+    calls, gone = [], []
+    many = lifecycle.many_boundaries
+    monkeypatch.setattr(lifecycle, "many_boundaries", lambda spark, tables: calls.append(sorted(tables)) or many(spark, tables))
+    rename = tables.rename
+
+    def watched(spark, db, old, new, then=None):
+        def both():
+            tracker = spark.sparkContext.statusTracker()
+            before = set(tracker.getJobIdsForGroup(None))
+            then()
+            gone.append(len(set(tracker.getJobIdsForGroup(None)) - before))
+
+        rename(spark, db, old, new, then=both)
+
+    monkeypatch.setattr(tables, "rename", watched)
+    site.init()
+    assert len(calls) == 1 and f"{site.hot}.t0" in calls[0]
+    assert len(gone) >= 10 and not any(gone)
+    assert all(site.rows(f"t{n}").count() == 5 for n in range(10))
+
+
+def test_errors_without_text_and_empty_runs(site):
+    def silent():
+        raise ValueError
+
+    told = audit.probe(site.spark, {"a": silent, "b": lambda: site.spark.range(1)}).collect()
+    assert [tuple(r) for r in told] == [("a", "error", "ValueError"), ("b", "rows", None)]
+    empty = site.spark.createDataFrame([], "pair string, status string, step string")
+    row = audit.run_summary(empty).collect()
+    assert [(r.pair, r.total, r.failed, r.failed_unknown) for r in row] == [("(all)", 0, 0, 0)]
+
+
+def test_counting_rows_needs_no_single_task_for_them(site):
+    df = site.spark.range(100_000, numPartitions=8)
+    assert views.count_at_least(df, 100_000) and not views.count_at_least(df, 100_001) and views.count_at_least(df, 0)
+
+
+def test_cold_sources_that_moved_are_refused(site, tmp_path):
+    for n in (3, 5):
+        site.spark.range(n).write.parquet(str(tmp_path / str(n)))
+    name = f"{site.cold}.moved"
+    catalog.register_cold(site.spark, name, ColdSource("parquet", str(tmp_path / "3")))
+    catalog.register_cold(site.spark, name, ColdSource("parquet", str(tmp_path / "3")))
+    with pytest.raises(ValueError, match="unregister it first"):
+        catalog.register_cold(site.spark, name, ColdSource("parquet", str(tmp_path / "5")))
+    catalog.unregister_cold(site.spark, name)
+    catalog.register_cold(site.spark, name, ColdSource("parquet", str(tmp_path / "5")))
+    assert site.spark.table(name).count() == 5
+
+
+def test_rows_at_one_time_are_removed_in_place(site):
+    rows = [(1, 10, "a"), (2, 20, "a"), (3, 10, "b"), (4, 30, "c"), (None, 5, "c")]
+    df = site.spark.createDataFrame([(t, v, p) for v, t, p in rows], "recordTimestamp long, v long, p string")
+    site.save(df, "parted", by=["p"])
+    name = f"{site.hot}.parted"
+    site.spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('kept' = 'yes')")
+    files = lambda p: {r[0] for r in site.rows("parted").where(f"p = '{p}'").select(F.input_file_name()).collect()}
+    untouched = files("c")
+    cut = parse_boundary("10", "bigint")
+    assert tables.remove_time(site.spark, name, "recordTimestamp", cut, f"{site.hot}.scratch") == 2
+    assert sorted((r.recordTimestamp, r.v, r.p) for r in site.rows("parted").collect()) == [(5, None, "c"), (20, 2, "a"), (30, 4, "c")]
+    assert files("c") == untouched and catalog.properties(site.spark, name)["kept"] == "yes"
+    assert "scratch" not in site.kinds()
+    tables.copy_without_time(site.spark, name, "recordTimestamp", parse_boundary("20", "bigint"), f"{site.hot}.copied")
+    assert site.rows("copied").count() == 2 and catalog.properties(site.spark, f"{site.hot}.copied")["kept"] == "yes"
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int"])
+def test_sentinel_of_narrow_times(site, kind):
+    from tierview.operators import boundary
+
+    empty = site.spark.range(0).selectExpr(f"CAST(id AS {kind}) AS recordTimestamp")
+    assert boundary.boundary_frame(empty, TableSpec()).first()[0] == 9999999999999
+    assert boundary.global_boundary(empty, TableSpec()) == sentinel("bigint")
+    full = site.spark.range(5, 9).selectExpr(f"CAST(id AS {kind}) AS recordTimestamp")
+    assert boundary.boundary_frame(full, TableSpec()).first()[0] == 5

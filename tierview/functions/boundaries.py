@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from dataclasses import dataclass
+from functools import total_ordering
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,13 +59,21 @@ def check_kind(kind: str) -> str:
     return kind
 
 
-@dataclass(frozen=True, order=True)
+@total_ordering
+@dataclass(frozen=True)
 class Boundary:
-    """A point in time of one kind; ``value`` is a datetime, a date or an int."""
+    """A point in time of one kind; ``value`` is a datetime, a date or an int. Points of two kinds have no order."""
 
     kind: str
     value: dt.datetime | dt.date | int
 
+    def __lt__(self, other: Boundary) -> bool:
+        if not isinstance(other, Boundary):
+            return NotImplemented
+        if self.kind != other.kind:
+            raise BoundaryError(f"{other.kind} {other.text} and {self.kind} {self.text} cannot be compared")
+        return self.value < other.value
+
     @property
     def text(self) -> str:
         if self.kind == "datetime":
@@ -137,7 +146,7 @@ def validate_targets(targets: DataFrame, kind: str = "time_type", value: str = "
     whole = F.substring_index(moment_text, ".", 1).try_cast("timestamp_ntz")
     fraction = F.when(F.contains(moment_text, F.lit(".")), F.substring_index(moment_text, ".", -1))
     micros = F.coalesce(F.rpad(F.substring(fraction, 1, 6), 6, "0").try_cast("int"), F.lit(0))
-    finer = F.coalesce(F.regexp_like(F.substring(fraction, 7, 1 << 20), F.lit("[1-9]")), F.lit(False))
+    finer = F.coalesce(F.regexp_like(F.substr(fraction, F.lit(7)), F.lit("[1-9]")), F.lit(False))
     moment = whole + F.make_dt_interval(secs=((micros + finer.cast("int")) / F.lit(1000000)).cast("decimal(18,6)"))
     seconds = F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
     shown = F.when(F.date_format(moment, "SSSSSS") == "000000", seconds).otherwise(

@@ -34,3 +34,8 @@ def literal_regex(text: str) -> str:
     if not text:
         raise ValueError("an empty delimiter cannot be split on")
     return string(text if text.isalnum() else re.sub(r"([^0-9A-Za-z])", r"\\\1", text))
+
+
+def error_text(error: Exception) -> str:
+    """What an error says, whole; its kind where it says nothing."""
+    return str(error).strip() or type(error).__name__

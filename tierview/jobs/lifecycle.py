@@ -7,20 +7,25 @@ to do from the state of the catalog.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tierview.functions import sqltext
 from tierview.functions.boundaries import Boundary, parse_boundary
 from tierview.jobs.results import Results, StepError, step
-from tierview.operators.boundary import many_boundaries, table_boundary
+from tierview.operators.boundary import PartitionError, many_boundaries, misplaced_rows
 from tierview.operators.unify import read_range, unified_sql, unify
 from tierview.plans import lifecycle as plans
 from tierview.plans.mapping import MappingPlan, reconcile
 from tierview.plans.spec import TableSpec, TierConfig, TierPair
 from tierview.sources import catalog, tables, views
 
+# Stands for a table's name in the result of a step that concerns the whole pair.
+ALL_TABLES = "(all)"
+
 
 def _states(spark: SparkSession, config: TierConfig, pair: TierPair) -> DataFrame:
     cold = catalog.list_tables(spark, pair.cold_db).select("table")
@@ -48,46 +53,103 @@ def _names(pair: TierPair, table: str) -> tuple[str, str, str]:
 def run_init(spark: SparkSession, config: TierConfig) -> DataFrame:
     """Bring every table of every pair into the unified state; the first error stops the run.
 
-    Within a pair, name conflicts and schemas that cannot be served are found before any table changes.
+    Within a pair, name conflicts, schemas that cannot be served and rows that break a partition rule are found
+    before any table changes, and so are the boundaries, in batches. What is left then is a rename and a view.
     """
     results = Results()
     for pair in config.pairs:
-        for name, source in sorted(pair.cold_sources.items()):
-            catalog.register_cold(spark, f"{pair.cold_db}.{name}", source)
-        todo = init_plan(spark, config, pair).orderBy("base_table").collect()
+        work: list[tuple] = []
+        with _recorded(results, pair, None, f"init of {pair.name}"), step("precheck"):
+            for name, source in sorted(pair.cold_sources.items()):
+                catalog.register_cold(spark, f"{pair.cold_db}.{name}", source)
+            todo = init_plan(spark, config, pair).orderBy("base_table").collect()
         for row in todo:
             table, spec = row.base_table, config.spec(row.base_table)
-            try:
+            with _recorded(results, pair, table, f"init of {pair.name}.{table}"):
                 if row.action == plans.CONFLICT:
                     raise StepError("precheck", tables.TableError(row.reason))
                 if row.action != plans.SKIP:
                     current = table if row.action == plans.RENAME_AND_CREATE else row.suffixed_table
                     with step("mapping"):
-                        _mapping(spark, pair, table, current, spec)
-            except StepError as error:
-                results.failed(pair.name, table, error)
-                raise results.stop(f"init of {pair.name}.{table} failed: {error}") from error
+                        work.append((table, current, _mapping(spark, pair, table, current, spec)))
+        lows = _boundaries(spark, pair, work, results, "init")
+        mapped = {table: plan for table, _, plan in work}
         for row in todo:
-            table, spec = row.base_table, config.spec(row.base_table)
+            table = row.base_table
             if row.action == plans.SKIP:
                 results.done(pair.name, table, "skipped", row.reason)
                 continue
-            try:
+            view, hot, cold = _names(pair, table)
+
+            def create(view=view, plan=mapped[table], low=lows[table], hot=hot, cold=cold) -> None:
+                with step("create_view"):
+                    views.create_view(spark, view, plan, low, hot, cold)
+
+            with _recorded(results, pair, table, f"init of {pair.name}.{table}"):
                 if row.action == plans.RENAME_AND_CREATE:
                     with step("rename"):
-                        tables.rename(spark, pair.hot_db, table, row.suffixed_table)
-                with step("create_view"):
-                    view, hot, cold = _names(pair, table)
-                    plan = _mapping(spark, pair, table, row.suffixed_table, spec)
-                    boundary = table_boundary(spark, hot, spec)
-                    views.create_view(spark, view, plan, boundary, hot, cold)
-            except StepError as error:
-                results.failed(pair.name, table, error)
-                raise results.stop(f"init of {pair.name}.{table} failed: {error}") from error
-            results.done(pair.name, table, "created", boundary.text)
+                        tables.rename(spark, pair.hot_db, table, row.suffixed_table, then=create)
+                else:
+                    create()
+            results.done(pair.name, table, "created", lows[table].text)
     return results.frame(spark)
 
 
+@contextmanager
+def _recorded(results: Results, pair: TierPair, table: str | None, what: str) -> Iterator[None]:
+    """Put a failure into the results, then stop the job. Without a table it is one of the whole pair."""
+    try:
+        yield
+    except Exception as error:
+        results.failed(pair.name, table or ALL_TABLES, error)
+        raise results.stop(f"{what} failed: {sqltext.error_text(error)}") from error
+
+
+def _frames(spark: SparkSession, pair: TierPair, table: str, current: str, plan: MappingPlan) -> dict[str, tuple]:
+    """The tiers of a table that have a partition rule, with the column and the rule to prove."""
+    spec, rules = plan.spec, {}
+    if spec.hot_partition is not None:
+        hot = spark.table(sqltext.table_ref(pair.hot_db, current))
+        rules[f"{pair.hot_db}.{current}"] = (hot, spec.time_column, spec.hot_partition)
+    if spec.cold_partition is not None:
+        cold = spark.table(sqltext.table_ref(pair.cold_db, table))
+        rules[f"{pair.cold_db}.{table}"] = (cold, plan.time_rule.cold_column, spec.cold_partition)
+    return rules
+
+
+def _prove(spark: SparkSession, pair: TierPair, work: list[tuple[str, str, MappingPlan]]) -> None:
+    """Every rule of these tables on every row, since a row that breaks one would vanish from the view.
+
+    Two columns of a tier are read for it, and nothing where no rule is declared.
+    """
+    rules = {}
+    for table, current, plan in work:
+        rules |= _frames(spark, pair, table, current, plan)
+    broken = {name: n for name, n in misplaced_rows(rules).items() if n} if rules else {}
+    if broken:
+        raise PartitionError(f"rows are not where the partition rule says: {broken}")
+
+
+def _boundaries(
+    spark: SparkSession, pair: TierPair, work: list[tuple[str, str, MappingPlan]], results: Results, job: str
+) -> dict[str, Boundary]:
+    """The smallest hot time of each table, given its current name and mapping; its rules are proved."""
+
+    def found(some: list[tuple[str, str, MappingPlan]]) -> dict[str, Boundary]:
+        lows = many_boundaries(spark, {f"{pair.hot_db}.{current}": plan.spec for _, current, plan in some})
+        _prove(spark, pair, some)
+        return {table: lows[f"{pair.hot_db}.{current}"] for table, current, _ in some}
+
+    try:
+        return found(work) if work else {}
+    except Exception as error:  # noqa: BLE001 - which table it was is found below
+        for one in work:
+            with _recorded(results, pair, one[0], f"{job} of {pair.name}.{one[0]}"), step("precheck"):
+                found([one])
+        results.failed(pair.name, ALL_TABLES, error)
+        raise results.stop(f"{job} of {pair.name} failed: {sqltext.error_text(error)}") from error
+
+
 def _checked(spark: SparkSession, config: TierConfig, pair: TierPair, table: str) -> MappingPlan:
     """Mapping of a view that exists and whose new text would be accepted."""
     view, hot, cold = _names(pair, table)
@@ -99,7 +161,10 @@ def _checked(spark: SparkSession, config: TierConfig, pair: TierPair, table: str
 def update(
     spark: SparkSession, config: TierConfig, pair_name: str, table: str, boundary: str | int | Boundary
 ) -> DataFrame:
-    """Cut one view at the given boundary and rebuild its columns. The hot data is not read."""
+    """Cut one view at the given boundary and rebuild its columns.
+
+    No data is read, but for the two columns of each tier with a partition rule, which is proved first.
+    """
     return update_many(spark, config, pair_name, [(table, boundary)])
 
 
@@ -120,6 +185,7 @@ def update_many(
         wanted = value if isinstance(value, Boundary) and value.kind == kind else None
         boundary = wanted or parse_boundary(value.text if isinstance(value, Boundary) else value, kind)
         work.append((table, boundary, _checked(spark, config, pair, table)))
+    _prove(spark, pair, [(table, f"{table}{pair.suffix}", plan) for table, _, plan in work])
     for table, boundary, plan in work:
         _, hot, cold = _names(pair, table)
         # Analysis only: types the catalog would refuse are found here.
@@ -151,15 +217,15 @@ def refresh_all(spark: SparkSession, config: TierConfig) -> DataFrame:
     """
     results = Results()
     for pair in config.pairs:
-        found = [v for v in catalog.managed_views(spark, pair.hot_db) if v not in config.ignore]
-        hot_names = {v: _names(pair, v)[1] for v in found}
-        try:
-            work = [(v, _checked(spark, config, pair, v)) for v in found]
-            lows = many_boundaries(spark, {hot_names[v]: config.spec(v) for v in found})
-        except Exception as error:
-            raise results.stop(f"refresh of {pair.name} failed: {error}") from error
-        for table, plan in work:
-            _alter(spark, pair, table, lows[hot_names[table]], plan, results)
+        with _recorded(results, pair, None, f"refresh of {pair.name}"), step("precheck"):
+            found = [v for v in catalog.managed_views(spark, pair.hot_db) if v not in config.ignore]
+        work = []
+        for table in found:
+            with _recorded(results, pair, table, f"refresh of {pair.name}.{table}"), step("mapping"):
+                work.append((table, f"{table}{pair.suffix}", _checked(spark, config, pair, table)))
+        lows = _boundaries(spark, pair, work, results, "refresh")
+        for table, _, plan in work:
+            _alter(spark, pair, table, lows[table], plan, results)
     return results.frame(spark)
 
 
@@ -173,7 +239,15 @@ def run_rollback(spark: SparkSession, config: TierConfig, on_error: str = "stop"
         raise ValueError(f"on_error {on_error!r} is neither 'stop' nor 'continue'")
     results = Results()
     for pair in config.pairs:
-        for row in rollback_plan(spark, config, pair).orderBy("base_table").collect():
+        try:
+            with step("precheck"):
+                todo = rollback_plan(spark, config, pair).orderBy("base_table").collect()
+        except StepError as error:
+            results.failed(pair.name, ALL_TABLES, error)
+            if on_error == "stop":
+                raise results.stop(f"rollback of {pair.name} failed: {error}") from error
+            continue
+        for row in todo:
             table = row.base_table
             try:
                 if row.blocked:
@@ -206,21 +280,32 @@ def run_rollback(spark: SparkSession, config: TierConfig, on_error: str = "stop"
 
 
 def unified(spark: SparkSession, config: TierConfig, pair_name: str, table: str) -> DataFrame:
-    """The unified table as a DataFrame, cut where its view is."""
+    """The unified table as a DataFrame, cut where its view is and with the view's columns."""
     pair = config.pair(pair_name)
     view, hot, cold = _names(pair, table)
     plan = _checked(spark, config, pair, table)
     boundary = views.view_boundary(spark, view)
-    return unify(spark.table(sqltext.table_ref(hot)), spark.table(sqltext.table_ref(cold)), plan, boundary)
+    whole = unify(spark.table(sqltext.table_ref(hot)), spark.table(sqltext.table_ref(cold)), plan, boundary)
+    return whole.select(*map(sqltext.column, spark.table(sqltext.table_ref(view)).columns))
 
 
 def unified_range(
     spark: SparkSession, config: TierConfig, pair_name: str, table: str, start=None, end=None
 ) -> DataFrame:
-    """Rows of the unified table with ``start <= time < end``, reading only the tiers concerned."""
-    pair, kind = config.pair(pair_name), config.spec(table).time_type
+    """Rows of the unified table with ``start <= time < end``, reading only the tiers concerned.
+
+    Limits are boundaries or what :func:`parse_boundary` reads. Partitions are pruned by the rules that the
+    view's text has, which were proved when it was written; a rule declared since is not relied on.
+    """
+    pair = config.pair(pair_name)
     view, hot, cold = _names(pair, table)
     plan = _checked(spark, config, pair, table)
-    limits = [None if v is None else parse_boundary(v, kind) for v in (start, end)]
+    boundary, text = views.view_boundary(spark, view), views.view_text(spark, view)
+    trusted = replace(
+        plan.spec,
+        hot_partition=plan.spec.hot_partition if plan.hot_time_filter(">=", boundary) in text else None,
+        cold_partition=plan.spec.cold_partition if plan.cold_time_filter("<", boundary) in text else None,
+    )
+    limits = [v if v is None or isinstance(v, Boundary) else parse_boundary(v, plan.spec.time_type) for v in (start, end)]
     frames = (spark.table(sqltext.table_ref(t)) for t in (hot, cold))
-    return read_range(*frames, plan, views.view_boundary(spark, view), *limits)
+    return read_range(*frames, replace(plan, spec=trusted), boundary, *limits)

@@ -38,6 +38,8 @@ def step(name: str) -> Iterator[None]:
     """Name the step that an error comes from."""
     try:
         yield
+    except StepError:  # of a step within this one
+        raise
     except Exception as error:
         raise StepError(name, error) from error
 

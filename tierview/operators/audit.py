@@ -51,12 +51,18 @@ def tier_audit(
 
 
 def conversion_losses(cold: DataFrame, plan: MappingPlan) -> DataFrame:
-    """Per served column its rule and ``lost``: stored values the conversion to the hot type made NULL.
+    """Per served column its rule, ``lost`` and ``changed``.
 
-    Of an array, every element counts. One pass over the cold tier gives one row of counts.
+    Lost are stored values that the conversion to the hot type made NULL; of an array, every element counts.
+    Changed are numbers, times and native arrays of them that come out as another value: cast back, they are
+    not what was stored (3.7 served as 3). Text and addresses have many spellings of one value and are not
+    compared. One pass over the cold tier gives one row of counts.
     """
     stored = [f"{sqltext.ident(c.cold_column)} AS {_stored(n)}" for n, c in enumerate(plan.columns) if c.cold_column]
-    row = cold_scan(cold, plan, *stored).agg(*[_lost(n, c).alias(f"c{n}") for n, c in enumerate(plan.columns)])
+    row = cold_scan(cold, plan, *stored).agg(
+        *[_lost(n, c).alias(f"c{n}") for n, c in enumerate(plan.columns)],
+        *[_changed(n, c).alias(f"d{n}") for n, c in enumerate(plan.columns)],
+    )
     lines = [
         F.struct(
             F.lit(n).alias("ordinal"),
@@ -65,6 +71,7 @@ def conversion_losses(cold: DataFrame, plan: MappingPlan) -> DataFrame:
             F.lit(c.cold_type).cast("string").alias("cold_type"),
             F.lit(c.hot_type.simpleString()).alias("hot_type"),
             F.col(f"c{n}").alias("lost"),
+            F.col(f"d{n}").alias("changed"),
         )
         for n, c in enumerate(plan.columns)
     ]
@@ -87,6 +94,14 @@ def _lost(ordinal: int, rule: ColumnRule) -> Column:
     return F.coalesce(F.sum(F.when(new.isNotNull(), gone).cast("bigint")), F.lit(0).cast("bigint"))
 
 
+def _changed(ordinal: int, rule: ColumnRule) -> Column:
+    if rule.cold_column is None or rule.rule != "cast" or isinstance(rule.stored, T.StringType):
+        return F.lit(0).cast("bigint")
+    new, old = sqltext.column(rule.name), F.col(_stored(ordinal))
+    back = new.try_cast(rule.stored)
+    return F.count_if(new.isNotNull() & old.isNotNull() & ~back.eqNullSafe(old))
+
+
 def _null_elements(array: Column) -> Column:
     return F.size(array) - F.size(F.array_compact(array))
 
@@ -115,24 +130,19 @@ def name_diff(left: DataFrame, right: DataFrame, skip_suffix: str | None = None)
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """Totals per pair and over all pairs (``(all)``) of job results, with the failures of each step.
+    """Totals per pair and over all pairs (``(all)``, also of no results) of job results, with the failures of each step.
 
-    ``results``: columns ``pair, status, step``; a row with status ``failed`` failed at its step.
+    ``results``: columns ``pair, status, step``; a row with status ``failed`` failed at its step, which is
+    ``unknown`` where it is none of :data:`STEPS`.
     """
     failed = F.col("status") == "failed"
-    by_step = [F.count_if(failed & (F.col("step") == s)).alias(f"failed_{s}") for s in STEPS]
-    return (
-        results.rollup("pair")
-        .agg(
-            F.grouping_id().alias("__all"),
-            F.count("*").alias("total"),
-            F.count_if(~failed).alias("success"),
-            F.count_if(failed).alias("failed"),
-            *by_step,
-        )
-        .withColumn("pair", F.when(F.col("__all") == 1, "(all)").otherwise(F.col("pair")))
-        .drop("__all")
-    )
+    counts = {"total": F.count("*"), "success": F.count_if(~failed), "failed": F.count_if(failed)}
+    counts |= {f"failed_{s}": F.count_if(failed & (F.col("step") == s)) for s in STEPS}
+    counts["failed_unknown"] = F.count_if(failed & ~F.coalesce(F.col("step").isin(*STEPS), F.lit(False)))
+    pairs = results.groupBy("pair").agg(*[count.alias(name) for name, count in counts.items()])
+    # The total is summed up from the pairs, so that the results are read once for their counts.
+    sums = [F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in counts]
+    return pairs.union(pairs.agg(F.lit("(all)").alias("pair"), *sums))
 
 
 def probe(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> DataFrame:
@@ -146,7 +156,7 @@ def probe(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> D
         try:
             results.append((name, "rows" if read().take(1) else "empty", None))
         except Exception as error:  # noqa: BLE001 - any failure to answer is the finding
-            results.append((name, "error", str(error).splitlines()[0]))
+            results.append((name, "error", sqltext.error_text(error)))
     return spark.createDataFrame(results, "tbl string, status string, error string")
 
 

@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tierview.functions import sqltext
 from tierview.functions.boundaries import Boundary, parse_boundary, sentinel
 from tierview.plans.spec import PartitionRule, TableSpec
 from tierview.sources import catalog
 
-# One job takes this many tables' minima; more would only make the query plan long.
+# So many tables' minima are found in one job unless a caller says otherwise. No result depends on it.
 TABLES_PER_JOB = 64
 
 
@@ -23,11 +24,13 @@ class PartitionError(RuntimeError):
 def boundary_frame(hot: DataFrame, spec: TableSpec, name: str = "boundary") -> DataFrame:
     """One row: the smallest time, or the sentinel when there is none.
 
-    A partial minimum per task, so a few bytes per task are shuffled; only the time column is read.
+    In the declared kind: a narrow integer column, which need not hold the sentinel, gives a BIGINT. A
+    partial minimum per task, so a few bytes per task are shuffled; only the time column is read.
     """
-    column = hot.schema[spec.time_column]
-    late = F.expr(sentinel(spec.time_type).sql(column.dataType)).cast(column.dataType)
-    return hot.agg(F.coalesce(_lowest(spec), late).alias(name))
+    kind = hot.schema[spec.time_column].dataType
+    kind = T.LongType() if spec.time_type == "bigint" else kind
+    late = F.expr(sentinel(spec.time_type).sql(kind)).cast(kind)
+    return hot.agg(F.coalesce(_lowest(spec).cast(kind), late).alias(name))
 
 
 def global_boundary(hot: DataFrame, spec: TableSpec) -> Boundary:
@@ -43,21 +46,12 @@ def _parsed(low: str | None, spec: TableSpec) -> Boundary:
     return sentinel(spec.time_type) if low is None else parse_boundary(low, spec.time_type)
 
 
-def partition_boundary_frame(
-    hot: DataFrame, spec: TableSpec, partition: str, name: str = "boundary"
-) -> DataFrame:
-    """The smallest time of the first partition, in name order, that has one; else the sentinel.
+def pruned_boundary(hot: DataFrame, spec: TableSpec, values: list) -> Boundary:
+    """The smallest time of a frame whose partitions follow time, given their values in ascending order.
 
-    One aggregate per partition, then the first of them: ``min_by`` keeps one pair per task.
+    Reads the first partition, then two more, then four, until a time is found.
     """
-    column = hot.schema[spec.time_column]
-    late = F.expr(sentinel(spec.time_type).sql(column.dataType)).cast(column.dataType)
-    minima = (
-        hot.groupBy(sqltext.column(partition).cast("string").alias("partition"))
-        .agg(_lowest(spec).alias("low"))
-        .where("partition IS NOT NULL AND trim(partition) <> '' AND low IS NOT NULL")
-    )
-    return minima.agg(F.coalesce(F.min_by("low", "partition"), late).alias(name))
+    return _searched({"": _reads(hot, spec, values)}, {"": spec}, TABLES_PER_JOB)[""]
 
 
 def partition_boundary(spark: SparkSession, table: str, spec: TableSpec) -> Boundary:
@@ -98,37 +92,71 @@ def misplacement(time_column: str, rule: PartitionRule) -> Column:
     return timed & ~sqltext.column(rule.column).eqNullSafe(expected)
 
 
-def many_boundaries(spark: SparkSession, tables: dict[str, TableSpec]) -> dict[str, Boundary]:
-    """Boundaries of many catalog tables, :data:`TABLES_PER_JOB` to a job.
+def rule_proofs(tables: dict[str, tuple[DataFrame, str, PartitionRule]]) -> DataFrame:
+    """``tbl, timed, misplaced``: rows with a time, and those in another partition than the rule says.
+
+    ``tables``: frame, time column and rule by name. One aggregate over the two columns each; a rule with
+    no misplaced row may be relied on, a row without a time breaks none.
+    """
+
+    def proof(name: str, df: DataFrame, time: str, rule: PartitionRule) -> DataFrame:
+        wrong = F.count_if(misplacement(time, rule)).alias("misplaced")
+        return df.agg(F.count(sqltext.column(time)).alias("timed"), wrong).select(F.lit(name).alias("tbl"), "*")
+
+    return reduce(DataFrame.union, [proof(name, *given) for name, given in tables.items()])
+
+
+def misplaced_rows(
+    tables: dict[str, tuple[DataFrame, str, PartitionRule]], per_job: int = TABLES_PER_JOB
+) -> dict[str, int]:
+    """How many rows break each table's rule, ``per_job`` tables to a job."""
+    found = {}
+    for names in _chunks(sorted(tables), per_job):
+        found |= {r.tbl: r.misplaced for r in rule_proofs({n: tables[n] for n in names}).collect()}
+    return found
+
+
+def many_boundaries(
+    spark: SparkSession, tables: dict[str, TableSpec], per_job: int = TABLES_PER_JOB
+) -> dict[str, Boundary]:
+    """Boundaries of many catalog tables, ``per_job`` to a job (more make a longer query plan).
 
     A table with a partition rule is read a few partitions at a time, in as many rounds as it takes to
     find a time; any other table is read once. Rows met on the way that break their table's rule are an
-    error, since a boundary found by it could not be relied on.
+    error; :func:`misplaced_rows` looks at all of them.
     """
-    found = {name: sentinel(spec.time_type) for name, spec in tables.items()}
-    left = {name: _reads(spark, name, spec) for name, spec in tables.items()}
+    reads = {}
+    for name, spec in tables.items():
+        rule = spec.hot_partition
+        values = catalog.partition_values(spark, name, rule.column) if rule else []
+        reads[name] = _reads(spark.table(name), spec, values)
+    return _searched(reads, tables, per_job)
+
+
+def _searched(reads: dict[str, list[DataFrame]], specs: dict[str, TableSpec], per_job: int) -> dict[str, Boundary]:
+    found = {name: sentinel(spec.time_type) for name, spec in specs.items()}
+    left = {name: list(frames) for name, frames in reads.items()}
     while left:
-        ready = {name: (reads.pop(0), tables[name]) for name, reads in left.items()}
-        for names in _chunks(sorted(ready), TABLES_PER_JOB):
+        ready = {name: (frames.pop(0), specs[name]) for name, frames in left.items()}
+        for names in _chunks(sorted(ready), per_job):
             for row in _lows({name: ready[name] for name in names}).collect():
                 if row.misplaced:
                     raise PartitionError(f"{row.tbl}: {row.misplaced} rows read are not where the partition rule says")
                 if row.boundary is not None:
-                    found[row.tbl] = _parsed(row.boundary, tables[row.tbl])
+                    found[row.tbl] = _parsed(row.boundary, specs[row.tbl])
                     del left[row.tbl]
         # Rows of the NULL partition have, by the rule, no time: a table read to its end has none.
-        left = {name: reads for name, reads in left.items() if reads}
+        left = {name: frames for name, frames in left.items() if frames}
     return found
 
 
-def _reads(spark: SparkSession, table: str, spec: TableSpec) -> list[DataFrame]:
+def _reads(hot: DataFrame, spec: TableSpec, values: list) -> list[DataFrame]:
     """What to look at for the smallest time, in turn: ever more partitions, or the whole table."""
-    hot, rule = spark.table(table), spec.hot_partition
-    values = catalog.partition_values(spark, table, rule.column) if rule else []
-    if not values:
+    if not values or spec.hot_partition is None:
         return [hot]
+    column = sqltext.column(spec.hot_partition.column)
     slices = [values[2**n - 1 : 2 ** (n + 1) - 1] for n in range(len(values).bit_length())]
-    return [hot.where(sqltext.column(rule.column).between(s[0], s[-1])) for s in slices]
+    return [hot.where(column.between(s[0], s[-1])) for s in slices]
 
 
 def _chunks(items: list, size: int) -> list[list]:

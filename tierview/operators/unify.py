@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierview.functions import sqltext
-from tierview.functions.boundaries import Boundary
+from tierview.functions.boundaries import Boundary, BoundaryError
 from tierview.plans.mapping import MappingPlan
 
 
@@ -63,8 +63,12 @@ def read_range(
     """Unified rows with ``start <= time < end``, reading only the tiers the range can touch.
 
     A plain filter on the unified table gives the same rows, but the optimizer keeps scanning a tier
-    whose two time predicates contradict each other; and it cannot prune partitions by time.
+    whose two time predicates contradict each other; and it cannot prune partitions by time. Limits of
+    another kind than the boundary are an error.
     """
+    for limit in (start, end):
+        if limit is not None and limit.kind != boundary.kind:
+            raise BoundaryError(f"limit {limit.text} is {limit.kind}, the boundary is {boundary.kind}")
 
     def within(time_filter) -> list[str]:
         lower = [time_filter(">=", start)] if start else []

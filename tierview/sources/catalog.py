@@ -132,13 +132,22 @@ def partition_values(spark: SparkSession, table: str, column: str) -> list:
     return sorted({r.value for r in named.select(value.alias("value")).collect()})
 
 
+def frame_partitions(df: DataFrame, column: str) -> DataFrame:
+    """Column ``partition``: the values of a frame's partition column in its own type, ascending, without NULL."""
+    return df.select(sqltext.column(column).alias("partition")).where("partition IS NOT NULL").distinct().orderBy("partition")
+
+
 def partition_scan(df: DataFrame, column: str, value) -> DataFrame:
     """Rows of one partition; on a partitioned table only its files are read."""
     return df.where(sqltext.column(column) == F.lit(value))
 
 
 def register_cold(spark: SparkSession, table: str, source: ColdSource) -> None:
-    """Make a cold source addressable by name. Metadata only; an existing table is left as it is."""
+    """Make a cold source addressable by name. Metadata only.
+
+    A table that is there already is left as it is, unless it was registered here from elsewhere: serving
+    its old place without a word would hide the new rows, so that is an error.
+    """
     if source.format.lower() == "jdbc":
         missing = [o for o in _JDBC_SPLIT if o not in source.options]
         if missing:
@@ -146,11 +155,16 @@ def register_cold(spark: SparkSession, table: str, source: ColdSource) -> None:
     options = dict(source.options)
     if source.path is not None:
         options["path"] = source.path
+    origin = json.dumps([source.format.lower(), dict(sorted(options.items()))])
+    if spark.catalog.tableExists(sqltext.table_ref(table)):
+        known = properties(spark, table).get(COLD)
+        if known not in (None, origin):
+            raise ValueError(f"{table} is registered as {known}, not as {origin}; unregister it first")
     listed = ", ".join(f"{sqltext.string(k)} {sqltext.string(v)}" for k, v in sorted(options.items()))
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {sqltext.table_ref(table)} USING {source.format} "
         + (f"OPTIONS ({listed}) " if listed else "")
-        + f"TBLPROPERTIES ({sqltext.string(COLD)} 'true')"
+        + f"TBLPROPERTIES ({sqltext.string(COLD)} {sqltext.string(origin)})"
     )
     if source.path is not None and describe(spark, table).get("partition_columns"):
         spark.sql(f"ALTER TABLE {sqltext.table_ref(table)} RECOVER PARTITIONS")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +18,11 @@ class TableError(RuntimeError):
     """A table operation would lose or hide rows, or did."""
 
 
-def rename(spark: SparkSession, db: str, old: str, new: str) -> None:
+def rename(spark: SparkSession, db: str, old: str, new: str, then: Callable[[], None] | None = None) -> None:
     """Rename a table and make sure it still has its rows.
 
+    ``then`` is what must follow at once, so that no data is read while the old name means nothing.
+
     A renamed managed table has moved, and the catalog may go on listing its partitions at the old
     place, where they read as empty. So its partitions are recovered, and any table's are compared. An
     external table stays where it is and nothing is listed anew.
@@ -35,6 +40,9 @@ def rename(spark: SparkSession, db: str, old: str, new: str) -> None:
     if partitioned:
         if about.get("type") != "EXTERNAL":
             spark.sql(f"ALTER TABLE {target} RECOVER PARTITIONS")
+    if then is not None:
+        then()
+    if partitioned:
         lost = before - _partition_names(spark, f"{db}.{new}")
         if lost:
             raise TableError(f"{db}.{new}: partitions lost by the rename: {sorted(lost)}")
@@ -125,12 +133,59 @@ def without_time(df: DataFrame, column: str, value: Boundary) -> DataFrame:
 def copy_without_time(spark: SparkSession, table: str, column: str, value: Boundary, into: str) -> None:
     """Write the rows of :func:`without_time` to a new table of the same format and partitioning.
 
-    File tables have no row delete, and a table cannot be overwritten while it is being read.
+    File tables have no row delete, and a table cannot be overwritten while it is being read. The new table has
+    the properties of the old one. Where the table is partitioned, :func:`remove_time` writes less.
     """
     about = catalog.describe(spark, table)
     writer = without_time(spark.table(sqltext.table_ref(table)), column, value).write.format(about["provider"])
     by = about.get("partition_columns")
     (writer.partitionBy(*by) if by else writer).saveAsTable(sqltext.table_ref(into))
+    carried = {k: v for k, v in catalog.properties(spark, table).items() if not k.startswith(("spark.", "transient_"))}
+    if carried:
+        listed = ", ".join(f"{sqltext.string(k)} = {sqltext.string(v)}" for k, v in sorted(carried.items()))
+        spark.sql(f"ALTER TABLE {sqltext.table_ref(into)} SET TBLPROPERTIES ({listed})")
+
+
+def remove_time(spark: SparkSession, table: str, column: str, value: Boundary, scratch: str) -> int:
+    """Remove the rows at one time from a partitioned table in place; returns how many partitions were written.
+
+    Only partitions that hold such a row are written anew: what they keep goes to the table ``scratch`` first
+    (which must not exist, and is dropped at the end), since a table cannot be overwritten while it is being
+    read. A partition that keeps nothing is dropped. If the run breaks off, ``scratch`` holds what is missing.
+    """
+    source, target = spark.table(sqltext.table_ref(table)), sqltext.table_ref(scratch)
+    by = catalog.describe(spark, table).get("partition_columns")
+    if not by:
+        raise TableError(f"{table} is not partitioned, use copy_without_time")
+    keys = [sqltext.column(c) for c in by]
+    literal = F.expr(value.sql(source.schema[column].dataType))
+    # One row for each partition that is concerned.
+    hit = source.where(sqltext.column(column).eqNullSafe(literal)).select(*keys).distinct().collect()
+    if not hit:
+        return 0
+
+    def held(row) -> Column:
+        return reduce(Column.__and__, [key.eqNullSafe(F.lit(row[c])) for key, c in zip(keys, by)])
+
+    kept = without_time(source.where(reduce(Column.__or__, map(held, hit))), column, value)
+    kept.write.format("parquet").partitionBy(*by).saveAsTable(target)
+    full = {tuple(row) for row in spark.table(target).select(*keys).distinct().collect()}
+    names = ", ".join(map(sqltext.ident, source.columns))
+    overwrite = spark.table(target).select(*source.columns)
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        parts = ", ".join(map(sqltext.ident, by))
+        spark.sql(f"INSERT OVERWRITE {sqltext.table_ref(table)} PARTITION ({parts}) SELECT {names} FROM {{rows}}", rows=overwrite)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    for row in hit:
+        if tuple(row) not in full:
+            where = ", ".join(f"{sqltext.ident(c)} = {sqltext.string(str(row[c])) if row[c] is not None else 'NULL'}" for c in by)
+            spark.sql(f"ALTER TABLE {sqltext.table_ref(table)} DROP IF EXISTS PARTITION ({where})")
+    spark.catalog.refreshTable(sqltext.table_ref(table))
+    spark.sql(f"DROP TABLE {target}")
+    return len(hit)
 
 
 def drop_columns(df: DataFrame, names: list[str]) -> DataFrame:

@@ -14,9 +14,6 @@ from tierview.operators.unify import unified_sql
 from tierview.plans.mapping import MappingPlan
 from tierview.sources import catalog
 
-# So many one-column rows may be fetched to count them.
-FEW_ROWS = 10_000
-
 CHECK_SCHEMA = "check string, ok boolean, detail string"
 
 
@@ -84,11 +81,8 @@ def has_rows(spark: SparkSession, table: str) -> bool:
 
 
 def count_at_least(df: DataFrame, rows: int) -> bool:
-    """Whether there are that many rows; stops reading once there are."""
-    if rows <= FEW_ROWS:
-        # Reads one task's worth first and more only if that is not enough.
-        return rows <= 0 or len(df.select(F.lit(1)).take(rows)) >= rows
-    return df.limit(rows).count() >= rows
+    """Whether there are that many rows: a count per task, then their sum."""
+    return df.agg(F.count("*") >= rows).first()[0]
 
 
 def check_view(
@@ -116,5 +110,5 @@ def check_view(
             if min_rows:
                 results.append(("min_rows", count_at_least(df, min_rows), str(min_rows)))
         except Exception as error:  # noqa: BLE001 - any failure to answer is the finding
-            results.append(("selectable", False, str(error).splitlines()[0]))
+            results.append(("selectable", False, sqltext.error_text(error)))
     return spark.createDataFrame(results, CHECK_SCHEMA)
