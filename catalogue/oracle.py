@@ -379,7 +379,7 @@ ORACLES: dict[str, str] = {
     "q_time_spec": """
         SELECT c_name || CASE c_mktsegment WHEN 'BUILDING' THEN '_hot' WHEN 'FURNITURE' THEN '_local' ELSE '' END
                    AS "table",
-               CASE WHEN c_acctbal < -500 AND c_mktsegment <> 'FURNITURE' THEN 'hotTime'
+               CASE WHEN c_acctbal < -500 AND c_mktsegment = 'BUILDING' THEN 'hotTime'
                     WHEN (c_acctbal > 0 OR c_acctbal < -500) AND c_mktsegment <> 'MACHINERY' THEN 'insertTime'
                     ELSE 'recordTimestamp' END AS time_column,
                CASE WHEN (c_acctbal > 0 OR c_acctbal < -500) AND c_mktsegment <> 'HOUSEHOLD' THEN 'datetime'

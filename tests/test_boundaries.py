@@ -114,3 +114,9 @@ def test_epochs(spark):
             assert [r[0] for r in rows] == [s + shift for s in utc]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_fractions_of_any_length_count(spark):
+    for text in ("2024-01-01 00:00:00." + "0" * 3_000 + "1", "2024-01-01 00:00:00.000000" + "0" * 2_000_000 + "1", "2024-01-01 00:00:00." + "0" * 99):
+        row = validate_targets(spark.createDataFrame([("datetime", text)], "time_type string, boundary string")).first()
+        assert row.normalized == parse_boundary(text, "datetime").text

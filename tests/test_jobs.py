@@ -636,7 +636,8 @@ def test_declared_under_the_hot_name(site):
     # Of both names the hot one counts.
     site.specs["daily"] = TableSpec("no_such_column", "bigint")
     refresh_all(site.spark, site.config)
-    assert site.config.spec("daily") == site.config.spec("daily" + SUFFIX) == told
+    pair = site.config.pairs[0]
+    assert site.config.of(pair, "daily") == site.config.spec("daily" + SUFFIX) == told
 
 
 def test_ranges_take_boundaries_and_refuse_other_kinds(site):

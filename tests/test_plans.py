@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from catalogue import fixtures as fx
 from catalogue.queries import QUERIES
 from tierview import parse_boundary, unify
@@ -16,7 +18,8 @@ ROW_WISE = [
     "q_unified_orders", "q_unified_lineitem", "q_unified_events", "q_unified_drifted", "q_union_all", "q_hot_scan",
     "q_cold_scan", "q_read_range_hot_only", "q_read_range_both", "q_ip_mapping", "q_type_align", "q_decode_strings",
     "q_decode_typed", "q_decode_int128", "q_encode_roundtrip", "q_ipv4_int", "q_ipv6_int", "q_ipv6_bytes",
-    "q_complete_rows", "q_delete_at_time", "q_validate_targets", "q_cold_alias_columns",
+    "q_read_range_from", "q_read_range_until", "q_read_range_events", "q_read_range_lineitem", "q_view_orders",
+    "q_view_lineitem", "q_view_drifted", "q_unified_event_ids", "q_complete_rows", "q_delete_at_time", "q_validate_targets", "q_cold_alias_columns",
 ]
 
 
@@ -55,6 +58,17 @@ def pushed_filters(df) -> list[str]:
     return [leaves.apply(n).metadata().apply("PushedFilters") for n in range(leaves.size())]
 
 
+def test_a_stored_bigint_boundary_reaches_both_scans(spark, sf_dir):
+    cold, hot = pushed_filters(QUERIES["q_unified_event_ids"](spark, sf_dir))
+    assert "LessThan(event_id," in cold and "GreaterThanOrEqual(event_id," in hot
+
+
+def test_rows_are_counted_where_they_are(spark, sf_dir):
+    counted = fx.table(spark, sf_dir, "lineitem").agg(F.count("*") >= 10**9)
+    before = physical(counted).split("SinglePartition")[1]
+    assert "partial_count" in before and "Limit" not in before
+
+
 def test_a_range_reads_one_tier(spark, sf_dir):
     assert physical(QUERIES["q_read_range_hot_only"](spark, sf_dir)).count("FileScan") == 1
     assert physical(QUERIES["q_read_range_cold_only"](spark, sf_dir)).count("FileScan") == 1

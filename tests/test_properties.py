@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
@@ -41,6 +42,33 @@ def test_each_row_is_served_by_the_tier_the_boundary_gives_it_to(spark, hot, col
     assert all(n == s + hidden + nulls for n, s, hidden, nulls in shown.values())
 
 
+@few
+@given(
+    kind=st.sampled_from(["bigint", "date", "datetime"]),
+    rows=st.lists(st.tuples(st.integers(-40, 40), st.booleans()), max_size=25),
+    cut=edge,
+    low=st.one_of(st.none(), edge),
+    high=st.one_of(st.none(), edge),
+)
+def test_ranges_of_every_kind_and_with_open_ends(spark, kind, rows, cut, low, high):
+    start = dt.datetime(2024, 1, 1)
+    at = {
+        "bigint": lambda n: n,
+        "date": lambda n: start.date() + dt.timedelta(days=n),
+        "datetime": lambda n: start + dt.timedelta(seconds=n),
+    }[kind]
+    column = {"bigint": "long", "date": "date", "datetime": "timestamp_ntz"}[kind]
+    hot, cold = (
+        spark.createDataFrame([(at(n),) for n, is_hot in rows if is_hot == side], f"recordTimestamp {column}") for side in (True, False)
+    )
+    spec = TableSpec(time_type=kind)
+    limits = [None if n is None else Boundary(kind, at(n)) for n in (low, high)]
+    got = read_range(hot, cold, reconcile(hot.schema, cold.schema, spec), Boundary(kind, at(cut)), *limits)
+    served = [n for n, is_hot in rows if (n >= cut) == is_hot]
+    expected = [n for n in served if (low is None or n >= low) and (high is None or n < high)]
+    assert Counter(r[0] for r in got.collect()) == Counter(map(at, expected))
+
+
 @few
 @given(
     arrays=st.lists(st.lists(st.text("ab|+é\n'\\", max_size=4), max_size=5), min_size=1, max_size=40),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from dataclasses import dataclass
-from functools import total_ordering
+from functools import reduce, total_ordering
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,26 +142,30 @@ def validate_targets(targets: DataFrame, kind: str = "time_type", value: str = "
         pattern = _PATTERNS[name].removesuffix("$") + "(?!(?s:.))"
         return F.when((kind_name == name) & text.rlike(pattern), text)
 
+    # In steps, each named once more than it is computed: inside conditions Spark would compute it anew each time.
     moment_text = F.translate(shaped("datetime"), ",", ".")
-    whole = F.substring_index(moment_text, ".", 1).try_cast("timestamp_ntz")
-    fraction = F.when(F.contains(moment_text, F.lit(".")), F.substring_index(moment_text, ".", -1))
-    micros = F.coalesce(F.rpad(F.substring(fraction, 1, 6), 6, "0").try_cast("int"), F.lit(0))
-    finer = F.coalesce(F.regexp_like(F.substr(fraction, F.lit(7)), F.lit("[1-9]")), F.lit(False))
-    moment = whole + F.make_dt_interval(secs=((micros + finer.cast("int")) / F.lit(1000000)).cast("decimal(18,6)"))
-    seconds = F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
-    shown = F.when(F.date_format(moment, "SSSSSS") == "000000", seconds).otherwise(
-        F.date_format(moment, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    )
-    day = shaped("date").try_cast("date")
+    fraction = F.when(F.contains("__text", F.lit(".")), F.substring_index("__text", ".", -1))
+    micros = F.coalesce(F.rpad(F.substring("__fraction", 1, 6), 6, "0").try_cast("int"), F.lit(0))
+    finer = F.coalesce(F.regexp_like(F.substr("__fraction", F.lit(7)), F.lit("[1-9]")), F.lit(False))
+    seconds = ((F.col("__micros") + F.col("__finer").cast("int")) / F.lit(1000000)).cast("decimal(18,6)")
+    whole = F.substring_index("__text", ".", 1).try_cast("timestamp_ntz")
+    steps = [
+        {"__text": moment_text, "__day": shaped("date").try_cast("date"), "__number": shaped("bigint").try_cast("bigint")},
+        {"__fraction": fraction},
+        {"__micros": micros, "__finer": finer},
+        {"__moment": whole + F.make_dt_interval(secs=seconds)},
+        {"__shown": F.date_format("__moment", "yyyy-MM-dd HH:mm:ss.SSSSSS")},
+    ]
     normalized = F.coalesce(
-        F.when(F.year(moment).between(1, 9999), shown),
-        F.when(F.year(day).between(1, 9999), day.cast("string")),
-        shaped("bigint").try_cast("bigint").cast("string"),
+        F.when(F.year("__moment").between(1, 9999), F.regexp_replace("__shown", "[.]000000$", "")),
+        F.when(F.year("__day").between(1, 9999), F.col("__day").cast("string")),
+        F.col("__number").cast("string"),
     )
     expected = F.lit("time column type is not supported")
     for name, form in _EXPECTED.items():
         expected = F.when(kind_name == name, F.lit(f"expected {form}")).otherwise(expected)
-    checked = targets.withColumn("normalized", normalized)
+    staged = reduce(DataFrame.withColumns, steps, targets)
+    checked = staged.withColumn("normalized", normalized).select(*targets.columns, "normalized")
     good = F.col("normalized").isNotNull()
     return checked.withColumn("ok", good).withColumn("problem", F.when(~good, expected))
 

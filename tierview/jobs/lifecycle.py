@@ -64,7 +64,7 @@ def run_init(spark: SparkSession, config: TierConfig) -> DataFrame:
                 catalog.register_cold(spark, f"{pair.cold_db}.{name}", source)
             todo = init_plan(spark, config, pair).orderBy("base_table").collect()
         for row in todo:
-            table, spec = row.base_table, config.spec(row.base_table)
+            table, spec = row.base_table, config.of(pair, row.base_table)
             with _recorded(results, pair, table, f"init of {pair.name}.{table}"):
                 if row.action == plans.CONFLICT:
                     raise StepError("precheck", tables.TableError(row.reason))
@@ -155,7 +155,7 @@ def _checked(spark: SparkSession, config: TierConfig, pair: TierPair, table: str
     view, hot, cold = _names(pair, table)
     if views.object_kind(spark, view) != catalog.VIEW:
         raise views.ViewError(f"view {view} does not exist")
-    return _mapping(spark, pair, table, f"{table}{pair.suffix}", config.spec(table))
+    return _mapping(spark, pair, table, f"{table}{pair.suffix}", config.of(pair, table))
 
 
 def update(
@@ -181,7 +181,7 @@ def update_many(
             raise ValueError("a target has no table name")
         if value is None or not str(value).strip():
             raise ValueError(f"{table}: a boundary is needed")
-        kind = config.spec(table).time_type
+        kind = config.of(pair, table).time_type
         wanted = value if isinstance(value, Boundary) and value.kind == kind else None
         boundary = wanted or parse_boundary(value.text if isinstance(value, Boundary) else value, kind)
         work.append((table, boundary, _checked(spark, config, pair, table)))

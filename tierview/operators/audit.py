@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,27 +137,36 @@ def run_summary(results: DataFrame) -> DataFrame:
     ``unknown`` where it is none of :data:`STEPS`.
     """
     failed = F.col("status") == "failed"
-    counts = {"total": F.count("*"), "success": F.count_if(~failed), "failed": F.count_if(failed)}
-    counts |= {f"failed_{s}": F.count_if(failed & (F.col("step") == s)) for s in STEPS}
-    counts["failed_unknown"] = F.count_if(failed & ~F.coalesce(F.col("step").isin(*STEPS), F.lit(False)))
-    pairs = results.groupBy("pair").agg(*[count.alias(name) for name, count in counts.items()])
-    # The total is summed up from the pairs, so that the results are read once for their counts.
-    sums = [F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name) for name in counts]
-    return pairs.union(pairs.agg(F.lit("(all)").alias("pair"), *sums))
+    counts = {"total": F.lit(True), "success": ~failed, "failed": failed}
+    counts |= {f"failed_{s}": failed & (F.col("step") == s) for s in STEPS}
+    counts["failed_unknown"] = failed & ~F.coalesce(F.col("step").isin(*STEPS), F.lit(False))
+    # A row that counts nowhere, so that there is a total of no results.
+    none = results.sparkSession.range(1).select(*(F.lit(None).cast("string").alias(c) for c in ("pair", "status", "step")))
+    told = results.select("pair", "status", "step", F.lit(True).alias("real")).union(none.withColumn("real", F.lit(False)))
+    summed = told.rollup("pair").agg(
+        F.grouping_id().alias("__all"), *[F.count_if(F.col("real") & count).alias(name) for name, count in counts.items()]
+    )
+    named = F.when(F.col("__all") == 1, "(all)").otherwise(F.col("pair")).alias("pair")
+    return summed.where("__all = 1 OR total > 0").select(named, *counts)
 
 
-def probe(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+def probe(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]], at_once: int = 16) -> DataFrame:
     """``tbl, status, error``: ask each table for one row; status is ``rows``, ``empty`` or ``error``.
 
-    Tables are asked one by one, so that one that cannot be read does not spoil the others; and by
-    ``take``, which starts with a single task where a limit inside a larger query would start them all.
+    Each table is a job of its own, so that one that cannot be read does not spoil the others; and asked by
+    ``take``, which starts with a single task where a limit inside a larger query would start them all. So
+    small jobs leave a cluster idle: ``at_once`` of them are under way together.
     """
-    results = []
-    for name, read in sorted(readers.items()):
+
+    def asked(item: tuple[str, Callable[[], DataFrame]]) -> tuple:
+        name, read = item
         try:
-            results.append((name, "rows" if read().take(1) else "empty", None))
+            return name, "rows" if read().take(1) else "empty", None
         except Exception as error:  # noqa: BLE001 - any failure to answer is the finding
-            results.append((name, "error", sqltext.error_text(error)))
+            return name, "error", sqltext.error_text(error)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        results = list(pool.map(asked, sorted(readers.items())))
     return spark.createDataFrame(results, "tbl string, status string, error string")
 
 

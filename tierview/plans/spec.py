@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierview.functions.boundaries import check_kind
@@ -101,17 +100,18 @@ class TierConfig:
         raise KeyError(f"no pair named {name!r}; known: {[p.name for p in self.pairs]}")
 
     def spec(self, table: str) -> TableSpec:
-        """Declaration of a table: by its hot name, else by its own, else the defaults.
-
-        ``table`` may be given with a pair's suffix or without.
-        """
-        return next((self.tables[n] for n in _candidates(table, [p.suffix for p in self.pairs]) if n in self.tables), TableSpec())
-
+        """Declaration of a table: by its own name, else without a pair's suffix, else the defaults."""
+        if table in self.tables:
+            return self.tables[table]
+        for pair in self.pairs:
+            base = table.removesuffix(pair.suffix)
+            if base != table and base in self.tables:
+                return self.tables[base]
+        return TableSpec()
 
-def _candidates(table: str, suffixes: list[str]) -> list[str]:
-    """Names that a table may be declared under, in order: with a suffix, as given, without its suffix."""
-    hot = [table] if any(table.endswith(s) for s in suffixes) else [table + s for s in suffixes]
-    return [*hot, table, *(table.removesuffix(s) for s in suffixes if table.endswith(s))]
+    def of(self, pair: TierPair, table: str) -> TableSpec:
+        """Declaration of a unified table: by its hot name, else by its own, else the defaults."""
+        return self.spec(table + pair.suffix)
 
 
 def time_specs(names: DataFrame, declared: DataFrame, suffixes: list[str]) -> DataFrame:
@@ -119,11 +119,9 @@ def time_specs(names: DataFrame, declared: DataFrame, suffixes: list[str]) -> Da
 
     ``names``: column ``table``. ``declared``: ``table, time_column, time_type``, blanks allowed.
     """
-    name = F.col("table")
-    suffixed = reduce(Column.__or__, [name.endswith(s) for s in suffixes], F.lit(False))
-    candidates = [F.when(~suffixed, F.concat(name, F.lit(s))) for s in suffixes]
-    candidates.append(name)
-    candidates += [F.when(name.endswith(s), F.expr(f"substr(table, 1, length(table) - {len(s)})")) for s in suffixes]
+    candidates = [F.col("table")] + [
+        F.when(F.col("table").endswith(s), F.expr(f"substr(table, 1, length(table) - {len(s)})")) for s in suffixes
+    ]
     wanted = (
         names.select("table")
         .distinct()

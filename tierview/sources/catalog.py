@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +30,14 @@ def list_tables(spark: SparkSession, db: str) -> DataFrame:
     """``table, kind`` of a schema, from two listings and without looking at each table."""
     shown = spark.sql(f"SHOW TABLES IN {sqltext.table_ref(db)}").where("NOT isTemporary")
     names = shown.select(F.col("tableName").alias("table"))
-    if "." in db and not db.startswith("spark_catalog."):
-        # Views live in the session catalog; other catalogs need not know the statement.
+    try:
+        found = _views(spark, db)
+    except AnalysisException:
+        if "." not in db or db.startswith("spark_catalog."):
+            raise
+        # A catalog that has no views need not know the statement.
         return names.select("table", F.lit(TABLE).alias("kind"))
-    return with_kinds(names, _views(spark, db).select(F.col("viewName").alias("table")))
+    return with_kinds(names, found.select(F.col("viewName").alias("table")))
 
 
 def with_kinds(names: DataFrame, views: DataFrame) -> DataFrame:
