@@ -163,12 +163,14 @@ def _between(df: DataFrame, key: str, text: str, stars: DataFrame, grouped: Data
     group = stars.unionByName(stars.select("a", F.col("a").alias("b")).distinct()).select(F.col("a").alias("hub"), F.col("b").alias("id"))
     named = grouped.withColumnRenamed("node", "id")
     placed = group.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    own = placed.where("id = hub").select("hub", F.col("component").alias("first"))
-    placed = placed.join(own, "hub").withColumn("inner", F.col("component") == F.col("first"))
-    sizes = placed.groupBy("hub").agg(
-        F.ceil(F.count_if("inner") / BLOCK).cast("int").alias("inners"), F.ceil(F.count_if(~F.col("inner")) / BLOCK).cast("int").alias("outers")
-    )
-    placed = checkpointed(placed.join(sizes.where("outers > 0"), "hub").drop("first"))
+    # A hub with very many members: counts are summed up before they are moved, and no sum stands above a join on the
+    # hub, so that Spark can split it.
+    own = placed.where("id = hub").select("hub", F.col("component").alias("first")).distinct()
+    inners = placed.join(own.withColumnRenamed("first", "component"), ["hub", "component"]).groupBy("hub").agg(F.count("*").alias("n"))
+    sizes = placed.groupBy("hub").agg(F.count("*").alias("all")).join(inners, "hub").join(own, "hub")
+    sizes = sizes.select("hub", "first", _blocks("n").alias("inners"), _blocks("all - n").alias("outers")).where("outers > 0")
+    placed = placed.join(sizes, "hub").withColumn("inner", F.col("component") == F.col("first"))
+    placed = checkpointed(placed.drop("first"))
 
     def block(blocks: str):
         return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int").alias("y")
@@ -189,6 +191,10 @@ def _between(df: DataFrame, key: str, text: str, stars: DataFrame, grouped: Data
     return rows.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_compared, f"a {kind}, b {kind}").distinct()
 
 
+def _blocks(rows: str):
+    return F.ceil(F.expr(rows) / BLOCK).cast("int")
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Holds the documents of one pair of blocks at a time. ``side`` tells the blocks apart, unless it is one block."""
     table = words.white_space_words()
