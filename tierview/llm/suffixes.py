@@ -408,13 +408,16 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     heavy = spans.groupBy("tag").count().where(F.col("count") > HEAVY).select("tag", F.lit(True).alias("heavy"))
     spans = spans.join(heavy, "tag", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     of = spans.groupBy("id", "c").agg(F.collect_list(F.struct("tag", "x", "heavy")).alias("spans"))
-    bodies = docs.distinct() if shared else docs
+    # Both joins with the texts ask for the same rows, so that they are moved once.
+    placed = docs.where("id IS NOT NULL")
+    bodies = placed.distinct() if shared else placed
     cut = bodies.join(of, ["id", "c"]).select("id", "c", "t", "spans")
     cut = cut.mapInArrow(_cut, "tag bigint, id bigint, c int, lo bigint, body binary")
     more = cut.repartition(parts, "tag").sortWithinPartitions("tag", "id").mapInArrow(_sorted, _TOLD)
 
     runs = told.where("tag IS NULL").unionByName(more).groupBy("id", "c").agg(F.collect_list("x").alias("runs"))
-    rows = docs.join(runs, ["id", "c"], "left").select("id", "t", "runs")
-    out = rows.mapInArrow(_removed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    rows = placed.join(runs, ["id", "c"], "left").select("id", "t", "runs")
+    lone = docs.where("id IS NULL").select("id", "t", F.lit(None).cast("array<bigint>").alias("runs"))
+    out = rows.unionByName(lone).mapInArrow(_removed, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     kind = df.schema[key].dataType
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", key)

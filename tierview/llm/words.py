@@ -14,8 +14,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 
-#: Bytes of text that are hashed at once; each takes some 30 bytes of memory meanwhile. One longer text goes alone.
-CHUNK_BYTES = 1 << 22
+#: Bytes of text that are hashed at once; each takes some 100 bytes of memory meanwhile. One longer text goes alone.
+CHUNK_BYTES = 1 << 20
 
 _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _RNG = np.random.Generator(np.random.PCG64(20_240_601))
