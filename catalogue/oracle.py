@@ -203,6 +203,11 @@ ORACLES: dict[str, str] = {
     "q_update_sentinel": _unified(ORDERS_COLD, ORDERS_HOT, "o_orderdate", "TIMESTAMP '9999-12-31 23:59:59'"),
     "q_read_range_hot_only": _orders_range("2000-03-01 00:00:00", "2000-09-01 00:00:00"),
     "q_read_range_cold_only": _orders_range("1996-03-01 00:00:00", "1997-03-01 00:00:00"),
+    "q_drop_columns": "SELECT * EXCLUDE (o_totalprice, o_orderpriority) FROM orders",
+    "q_enough_rows": " UNION ALL ".join(
+        f"SELECT count(*) >= {n} AS enough FROM ({_unified(ORDERS_COLD, ORDERS_HOT, 'o_orderdate', ORDERS_B)})"
+        for n in (100, 10**12)
+    ),
     "q_read_range_from": _orders_range("1998-11-01 00:00:00", "9999-01-01 00:00:00"),
     "q_read_range_until": _orders_range("0001-01-01 00:00:00", "1999-03-01 00:00:00"),
     "q_read_range_events": (

@@ -15,7 +15,7 @@ from tierview.functions.boundaries import parse_boundary, sentinel
 from tierview.operators import audit, boundary, unify
 from tierview.plans import lifecycle
 from tierview.plans.spec import PartitionRule, TableSpec, time_specs
-from tierview.sources import aliases, catalog, tables
+from tierview.sources import aliases, catalog, tables, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -472,6 +472,17 @@ def complete_rows_required(spark, sf_dir):
     return tables.complete_rows(rows, _TARGET, "o_orderdate", mode="required_only")
 
 
+@query
+def drop_columns(spark, sf_dir):
+    return tables.drop_columns(fx.table(spark, sf_dir, "orders"), ["o_totalprice", "o_orderpriority"])
+
+
+@query
+def enough_rows(spark, sf_dir):
+    whole = _unified(fx.orders(spark, sf_dir))
+    return views.at_least(whole, 100).union(views.at_least(whole, 10**12))
+
+
 @query
 def delete_at_time(spark, sf_dir):
     tiers = fx.orders(spark, sf_dir)

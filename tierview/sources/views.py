@@ -81,8 +81,12 @@ def has_rows(spark: SparkSession, table: str) -> bool:
 
 
 def count_at_least(df: DataFrame, rows: int) -> bool:
-    """Whether there are that many rows: a count per task, then their sum."""
-    return df.agg(F.count("*") >= rows).first()[0]
+    return at_least(df, rows).first()[0]
+
+
+def at_least(df: DataFrame, rows: int) -> DataFrame:
+    """One row, ``enough``: whether there are that many rows. A count per task, then their sum."""
+    return df.agg((F.count("*") >= rows).alias("enough"))
 
 
 def check_view(
