@@ -1,0 +1,22 @@
+"""Registered queries against SQL over the same whole tables, with the types that must come out."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+from tierview.llm.oracle import ORACLES
+from tierview.llm.queries import QUERIES
+
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_agrees_with_sql(name, spark, sf_dir):
+    duck = duckdb.connect()
+    for table in ("documents", "pages"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    df, expected = QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name])
+    assert {c: TYPES[t] for c, t in df.dtypes} == dict(zip(expected.columns, map(str, expected.types)))
+    theirs = [tuple(row[expected.columns.index(c)] for c in df.columns) for row in expected.fetchall()]
+    assert sorted(map(tuple, df.collect())) == sorted(theirs)

@@ -64,6 +64,14 @@ def test_stages_on_the_tables(spark, sf_dir, tmp_path):
     assert {i: list(array("I", bytes(r.ids))) for i, r in rows[5].items()} == want
 
 
+def test_run_is_all_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    one_by_one = {r.doc_id: bytes(r.ids) for r in docs.collect()}
+    assert {r.doc_id: bytes(r.ids) for r in corpus_pipeline.run(spark, sf_dir).collect()} == one_by_one
+
+
 def test_awkward_documents(spark, sf_dir, awkward):
     docs = awkward.select("doc_id", "text", F.lit("en").alias("lang"), F.col("t").alias("source"), F.lit(1).cast("long").alias("n_chars"), "k", "size")
     for _, stage in corpus_pipeline.STAGES[:-1]:

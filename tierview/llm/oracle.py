@@ -25,3 +25,49 @@ SELECT page_id, host, path, rule, CASE
     ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+_ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+
+# Text cut into pieces that each end with a match; what is left of a text after its last match is in no piece.
+_PIECES = """
+  SELECT doc_id, {ord} AS ord, '{kind}' AS kind, unnest(p) AS piece, generate_subscripts(p, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s:.*?)(?:{pattern})') AS p FROM documents)"""
+_KINDS = (("assign", _ASSIGN, 1, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
+
+ORACLES["op4_secret_scan"] = f"""
+WITH pieces AS ({" UNION ALL ".join(_PIECES.format(ord=n, kind=k, pattern=p) for n, (k, p, _, _) in enumerate(_KINDS))}),
+placed AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, ord ORDER BY i) AS till,
+    CASE ord {" ".join(f"WHEN {n} THEN length(regexp_extract(piece, '(?:{p})$', 0))" for n, (_, p, _, _) in enumerate(_KINDS))} END AS own,
+    CASE ord {" ".join(f"WHEN {n} THEN length(regexp_extract(piece, '(?:{p})$', {g})) >= {m}" for n, (_, p, g, m) in enumerate(_KINDS))} END AS good
+  FROM pieces),
+told AS (
+  SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+    string_agg(kind || ':' || CAST(till - own AS BIGINT) || ':' || CAST(till AS BIGINT), ',' ORDER BY till - own, ord) AS spans
+  FROM placed WHERE good GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN told USING (doc_id)
+"""
+
+ORACLES["op5_minhash"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reached.a, both_ways.b FROM reached JOIN both_ways ON reached.b = both_ways.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) LEFT JOIN sizes USING (doc_id)
+"""
