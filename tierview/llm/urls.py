@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierview.llm import words
 from tierview.llm.session import column
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -149,10 +150,7 @@ def judge_urls(
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            canonical = batch.column("canonical")
-            offsets = np.frombuffer(canonical.buffers()[1], np.int32)[canonical.offset :][: len(canonical) + 1]
-            data = np.frombuffer(canonical.buffers()[2] or b"", np.uint8)
-            hit = machine.matches(data, offsets.astype(np.int64))
+            hit = machine.matches(*words.raw(batch.column("canonical")))
             first = np.append(hit, np.ones((len(hit), 1), bool), axis=1).argmax(axis=1)  # the default, if no other
             yield pa.record_batch(
                 [

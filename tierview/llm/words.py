@@ -64,7 +64,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column without nulls, and where each value begins, and the end."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    large = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if large else np.int32)
+    offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
