@@ -287,9 +287,6 @@ def decode(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
 
 def unpacked(ids: Column) -> Column:
     """Packed ids as an array of integers."""
-    digits = F.hex(ids)
-    at = lambda i: F.substr(digits, i * 8 + 1, F.lit(8))
+    each = F.regexp_extract_all(F.hex(ids), F.lit("[0-9A-F]{8}"), F.lit(0))
     swapped = lambda h: F.concat(*(F.substr(h, F.lit(n), F.lit(2)) for n in (7, 5, 3, 1)))
-    count = F.floor(F.length(digits) / 8).cast("int")
-    numbers = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(swapped(at(i)), 16, 10).cast("int"))
-    return F.when(count > 0, numbers).otherwise(F.array().cast("array<int>"))
+    return F.transform(each, lambda h: F.conv(swapped(h), 16, 10).cast("int"))
