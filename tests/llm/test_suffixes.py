@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import random
 
 import numpy as np
@@ -111,6 +112,35 @@ def test_collisions_are_seen(monkeypatch):
     assert order.tolist() == [0, 2, 1] and same.tolist() == [False, True, False]
 
 
+def colliding(name):
+    """The step with one hash for all bytes, in the worker that runs it."""
+
+    def run(batches):
+        own = importlib.import_module("tierview.llm.suffixes")
+        before, own._VALUE = own._VALUE, np.ones(256, np.uint64)
+        try:
+            yield from getattr(own, name)(batches)
+        finally:
+            own._VALUE = before
+
+    return run
+
+
+def test_collisions_remove_nothing(spark, monkeypatch):
+    for name in ("_anchored", "_classed", "_cut", "_sorted"):
+        monkeypatch.setattr(suffixes, name, colliding(name))
+    rows = repeated(1, 60)
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_classes_of_a_chunk_are_told_by_bytes():
+    texts = [b"a" * 60, b"b" * 60, b"a" * 60, b"a" * 59 + b"c"]
+    data, first = np.frombuffer(b"".join(texts), np.uint8), np.arange(0, 240, 60)
+    same = np.zeros(4, np.uint64)
+    order, head = suffixes._classes(data, first, first + 10, np.arange(4), same, same)
+    assert order.tolist() == [0, 2, 1, 3] and head.tolist() == [True, False, True, True]
+
+
 def test_query_agrees_with_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, queries.QUERIES["op9_suffix_dedup"](spark, sf_dir).collect()), key=str)

@@ -6,7 +6,8 @@ with the smallest hash. Equal strings have equal anchors at equal distances, and
 so there is an anchor for every 18 bytes.
 
 1. Anchors whose whole span (all the strings that they own) is equal are one class. All but those in the class's first
-   document are repeats, and need no look at the text.
+   document are repeats. Within a chunk of texts the bytes of each are compared with those of the class's first; across
+   chunks spans are equal if a second hash of 64 bits, of another kind, agrees as well.
 2. What is left are the first members of classes that share an anchor's 16 bytes with another class: the ends of
    repeats, and chance. Their spans are cut from the texts, and all strings of 50 bytes in them, which are suffixes
    cut off at 50, are sorted: two suffixes are compared by binary search for their common extension on prefix
@@ -65,15 +66,49 @@ def _grams(data: np.ndarray) -> np.ndarray:
         width, step = 2 * width, step * step % 2**64
 
 
+def _spelled(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[np.ndarray]:
+    """The bytes of spans, eight at a time; the last eight again where a span is shorter than the longest."""
+    eights = np.ndarray(max(len(data) - 7, 0), "<u8", np.ascontiguousarray(data), 0, (1,))
+    for at in range(0, LENGTH + _PLACES - 1, 8):
+        yield eights[np.minimum(first + at, last + LENGTH - 8)]
+
+
+def _second(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of spans that shares no step with the polynomial one: each eight bytes are mixed into what was before."""
+    total = (last - first).astype(U64)
+    for part in _spelled(data, first, last):
+        total = words.mixed((total ^ part) * U64(_STEP) + words.PLACE[4])
+    return total
+
+
+def _classes(data: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray, *hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of spans by class and document, and whether each in it begins a class. Classes have equal bytes."""
+    order = np.lexsort((doc, *hashes))
+    head = np.ones(len(order), bool)
+    head[1:] = np.any([h[order][1:] != h[order][:-1] for h in hashes], axis=0)
+    other = np.flatnonzero(~head)
+    mine, its = order[other], order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))[other]]
+    equal = last[mine] - first[mine] == last[its] - first[its]
+    for a, b in zip(_spelled(data, first[mine], last[mine]), _spelled(data, first[its], last[its])):
+        equal &= a == b
+    if not equal.all():  # a collision: by their bytes instead
+        number: dict[bytes, int] = {}
+        spans = (data[a : b + LENGTH].tobytes() for a, b in zip(first.tolist(), last.tolist()))
+        told = np.array([number.setdefault(span, len(number)) for span in spans])
+        order = np.lexsort((doc, told))
+        head[1:] = told[order][1:] != told[order][:-1]
+    return order, head
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All anchors of the texts: text, place of the anchor, first and last string that it owns, hash, class.
+    """All anchors of the texts: text, place of the anchor, first and last string that it owns, its hash, two of its span.
 
     Places count from the beginning of ``data``, which must be shorter than 2**24 unless it is one text.
     """
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none, none.astype(U64), none
+        return none, none, none, none, none.astype(U64), none.astype(U64), none.astype(U64)
     grams = _grams(data)
     count = len(grams)
     bits = max(24, int(count).bit_length())
@@ -98,7 +133,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     total, down = prefixes(data)
     span = (total[last + LENGTH] - total[first]) * down[first]
     span += (at - first).astype(U64) * words.PLACE[1] + (last - first).astype(U64) * words.PLACE[2]
-    return text, at, first, last, grams[at], (words.mixed(span) >> U64(16)).astype(np.int64)
+    return text, at, first, last, grams[at], words.mixed(span), _second(data, first, last)
 
 
 def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,10 +201,11 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
     return order, same
 
 
-# What moves. An anchor is (k1, k2, id, c): k1 has 40 bits of its hash, its tag, and 24 of its class; k2 has 20 more of
-# the class, 32 of its place in the text, and 6 each of the distances to the first and last string that it owns. A run
-# of repeats has no k1, and its ends in k2. c tells apart texts that share an id; it is 0 where ids are unique.
-_ANCHORED = "k1 bigint, k2 bigint, id bigint, c int"
+# What moves. An anchor is (k1, h, k2, id, c): k1 has 40 bits of its hash, its tag, and 24 of its span's first hash; h is
+# its span's second hash; k2 has 32 bits of its place in the text, and 6 each of the distances to the first and last string
+# that it owns. Anchors of equal k1 and h are a class. A run of repeats has neither, and its ends in k2. c tells apart
+# texts that share an id; it is 0 where ids are unique.
+_ANCHORED = "k1 bigint, h bigint, k2 bigint, id bigint, c int"
 _TOLD = "id bigint, c int, tag bigint, x bigint"
 
 
@@ -190,16 +226,15 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, c = batch.column("id").to_numpy(), batch.column("c").to_numpy()
         for lo, hi in words.chunks(offsets):
             own = offsets[lo : hi + 1] - offsets[lo]
-            text, at, first, last, tag, kind = anchors(data[offsets[lo] : offsets[hi]], own)
+            part = data[offsets[lo] : offsets[hi]]
+            text, at, first, last, tag, kind, second = anchors(part, own)
             doc, base = ids[lo + text], own[text]
-            order = np.lexsort((doc, kind))
-            head = np.ones(len(order), bool)
-            head[1:] = kind[order][1:] != kind[order][:-1]
+            order, head = _classes(part, first, last, doc, kind, second)
             least = np.empty(len(order), np.int64)
             least[order] = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
             mine, again = np.flatnonzero(doc == least), np.flatnonzero(doc > least)
-            k1 = (tag[mine] >> U64(24) << U64(24)).view(np.int64) | (kind[mine] & 0xFFFFFF)
-            k2 = ((kind[mine] >> 24) << 44) | ((at - base)[mine] << 12) | ((at - first)[mine] << 6) | (last - at)[mine] + _PLACES
+            k1 = ((tag[mine] >> U64(24) << U64(24)) | (kind[mine] >> U64(40))).view(np.int64)
+            k2 = ((at - base)[mine] << 12) | ((at - first)[mine] << 6) | (last - at)[mine] + _PLACES
             # Neighbouring anchors own neighbouring strings, so whole copies become one run.
             a, b, of = (first - base)[again], (last - base)[again], text[again]
             new = np.ones(len(again), bool)
@@ -212,11 +247,12 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 [
                     pa.array(np.concatenate((k1, runs)), mask=known),
+                    pa.array(np.concatenate((second[mine].view(np.int64), runs)), mask=known),
                     pa.array(np.concatenate((k2, runs))),
                     pa.array(ids[of]),
                     pa.array(c[of]),
                 ],
-                names=["k1", "k2", "id", "c"],
+                names=["k1", "h", "k2", "id", "c"],
             )
 
 
@@ -233,13 +269,13 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = batch.filter(batch.column("k1").is_valid())
         if not batch.num_rows:
             continue
-        k1, k2, doc, c = (batch.column(n).to_numpy() for n in ("k1", "k2", "id", "c"))
-        tag, kind = k1 >> 24, np.stack((k1, k2 >> 44))
+        k1, h, k2, doc, c = (batch.column(n).to_numpy() for n in ("k1", "h", "k2", "id", "c"))
+        tag, kind = k1 >> 24, np.stack((k1, h))
         new = np.ones(len(tag), bool)
         new[1:] = (kind[:, 1:] != kind[:, :-1]).any(axis=0)
         least = doc[np.maximum.accumulate(np.where(new, np.arange(len(tag)), 0))]
         goes_on = lead is not None and lead[0] == tag[0]
-        if goes_on and lead[1] == (k1[0], k2[0] >> 44):
+        if goes_on and lead[1] == (k1[0], h[0]):
             new[0] = False
             least[: (np.flatnonzero(new)[0] if new.any() else len(new))] = lead[2]
         again = doc > least
@@ -260,7 +296,7 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not opened:
             stay = np.flatnonzero(~again & (group == group[-1]))
             held = np.concatenate((held, np.stack((k2[stay], doc[stay], c[stay].astype(np.int64)), axis=1)))
-        lead = (tag[-1], (k1[-1], k2[-1] >> 44), least[-1])
+        lead = (tag[-1], (k1[-1], h[-1]), least[-1])
 
 
 def _rows(doc: np.ndarray, c: np.ndarray, tag: np.ndarray | None, x: np.ndarray) -> pa.RecordBatch:
@@ -401,7 +437,7 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tag = F.shiftright("k1", 24)
     dealt = found.repartition(parts, F.coalesce(tag, F.xxhash64("id", "k2")))
-    dealt = dealt.sortWithinPartitions("k1", F.shiftright("k2", 44), "id")
+    dealt = dealt.sortWithinPartitions("k1", "h", "id")
     told = written(dealt.mapInArrow(_classed, _TOLD))
 
     spans = told.where("tag IS NOT NULL")
