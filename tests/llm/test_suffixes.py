@@ -5,6 +5,7 @@ import importlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tierview.llm import queries, suffixes
@@ -141,6 +142,20 @@ def test_classes_of_a_chunk_are_told_by_bytes():
     assert order.tolist() == [0, 2, 1, 3] and head.tolist() == [True, False, True, True]
 
 
+def test_all_open_strings_are_sorted(monkeypatch):
+    """Strings without a like among them, too."""
+    seen, sort = [], suffixes.sort_suffixes
+    monkeypatch.setattr(suffixes, "sort_suffixes", lambda data, at, group: (seen.extend(at.tolist()), sort(data, at, group))[1])
+    rng = random.Random(3)
+    bodies = [bytes(rng.choices(range(97, 123), k=60)) for _ in range(9)]
+    bodies[8] = bodies[2][:55] + b"12345"
+    told = [pa.array([1] * 9), pa.array(range(9)), pa.array([0] * 9, pa.int32()), pa.array([0] * 9), pa.array(bodies)]
+    spans = pa.record_batch(told, names=["tag", "id", "c", "lo", "body"])
+    (runs,) = suffixes._sorted(iter([spans]))
+    assert seen == [60 * n + i for n in range(9) for i in range(11)]
+    assert runs.to_pylist() == [{"id": 8, "c": 0, "tag": None, "x": 55}]
+
+
 def test_query_agrees_with_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(map(tuple, queries.QUERIES["op9_suffix_dedup"](spark, sf_dir).collect()), key=str)

@@ -144,20 +144,33 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
     binary search finds by comparing suffixes.
     """
     total, down = prefixes(data)
-
-    def extension(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common bytes of two suffixes: binary search for the longest prefixes of equal hash."""
-        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), LENGTH)
+    # Of each string: what its prefix hashes are taken from, that of all of it, and its first eight bytes.
+    base, factor = total[at], down[at]
+    whole = (total[at + LENGTH] - base) * factor
+    front = np.ndarray(max(len(data) - 7, 0), ">u8", np.ascontiguousarray(data), 0, (1,))[at].astype(U64)
+
+    def extension(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Common bytes of two strings that are not equal but in their first eight bytes: binary search for the longest
+        prefixes of equal hash."""
+        a, b, ta, tb, fa, fb = at[x], at[y], base[x], base[y], factor[x], factor[y]
+        lo, hi = np.full(len(x), 8), np.full(len(x), LENGTH - 1)
         while (lo < hi).any():
             mid = (lo + hi + 1) // 2
-            same = (total[a + mid] - total[a]) * down[a] == (total[b + mid] - total[b]) * down[b]
+            same = (total[a + mid] - ta) * fa == (total[b + mid] - tb) * fb
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
-    def less(a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        common = extension(a, b)
-        inside = np.minimum(common, LENGTH - 1)
-        return np.where(common == LENGTH, or_equal, data[a + inside] < data[b + inside])
+    def less(x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        ours, theirs = front[x], front[y]
+        out = np.where(whole[x] == whole[y], or_equal, False)
+        differ = ours != theirs
+        out[differ] = (ours < theirs)[differ]
+        deep = np.flatnonzero(~differ & (whole[x] != whole[y]))
+        if deep.size:
+            x, y = x[deep], y[deep]
+            common = extension(x, y)
+            out[deep] = data[at[x] + common] < data[at[y] + common]
+        return out
 
     n = len(at)
     order = np.arange(n)
@@ -173,11 +186,11 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
         other = begin + np.minimum(np.where(left, half + 1, half - 1) * width, size)
         end = np.minimum(other + width, begin + size)
         live = np.flatnonzero(end > other)
-        mine, lo, hi = at[order[live]], other[live].copy(), end[live].copy()
+        mine, lo, hi = order[live], other[live].copy(), end[live].copy()
         ties = ~left[live]  # equal strings keep their order: those of the left half come first
         while (open_ := np.flatnonzero(lo < hi)).size:
             mid = (lo[open_] + hi[open_]) // 2
-            before = less(at[order[mid]], mine[open_], ties[open_])
+            before = less(order[mid], mine[open_], ties[open_])
             lo[open_] = np.where(before, mid + 1, lo[open_])
             hi[open_] = np.where(before, hi[open_], mid)
         block = begin[live] + (half[live] // 2) * 2 * width
@@ -190,7 +203,7 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
     same = np.zeros(n, bool)
     if n > 1:
         a, b = at[order[:-1]], at[order[1:]]
-        near = np.flatnonzero((group[1:] == group[:-1]) & (extension(a, b) == LENGTH))
+        near = np.flatnonzero((group[1:] == group[:-1]) & (whole[order[1:]] == whole[order[:-1]]))
         true = (data[a[near, None] + np.arange(LENGTH)] == data[b[near, None] + np.arange(LENGTH)]).all(axis=1)
         if not true.all():  # a collision: by their bytes instead
             rows = [bytes(data[i : i + LENGTH]) for i in at.tolist()]
@@ -365,17 +378,7 @@ def _resolved(part: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
     row = np.repeat(np.arange(len(counts)), counts)
     shift = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = offsets[row] + shift
-    total, down = prefixes(data)
-    # A string whose hash no other of its tag has is equal to none: it need not be sorted.
-    key = words.mixed((total[at + LENGTH] - total[at]) * down[at] + tag[row].view(U64) * words.PLACE[3])
-    order = np.argsort(key)
-    twin = np.zeros(len(key), bool)
-    same = key[order][1:] == key[order][:-1]
-    twin[order[1:][same]] = True
-    twin[order[:-1][same]] = True
-    pick = np.flatnonzero(twin)
-    order, same = sort_suffixes(data, at[pick], tag[row[pick]])
-    mine = pick[order]
+    mine, same = sort_suffixes(data, at, tag[row])
     least = doc[row[mine]][np.maximum.accumulate(np.where(same, 0, np.arange(len(mine))))]
     hits = np.sort(mine[doc[row[mine]] > least])  # in the order of spans and places
     new = np.ones(len(hits), bool)
