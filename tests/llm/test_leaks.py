@@ -4,6 +4,7 @@ import random
 import re
 
 
+import corpus_pipeline
 from tierview.llm import leaks, queries
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -97,3 +98,65 @@ def test_query_finds_planted_items(spark, sf_dir):
     for (d, i), r in got.items():
         own, theirs = docs[d][r.first_word :][: r.n_words], items[i]
         assert max(sum(a == b for a, b in zip(own, theirs[o:])) for o in range(len(theirs))) == r.n_equal >= 0.75 * r.n_words
+
+
+def patterns(n):
+    """All ways in which an overlap of ``n`` words may be equal: at both ends, and ``SHARE`` of it."""
+    if n == 1:
+        return [1]
+    ends = 1 | 1 << (n - 1)
+    return [p for p in (ends | q << 1 for q in range(1 << (n - 2))) if p.bit_count() >= leaks.SHARE * n]
+
+
+def missed(n):
+    masks = [(int(mask[::-1], 2), len(mask)) for mask in leaks.MASKS]
+    return [p for p in patterns(n) if not any(p >> at & m == m for m, size in masks for at in range(n - size + 1))]
+
+
+def test_known_misses():
+    """What the masks lose, of all there is: misses and patterns by the words of an overlap."""
+    counts = {n: (len(missed(n)), len(patterns(n))) for n in range(1, 18)}
+    assert {n: c for n, c in counts.items() if c[0]} == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (2, 3), 5: (2, 4), 8: (1, 22)}
+
+
+def unseeded(docs, items, least=12):
+    """All pairs that overlap, whatever the masks hit; of items of ``least`` words or more. Pairs of words that are equal
+    are counted by diagonal, and only diagonals with enough of them are looked at."""
+    number, postings = {}, {}
+    theirs = {i: [number.setdefault(w, len(number)) for w in split(t)] for i, t in items}
+    theirs = {i: own for i, own in theirs.items() if len(own) >= least}
+    for i, own in theirs.items():
+        for p, w in enumerate(own):
+            postings.setdefault(w, []).append((i, p))
+    out = set()
+    for d, t in docs:
+        own = [number.get(w, -1) for w in split(t)]
+        diagonals = {}
+        for at, w in enumerate(own):
+            for i, p in postings.get(w, ()):
+                diagonals.setdefault((i, at - p), []).append(at)
+        for (i, _), places in diagonals.items():
+            total = len(places)
+            if (d, i) not in out and any(
+                places[b] - places[a] + 1 >= least and b - a + 1 >= leaks.SHARE * (places[b] - places[a] + 1)
+                for a in range(total)
+                for b in range(a + int(leaks.SHARE * least) - 1, total)
+            ):
+                out.add((d, i))
+    return out
+
+
+def test_query_finds_all_leaks_of_the_table(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    assert min(len(split(t)) for _, t in items) >= 12  # shorter ones have the known misses
+    want = unseeded(docs, items)
+    assert want and {(r.doc_id, r.item_id) for r in queries.QUERIES["op10_decontaminate"](spark, sf_dir).collect()} == want
+
+
+def test_stage_drops_all_leaks_of_the_table(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = [tuple(r) for r in table.select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    kept = {r.doc_id for r in corpus_pipeline.drop_leaks(spark, table, sf_dir).select("doc_id").collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in unseeded(docs, items)}
