@@ -20,22 +20,34 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which the driver and all executors see.
 
-    Where the session has none (a local test), a folder of its own is set.
+    Where the session has none, one on this machine is made if all of Spark runs on it, and else it is an error: on a
+    cluster executors would not see each other's files there.
     """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp())
+        base = context.getCheckpointDir()
+    return base.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, so that lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, in Parquet: smaller, and read as far as needed. The folder is new each time."""
     session = df.sparkSession
-    base = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(session)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)
 
