@@ -14,7 +14,7 @@ TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(name, spark, sf_dir):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df, expected = QUERIES[name](spark, sf_dir), duck.sql(ORACLES[name])
     assert {c: TYPES[t] for c, t in df.dtypes} == dict(zip(expected.columns, map(str, expected.types)))

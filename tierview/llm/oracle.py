@@ -71,3 +71,53 @@ reached AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) LEFT JOIN sizes USING (doc_id)
 """
+
+
+# Vectors as integers, one row for each component; rounds of assignment and floors of means, one CTE after the other.
+_COMPONENTS = """
+kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (
+  SELECT vec_id, (k - 1) // {width} AS p, (k - 1) % {width} AS i, x
+  FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM kept)),
+book0 AS MATERIALIZED (
+  SELECT p, e, i, x FROM cells JOIN (SELECT vec_id, row_number() OVER (ORDER BY {order}) - 1 AS e FROM kept) USING (vec_id)
+  WHERE e < 16)"""
+_ASSIGNED = """
+near{n} AS MATERIALIZED (
+  SELECT vec_id, p, CAST(min(d * 16 + e) % 16 AS BIGINT) AS e, CAST(min(d * 16 + e) // 16 AS BIGINT) AS d
+  FROM (SELECT vec_id, p, e, sum((c.x - b.x) * (c.x - b.x)) AS d FROM cells c JOIN book{n} b USING (p, i) GROUP BY ALL)
+  GROUP BY vec_id, p)"""
+_MOVED = """
+book{next} AS MATERIALIZED (
+  SELECT p, e, i, coalesce(mean, x) AS x FROM book{n} LEFT JOIN (
+    SELECT p, e, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS mean
+    FROM (SELECT p, e, i, sum(x) AS s, count(*) AS n FROM cells JOIN near{n} USING (vec_id, p) GROUP BY p, e, i)) USING (p, e, i))"""
+
+
+def _rounds(rounds: int, scale: int, width: int, order: str) -> str:
+    steps = [_COMPONENTS.format(scale=scale, width=width, order=order)]
+    for n in range(rounds):
+        steps += [_ASSIGNED.format(n=n), _MOVED.format(n=n, next=n + 1)]
+    return ",".join([*steps, _ASSIGNED.format(n=rounds)])
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH {_rounds(6, 4096, 8, "vec_id")},
+told AS (
+  SELECT vec_id, label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near6 JOIN kept USING (vec_id) GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM book6) AS codebooks_sha256
+FROM told
+"""
+
+ORACLES["op13_orchard_clusters"] = f"""
+WITH {_rounds(3, 64, 64, "sha256('1:' || CAST(vec_id AS VARCHAR))")},
+digests AS (SELECT e, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM book3 GROUP BY e)
+SELECT vec_id, CAST(e AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY e) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near3 JOIN digests USING (e)
+"""

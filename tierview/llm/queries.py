@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierview.llm import digests, leaks, minhash, pieces, quality, secrets, shards, suffixes, tokens, urls
+from tierview.llm import arrowfiles, clusters, codes, digests, leaks, minhash, pieces, quality, secrets, shards, suffixes, tokens, urls, vectors
+from tierview.llm.session import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,3 +136,47 @@ def op10_decontaminate(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = leaks.overlaps(docs, "doc_id", "text", items, "item_id", "text")
     return found.withColumn("similarity", F.col("n_equal") / F.col("n_words"))
+
+
+#: Components of the vectors of ``embeddings``.
+VECTOR_DIMS = 64
+
+#: Labels up to which their sums are sent to every executor; more are joined by a shuffle.
+SENT_LABELS = 100_000
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    books = codes.fit(rows, "vec_id", "embedding", VECTOR_DIMS, parts=8, entries=16, rounds=6, scale=4096)
+    if books is None:
+        return spark.createDataFrame([], "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string")
+    coded = written(codes.encode(rows, "vec_id", "embedding", books, keep="label"))
+    by_label = written(coded.groupBy(F.col("label").alias("of")).agg(vectors.total("error").alias("label_error")))
+    by_label = F.broadcast(by_label) if by_label.count() <= SENT_LABELS else by_label
+    told = coded.join(by_label, F.col("label").eqNullSafe(F.col("of")))
+    return told.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+@query
+def op12_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    files = arrowfiles.write_files(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return arrowfiles.read_checksums(files, "doc_id", docs.schema["doc_id"].dataType.simpleString())
+
+
+@query
+def op13_orchard_clusters(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    found = clusters.fit(rows, "vec_id", "embedding", VECTOR_DIMS, count=16, rounds=3, scale=64)
+    if found is None:
+        kinds = "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string"
+        return spark.createDataFrame([], kinds)
+    placed = written(clusters.assign(rows, "vec_id", "embedding", found))
+    sums = {r.cluster: r.all for r in placed.groupBy("cluster").agg(vectors.total("distance").alias("all")).collect()}
+    digests_of = found.digests()
+    # A row for each centroid, of which there are ``count`` at most.
+    about = spark.createDataFrame([(c, n, digests_of[c]) for c, n in sums.items()], "cluster int, cluster_inertia bigint, centroid_sha256 string")
+    told = placed.join(F.broadcast(about), "cluster")
+    inertia = F.lit(min(sum(sums.values()), vectors.MOST)).cast("bigint").alias("inertia")
+    return told.select("vec_id", "cluster", "distance", "cluster_inertia", inertia, "centroid_sha256")
