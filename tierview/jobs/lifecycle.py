@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tierview.functions import sqltext
 from tierview.functions.boundaries import Boundary, parse_boundary
 from tierview.jobs.results import Results, StepError, step
-from tierview.operators.boundary import PartitionError, many_boundaries, misplaced_rows
+from tierview.operators.boundary import PartitionError, many_boundaries, misplaced_rows, parsed
 from tierview.operators.unify import read_range, unified_sql, unify
 from tierview.plans import lifecycle as plans
 from tierview.plans.mapping import MappingPlan, reconcile
-from tierview.plans.spec import TableSpec, TierConfig, TierPair
-from tierview.sources import catalog, tables, views
+from tierview.plans.spec import PartitionRule, TableSpec, TierConfig, TierPair
+from tierview.sources import catalog, files, ledger, tables, views
 
 # Stands for a table's name in the result of a step that concerns the whole pair.
 ALL_TABLES = "(all)"
@@ -72,7 +72,7 @@ def run_init(spark: SparkSession, config: TierConfig) -> DataFrame:
                     current = table if row.action == plans.RENAME_AND_CREATE else row.suffixed_table
                     with step("mapping"):
                         work.append((table, current, _mapping(spark, pair, table, current, spec)))
-        lows = _boundaries(spark, pair, work, results, "init")
+        lows = _boundaries(spark, config, pair, work, results, "init")
         mapped = {table: plan for table, _, plan in work}
         for row in todo:
             table = row.base_table
@@ -105,39 +105,66 @@ def _recorded(results: Results, pair: TierPair, table: str | None, what: str) ->
         raise results.stop(f"{what} failed: {sqltext.error_text(error)}") from error
 
 
-def _frames(spark: SparkSession, pair: TierPair, table: str, current: str, plan: MappingPlan) -> dict[str, tuple]:
-    """The tiers of a table that have a partition rule, with the column and the rule to prove."""
-    spec, rules = plan.spec, {}
-    if spec.hot_partition is not None:
-        hot = spark.table(sqltext.table_ref(pair.hot_db, current))
-        rules[f"{pair.hot_db}.{current}"] = (hot, spec.time_column, spec.hot_partition)
-    if spec.cold_partition is not None:
-        cold = spark.table(sqltext.table_ref(pair.cold_db, table))
-        rules[f"{pair.cold_db}.{table}"] = (cold, plan.time_rule.cold_column, spec.cold_partition)
+def _ruled(spark: SparkSession, pair: TierPair, work: list[tuple[str, str, MappingPlan]]) -> dict[str, tuple]:
+    """The tiers of these tables that have a partition rule: frame, column and the rule to prove, by name."""
+    rules = {}
+    for table, current, plan in work:
+        spec = plan.spec
+        if spec.hot_partition is not None:
+            hot = spark.table(sqltext.table_ref(pair.hot_db, current))
+            rules[f"{pair.hot_db}.{current}"] = (hot, spec.time_column, spec.hot_partition)
+        if spec.cold_partition is not None:
+            cold = spark.table(sqltext.table_ref(pair.cold_db, table))
+            rules[f"{pair.cold_db}.{table}"] = (cold, plan.time_rule.cold_column, spec.cold_partition)
     return rules
 
 
-def _prove(spark: SparkSession, pair: TierPair, work: list[tuple[str, str, MappingPlan]]) -> None:
+def _seen(
+    spark: SparkSession, config: TierConfig, tables: dict[str, tuple[str, PartitionRule | None]]
+) -> dict[str, ledger.Seen]:
+    """What the ledger says of those tables that are made of files, given time column and rule; new files are read."""
+    if config.ledger is None:
+        return {}
+    frames = {name: files.table_of_files(spark, name, time) for name, (time, _) in tables.items()}
+    watched = {n: ledger.Watched(df, *tables[n]) for n, df in frames.items() if df is not None}
+    return ledger.observe(spark, config.ledger, watched)
+
+
+def _prove(
+    spark: SparkSession, pair: TierPair, work: list[tuple[str, str, MappingPlan]], seen: dict[str, ledger.Seen]
+) -> None:
     """Every rule of these tables on every row, since a row that breaks one would vanish from the view.
 
-    Two columns of a tier are read for it, and nothing where no rule is declared.
+    Of tables that ``seen`` tells of nothing is read. Of any other two columns of a tier are, and nothing where no rule
+    is declared.
     """
-    rules = {}
-    for table, current, plan in work:
-        rules |= _frames(spark, pair, table, current, plan)
-    broken = {name: n for name, n in misplaced_rows(rules).items() if n} if rules else {}
+    rules = _ruled(spark, pair, work)
+    found = {name: seen[name].misplaced for name in rules if name in seen}
+    rest = {name: given for name, given in rules.items() if name not in seen}
+    found |= misplaced_rows(rest) if rest else {}
+    broken = {name: n for name, n in sorted(found.items()) if n}
     if broken:
         raise PartitionError(f"rows are not where the partition rule says: {broken}")
 
 
 def _boundaries(
-    spark: SparkSession, pair: TierPair, work: list[tuple[str, str, MappingPlan]], results: Results, job: str
+    spark: SparkSession,
+    config: TierConfig,
+    pair: TierPair,
+    work: list[tuple[str, str, MappingPlan]],
+    results: Results,
+    job: str,
 ) -> dict[str, Boundary]:
     """The smallest hot time of each table, given its current name and mapping; its rules are proved."""
 
     def found(some: list[tuple[str, str, MappingPlan]]) -> dict[str, Boundary]:
-        lows = many_boundaries(spark, {f"{pair.hot_db}.{current}": plan.spec for _, current, plan in some})
-        _prove(spark, pair, some)
+        specs = {f"{pair.hot_db}.{current}": plan.spec for _, current, plan in some}
+        wanted = {name: (spec.time_column, spec.hot_partition) for name, spec in specs.items()}
+        wanted |= {name: (time, rule) for name, (_, time, rule) in _ruled(spark, pair, some).items()}
+        seen = _seen(spark, config, wanted)
+        lows = {n: parsed(seen[n].low, spec) for n, spec in specs.items() if n in seen}
+        lows |= many_boundaries(spark, {n: spec for n, spec in specs.items() if n not in seen})
+        _prove(spark, pair, some, seen)
         return {table: lows[f"{pair.hot_db}.{current}"] for table, current, _ in some}
 
     try:
@@ -163,7 +190,8 @@ def update(
 ) -> DataFrame:
     """Cut one view at the given boundary and rebuild its columns.
 
-    No data is read, but for the two columns of each tier with a partition rule, which is proved first.
+    No data is read, but for the two columns of each tier with a partition rule, which is proved first; with a ledger,
+    of its new files only.
     """
     return update_many(spark, config, pair_name, [(table, boundary)])
 
@@ -185,7 +213,9 @@ def update_many(
         wanted = value if isinstance(value, Boundary) and value.kind == kind else None
         boundary = wanted or parse_boundary(value.text if isinstance(value, Boundary) else value, kind)
         work.append((table, boundary, _checked(spark, config, pair, table)))
-    _prove(spark, pair, [(table, f"{table}{pair.suffix}", plan) for table, _, plan in work])
+    proved = [(table, f"{table}{pair.suffix}", plan) for table, _, plan in work]
+    ruled = _ruled(spark, pair, proved)
+    _prove(spark, pair, proved, _seen(spark, config, {name: (time, rule) for name, (_, time, rule) in ruled.items()}))
     for table, boundary, plan in work:
         _, hot, cold = _names(pair, table)
         # Analysis only: types the catalog would refuse are found here.
@@ -213,7 +243,8 @@ def refresh_all(spark: SparkSession, config: TierConfig) -> DataFrame:
     """Cut every unified view of every pair at the smallest time its hot table has now.
 
     One pass; whatever schedules it must not let two passes overlap. Views that this library did not
-    create and ignored tables are left alone.
+    create and ignored tables are left alone. With a ledger, tables whose files are the ones of the last pass
+    are not read.
     """
     results = Results()
     for pair in config.pairs:
@@ -223,7 +254,7 @@ def refresh_all(spark: SparkSession, config: TierConfig) -> DataFrame:
         for table in found:
             with _recorded(results, pair, table, f"refresh of {pair.name}.{table}"), step("mapping"):
                 work.append((table, f"{table}{pair.suffix}", _checked(spark, config, pair, table)))
-        lows = _boundaries(spark, pair, work, results, "refresh")
+        lows = _boundaries(spark, config, pair, work, results, "refresh")
         for table, _, plan in work:
             _alter(spark, pair, table, lows[table], plan, results)
     return results.frame(spark)
@@ -295,7 +326,8 @@ def unified_range(
     """Rows of the unified table with ``start <= time < end``, reading only the tiers concerned.
 
     Limits are boundaries or what :func:`parse_boundary` reads. Partitions are pruned by the rules that the
-    view's text has, which were proved when it was written; a rule declared since is not relied on.
+    view's text has, which were proved when it was written; a rule declared since is not relied on. With a ledger,
+    files are left out whose entries say that they hold no row of the range; a file without an entry is read.
     """
     pair = config.pair(pair_name)
     view, hot, cold = _names(pair, table)
@@ -307,5 +339,22 @@ def unified_range(
         cold_partition=plan.spec.cold_partition if plan.cold_time_filter("<", boundary) in text else None,
     )
     limits = [v if v is None or isinstance(v, Boundary) else parse_boundary(v, plan.spec.time_type) for v in (start, end)]
-    frames = (spark.table(sqltext.table_ref(t)) for t in (hot, cold))
+    plain = replace(plan, spec=replace(plan.spec, hot_partition=None, cold_partition=None))
+    frames = (
+        _narrowed(spark, config, hot, plain.spec.time_column, plain.hot_time_filter, limits[0] or boundary, limits[1]),
+        _narrowed(spark, config, cold, plain.time_rule.cold_column, plain.cold_time_filter, limits[0], limits[1] or boundary),
+    )
     return read_range(*frames, replace(plan, spec=trusted), boundary, *limits)
+
+
+def _narrowed(spark, config, table: str, column: str, time_filter, start: Boundary | None, end: Boundary | None) -> DataFrame:
+    """A tier without the files that the ledger says hold nothing of the range."""
+    df = files.table_of_files(spark, table, column) if config.ledger else None
+    if df is None or not spark.catalog.tableExists(sqltext.table_ref(config.ledger)):
+        return spark.table(sqltext.table_ref(table))
+    bounds = [("high", time_filter(">=", start))] if start else []
+    bounds += [("low", time_filter("<", end))] if end else []
+    known = ledger.entries(spark, config.ledger, [table]).where("n_rows IS NOT NULL")
+    # What was measured for another rule tells the times as well.
+    watched = ledger.Watched(df, column)
+    return ledger.narrowed(watched, ledger.retold(known, watched), *bounds)

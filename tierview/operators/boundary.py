@@ -34,15 +34,15 @@ def boundary_frame(hot: DataFrame, spec: TableSpec, name: str = "boundary") -> D
 
 
 def global_boundary(hot: DataFrame, spec: TableSpec) -> Boundary:
-    return _parsed(hot.agg(_lowest(spec).cast("string")).first()[0], spec)
+    return parsed(hot.agg(_lowest(spec).cast("string")).first()[0], spec)
 
 
 def _lowest(spec: TableSpec) -> Column:
     return F.min(sqltext.column(spec.time_column))
 
 
-def _parsed(low: str | None, spec: TableSpec) -> Boundary:
-    # Fetched as text: as a Python value, a zoned timestamp would arrive in the driver's own time zone.
+def parsed(low: str | None, spec: TableSpec) -> Boundary:
+    """The boundary of a smallest time, told as text: as a value, a zoned one would arrive in the driver's own zone."""
     return sentinel(spec.time_type) if low is None else parse_boundary(low, spec.time_type)
 
 
@@ -143,7 +143,7 @@ def _searched(reads: dict[str, list[DataFrame]], specs: dict[str, TableSpec], pe
                 if row.misplaced:
                     raise PartitionError(f"{row.tbl}: {row.misplaced} rows read are not where the partition rule says")
                 if row.boundary is not None:
-                    found[row.tbl] = _parsed(row.boundary, specs[row.tbl])
+                    found[row.tbl] = parsed(row.boundary, specs[row.tbl])
                     del left[row.tbl]
         # Rows of the NULL partition have, by the rule, no time: a table read to its end has none.
         left = {name: frames for name, frames in left.items() if frames}

@@ -92,6 +92,8 @@ class TierConfig:
     pairs: tuple[TierPair, ...]
     tables: Mapping[str, TableSpec] = field(default_factory=dict)
     ignore: frozenset[str] = frozenset()
+    # Table in which jobs remember what they have seen of each file (``db.name``); without one they read all files.
+    ledger: str | None = None
 
     def pair(self, name: str) -> TierPair:
         for pair in self.pairs:
