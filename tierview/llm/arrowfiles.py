@@ -2,8 +2,8 @@
 
 All documents, in order of their key, are one line of ids, dealt to files by ranges of the key. A file is in Arrow's
 file format (its stream format with a footer that says where each batch is). Its rows are sequences of ``length`` ids
-in a fixed-size list, a mask of the same length that is 1 where an id stands (only a file's last sequence is filled up
-with zeros), and the documents that begin in the sequence, each with its key and place. All batches but the last have
+in a fixed-size list, a mask of the same length (a bit each) that is set where an id stands (only a file's last sequence is
+filled up), and the documents that begin in the sequence, each with its key and place. All batches but the last have
 ``BATCH_SEQUENCES`` rows, so the n-th sequence is found by a division, and in a memory map it is read where it lies.
 
 A task names its file by its attempt, and the list of files that Spark commits is what counts: a file of an attempt
@@ -143,7 +143,7 @@ def file_schema(key: pa.DataType, ids: type, length: int) -> pa.Schema:
     return pa.schema(
         [
             pa.field("ids", pa.list_(pa.from_numpy_dtype(ids), length), nullable=False),
-            pa.field("mask", pa.list_(pa.uint8(), length), nullable=False),
+            pa.field("mask", pa.list_(pa.bool_(), length), nullable=False),
             pa.field("documents", pa.list_(document), nullable=False),
         ]
     )
@@ -178,9 +178,9 @@ class _Writer:
         end = self.done + sequences * self.length
         now = int(np.searchsorted(places, end))
         ids = np.zeros(sequences * self.length, line.dtype)
-        mask = np.zeros(sequences * self.length, np.uint8)
         own = line[: len(ids)]
-        ids[: len(own)], mask[: len(own)] = own, 1
+        ids[: len(own)] = own
+        mask = np.arange(len(ids)) < len(own)
         offsets = np.searchsorted(places[:now], self.done + np.arange(sequences + 1) * self.length)
         at = pa.array((places[:now] - self.done) % self.length, pa.int32())
         kind = self.schema.field("documents").type.value_type
@@ -202,8 +202,8 @@ class _Writer:
 class TokenFile:
     """A file of sequences, read where it lies: opening it and taking a sequence copies no ids.
 
-    ``file[n]`` is the n-th sequence and its mask, as views of the memory map (of a store that has none, of the one
-    batch that is read).
+    ``file[n]`` is the n-th sequence, in numpy, and its mask, an Arrow array of bits, as views of the memory map (of a
+    store that has none, of the one batch that is read).
     """
 
     def __init__(self, path: str):
@@ -218,17 +218,17 @@ class TokenFile:
     def __len__(self) -> int:
         return self.sequences
 
-    def batch(self, n: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Of the n-th batch, the ids and the mask, a row for each sequence, and the documents that begin in each."""
+    def batch(self, n: int) -> tuple[np.ndarray, pa.BooleanArray, pa.Array]:
+        """Of the n-th batch, the ids, a row for each sequence, the mask of all of them, and the documents that begin in each."""
         told = self.reader.get_batch(n)
-        flat = (told.column(c).flatten().to_numpy().reshape(-1, self.length) for c in ("ids", "mask"))
-        return (*flat, told.column("documents"))
+        ids = told.column("ids").flatten().to_numpy().reshape(-1, self.length)
+        return ids, told.column("mask").flatten(), told.column("documents")
 
-    def __getitem__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, n: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if not 0 <= n < self.sequences:
             raise IndexError(n)
         ids, mask, _ = self.batch(n // BATCH_SEQUENCES)
-        return ids[n % BATCH_SEQUENCES], mask[n % BATCH_SEQUENCES]
+        return ids[n % BATCH_SEQUENCES], mask.slice(n % BATCH_SEQUENCES * self.length, self.length)
 
     def documents(self) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
         """All documents in order, in blocks: keys, first ids' places in the file, and their ids in one array, which
@@ -238,7 +238,7 @@ class TokenFile:
             ids, mask, documents = self.batch(n)
             line = ids.reshape(-1)
             if n == self.batches - 1:
-                line = line[: int(mask.sum())]
+                line = line[: mask.true_count]
             flat, counts = documents.flatten(), np.diff(documents.offsets.to_numpy())
             base = n * BATCH_SEQUENCES * self.length
             own = base + np.repeat(np.arange(len(ids)), counts) * self.length + flat.field("at").to_numpy()
