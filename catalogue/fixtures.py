@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -208,3 +210,23 @@ def customer_objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def encoded(df: DataFrame, name: str) -> DataFrame:
     """An array column as the text a cold tier would hold."""
     return df.withColumn(name, F.expr(codec.joined_sql(name, DELIMITER)))
+
+
+def orders_apart(spark: SparkSession, sf_dir: str) -> Tiers:
+    """Tiers that overlap for five months and do not agree there: changed, missing and doubled rows on either side."""
+    tiers = orders(spark, sf_dir)
+    key = F.col("o_orderkey")
+    price = F.when(key % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    cold = tiers.cold.where(key % 89 != 1).withColumn("o_totalprice", price)
+    hot = tiers.hot.where(key % 101 != 2)
+    return replace(tiers, hot=hot.union(hot.where(key % 83 == 3)), cold=cold.union(cold.where(key % 79 == 4)))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: in ``spark.checkpoint.dir``, or on this machine where all of Spark runs on it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp()
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"

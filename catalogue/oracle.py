@@ -188,6 +188,15 @@ _AUDIT = """
     FROM {source}
 """
 
+_APART = (
+    "SELECT * EXCLUDE (h, c), sum(h) AS hot, sum(c) AS cold FROM ("
+    f"SELECT *, 1 + CAST(o_orderkey % 83 = 3 AS INTEGER) AS h, 0 AS c FROM {ORDERS_HOT} "
+    "WHERE o_orderkey % 101 <> 2 AND o_orderdate < TIMESTAMP '1999-06-01 00:00:00' UNION ALL "
+    "SELECT * REPLACE (CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice), 0, "
+    f"1 + CAST(o_orderkey % 79 = 4 AS INTEGER) FROM {ORDERS_COLD} "
+    "WHERE o_orderkey % 89 <> 1 AND o_orderdate >= TIMESTAMP '1999-01-01 00:00:00') GROUP BY ALL"
+)
+
 ORACLES: dict[str, str] = {
     "q_unified_orders": _unified(ORDERS_COLD, ORDERS_HOT, "o_orderdate", ORDERS_B),
     "q_unified_events": _unified(EVENTS_COLD, EVENTS_HOT, '"recordTimestamp"', EVENTS_B),
@@ -272,6 +281,25 @@ ORACLES: dict[str, str] = {
         f"UNION ALL SELECT 'events', CAST(min(\"recordTimestamp\") AS VARCHAR) FROM {EVENTS_HOT} "
         f"UNION ALL SELECT 'lineitem', CAST(min(d) AS VARCHAR) FROM {LINEITEM_HOT}"
     ),
+    "q_refresh_incremental": (
+        f"WITH lots AS (SELECT d, CASE WHEN l_orderkey % 3 <> 0 AND d >= DATE '2000-03-01' THEN 0 ELSE 1 END AS lot FROM {LINEITEM_HOT}), "
+        "passes AS (SELECT unnest([0, 1, 2]) AS p) "
+        'SELECT CAST(p AS INTEGER) AS "pass", count(*) FILTER (lot = p) AS new_rows, count(*) FILTER (lot <= p) AS n_rows, '
+        "count(d) FILTER (lot <= p) AS timed, CAST(0 AS BIGINT) AS misplaced, CAST(min(d) FILTER (lot <= p) AS VARCHAR) AS boundary "
+        "FROM lots, passes GROUP BY p"
+    ),
+    "q_range_by_index": (
+        "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-03-05 00:00:00' AND o_orderdate < TIMESTAMP '1998-03-19 00:00:00'"
+    ),
+    "q_tier_agreement": (
+        f"SELECT (epoch(o_orderdate)::BIGINT // 604800) * 604800 AS bucket, CAST(sum(hot) AS BIGINT) AS n_hot, CAST(sum(cold) AS BIGINT) AS n_cold, "
+        f"bool_and(hot = cold) AS agrees FROM ({_APART}) GROUP BY 1"
+    ),
+    "q_tier_differences": f"SELECT * EXCLUDE (hot, cold), CAST(hot AS BIGINT) AS n_hot, CAST(cold AS BIGINT) AS n_cold FROM ({_APART}) WHERE hot <> cold",
+    "q_tier_agreement_events": (
+        "SELECT (\"recordTimestamp\" // 86400) * 86400 AS bucket, count(*) AS n_hot, count(*) AS n_cold, true AS agrees "
+        f"FROM {EVENTS_HOT} WHERE \"recordTimestamp\" < 1706140800 GROUP BY 1"
+    ),
     "q_hot_only_default": f"SELECT event_id, status FROM {DRIFTED_COLD}",
     "q_hot_only_null": f"SELECT event_id, tags FROM {DRIFTED_COLD}",
     "q_cold_only_dropped": f"SELECT * FROM {DRIFTED_COLD}",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,10 @@ from pyspark.sql import types as T
 from catalogue import fixtures as fx
 from tierview.functions import addresses, boundaries, codec
 from tierview.functions.boundaries import parse_boundary, sentinel
-from tierview.operators import audit, boundary, unify
+from tierview.operators import agreement, audit, boundary, unify
 from tierview.plans import lifecycle
 from tierview.plans.spec import PartitionRule, TableSpec, time_specs
-from tierview.sources import aliases, catalog, tables, views
+from tierview.sources import aliases, catalog, ledger, tables, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -268,6 +269,50 @@ def refresh_boundaries(spark, sf_dir):
     return boundary.boundaries_frame({name: (t.hot, t.spec) for name, t in tiers.items()})
 
 
+@query
+def refresh_incremental(spark, sf_dir):
+    """Three passes over the hot line items, which come in two lots: what each pass read and what it then knew."""
+    whole, path = fx.lineitem_by_month(spark, sf_dir), fx.scratch(spark)
+    entries, told = [], []
+    for n, lot in enumerate(("l_orderkey % 3 <> 0 AND d >= DATE '2000-03-01'", "l_orderkey % 3 = 0 OR d < DATE '2000-03-01'", None)):
+        if lot:
+            whole.where(lot).repartition(fx.MONTH.column).write.mode("append").partitionBy(fx.MONTH.column).parquet(f"{path}/hot")
+        # The partition column is text: read as numbers, it would not be what the rule says.
+        df = spark.read.schema(whole.schema).parquet(f"{path}/hot")
+        watched = ledger.Watched(df, "d", fx.MONTH)
+        now = ledger.listings({"hot": watched})
+        known = reduce(DataFrame.union, entries) if entries else None
+        new = ledger.unseen(now, known) if entries else now
+        proved = ledger.from_footers(watched, new, new.count())
+        proved.write.parquet(f"{path}/footers{n}")
+        entries.append(spark.read.parquet(f"{path}/footers{n}"))
+        rest = ledger.unseen(new, entries[-1])
+        names = [r.file for r in rest.select("file").collect()]
+        ledger.from_scan(watched, rest, names).select(*proved.columns).write.parquet(f"{path}/scanned{n}")
+        entries.append(spark.read.parquet(f"{path}/scanned{n}"))
+        read = entries[-2].union(entries[-1]).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("new_rows"))
+        state = ledger.summed(now, reduce(DataFrame.union, entries)).select("n_rows", "timed", "misplaced", F.col("day").alias("boundary"))
+        told += [df.withColumn("pass", F.lit(n)) for df in (read, state)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), told)
+    return both.groupBy("pass").agg(*(F.max(c).alias(c) for c in ("new_rows", "n_rows", "timed", "misplaced", "boundary")))
+
+
+@query
+def range_by_index(spark, sf_dir):
+    """Two weeks of the orders, from the files whose times can hold them; a lot that no entry tells of is read."""
+    df, path = fx.table(spark, sf_dir, "orders"), fx.scratch(spark)
+    by_time = df.repartitionByRange(16, "o_orderdate")
+    by_time.where("o_orderkey % 5 <> 0").write.parquet(f"{path}/orders")
+    watched = ledger.Watched(spark.read.parquet(f"{path}/orders"), "o_orderdate")
+    now = ledger.listings({"orders": watched})
+    ledger.from_footers(watched, now, 16).write.parquet(f"{path}/entries")
+    known = spark.read.parquet(f"{path}/entries")
+    by_time.where("o_orderkey % 5 = 0").write.mode("append").parquet(f"{path}/orders")
+    later = ledger.Watched(spark.read.parquet(f"{path}/orders"), "o_orderdate")
+    start, end = ("o_orderdate >= TIMESTAMP_NTZ '1998-03-05 00:00:00'", "o_orderdate < TIMESTAMP_NTZ '1998-03-19 00:00:00'")
+    return ledger.narrowed(later, known, ("high", start), ("low", end)).where(start).where(end)
+
+
 # Reconciled schemas ------------------------------------------------------------------------------
 
 
@@ -501,6 +546,32 @@ def tier_audit(spark, sf_dir):
     return audit.tier_audit(tiers.hot, tiers.cold, tiers.plan, cut, moved)
 
 
+def _apart(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    tiers = fx.orders_apart(spark, sf_dir)
+    limits = [parse_boundary(t, "datetime") for t in ("1999-01-01 00:00:00", "1999-06-01 00:00:00")]
+    return agreement.overlap(tiers.hot, tiers.cold, tiers.plan, *limits)
+
+
+@query
+def tier_agreement(spark, sf_dir):
+    return agreement.agreement(*_apart(spark, sf_dir), "o_orderdate", 7 * 86_400)
+
+
+@query
+def tier_differences(spark, sf_dir):
+    return agreement.differences(*_apart(spark, sf_dir), "o_orderdate", 7 * 86_400)
+
+
+@query
+def tier_agreement_events(spark, sf_dir):
+    """Tiers that agree: the cold values are text, and come out as what the hot ones are."""
+    tiers = fx.events_drifted(spark, sf_dir)
+    limits = [parse_boundary(t, "bigint") for t in (1705708800, 1706140800)]
+    names = ["event_id", "recordTimestamp", "user_id", "event_type", "value", "props", "src_ip_int"]
+    hot, cold = (df.select(*names) for df in agreement.overlap(tiers.hot, tiers.cold, tiers.plan, *limits))
+    return agreement.agreement(hot, cold, "recordTimestamp", agreement.WIDTHS["bigint"])
+
+
 @query
 def column_catalog(spark, sf_dir):
     tiers = fx.events_without_some_times(spark, sf_dir)

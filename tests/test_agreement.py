@@ -1,0 +1,71 @@
+"""Digests of tiers against counting their rows, with what may go wrong in either."""
+
+from __future__ import annotations
+
+import datetime as dt
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tierview.operators import agreement
+
+SCHEMA = "t bigint, x double, s string, a array<int>"
+ROWS = st.lists(st.tuples(st.integers(-30, 30), st.sampled_from([0.0, -0.0, float("nan"), 1.5, None]), st.sampled_from(["", "a", None]), st.sampled_from([None, [], [1, None]])), max_size=25)
+
+
+def told(rows):
+    """Rows as the tiers compare them: NaN is itself, and zero has no sign."""
+    plain = lambda x: "nan" if x != x else 0.0 if x == 0 else x
+    return Counter((t, plain(x), s, None if a is None else tuple(a)) for t, x, s, a in rows)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(hot=ROWS, cold=ROWS, width=st.sampled_from([1, 7, 1000]), same=st.booleans())
+def test_digests_say_what_counting_says(spark, hot, cold, width, same):
+    cold = hot[::-1] if same else cold
+    frames = [spark.createDataFrame(rows, SCHEMA).repartition(3) for rows in (hot, cold)]
+    ours, theirs = told(hot), told(cold)
+    buckets = {}
+    for row in ours.keys() | theirs.keys():
+        at = buckets.setdefault(row[0] // width * width, [0, 0, True])
+        at[0], at[1], at[2] = at[0] + ours[row], at[1] + theirs[row], at[2] and ours[row] == theirs[row]
+    got = agreement.agreement(*frames, "t", width).collect()
+    assert {r.bucket: [r.n_hot, r.n_cold, r.agrees] for r in got} == buckets
+    apart = agreement.differences(*frames, "t", width, shares=3).collect()
+    want = Counter({row: (ours[row], theirs[row]) for row in ours.keys() | theirs.keys() if ours[row] != theirs[row]})
+    assert {next(iter(told([(r.t, r.x, r.s, r.a)]))): (r.n_hot, r.n_cold) for r in apart} == dict(want)
+
+
+@pytest.mark.parametrize(
+    ("kind", "values", "width", "want"),
+    [
+        (T.DateType(), [dt.date(1969, 12, 31), dt.date(1970, 1, 1), dt.date(1970, 1, 8)], 7, [-1, 0, 1]),
+        (T.TimestampNTZType(), [dt.datetime(1969, 12, 31, 23, 59, 59, 999999), dt.datetime(1970, 1, 1), dt.datetime(1970, 1, 2, 0, 0, 0, 1)], 86_400, [-1, 0, 1]),
+        (T.LongType(), [-(2**63), -1, 2**63 - 1], 10, [-922337203685477581, -1, 922337203685477580]),
+    ],
+)
+def test_buckets_below_1970_and_at_the_ends(spark, kind, values, width, want):
+    df = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("t", kind)]))
+    assert [r[0] for r in df.select(agreement.bucket(F.col("t"), kind, width)).collect()] == want
+
+
+def test_agreeing_tiers_move_buckets_only(spark):
+    hot = spark.range(100_000).selectExpr("id AS t", "id % 7 AS x")
+    df = agreement.agreement(hot, hot.orderBy(F.desc("t")), "t", 10_000)
+    assert df.where("NOT agrees").isEmpty() and df.count() == 10
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # What goes into the exchange of buckets are partial sums.
+    assert "partial_sum" in plan and "__row" not in plan
+
+
+def test_a_hot_bucket_is_spread_and_copies_are_counted_first(spark):
+    hot = spark.range(50_000).selectExpr("if(id < 0, 4, 5) AS t", "id % 1000 AS x")
+    cold = hot.where("x <> 7").union(spark.range(1).selectExpr("if(id < 0, 4, 5) AS t", "id + 5000 AS x"))
+    got = agreement.differences(hot, cold, "t", 10).collect()
+    assert sorted((r.x, r.n_hot, r.n_cold) for r in got) == [(7, 50, 0), (5000, 0, 1)]
+    plan = agreement.differences(hot, cold, "t", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
