@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from tierview.llm import queries, secrets
+from tierview.llm.session import written
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -74,3 +77,65 @@ def test_query_agrees_with_python(spark, sf_dir):
     assert got == want
     plan = queries.QUERIES["op4_secret_scan"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_matches_kept_are_those_of_the_whole_patterns():
+    """What ``kept`` patterns find is what the base patterns keep, on texts made of their characters."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choices(["AKIA", "A", "K", "Z9", "0", "f", "g", "deadbeef", "0123456789abcdef", " ", "é"], k=rng.randrange(25)))
+        for rule in secrets.RULES[1:]:
+            want = [m.span() for m in re.finditer(rule.pattern, text) if len(m[0]) >= rule.least]
+            assert [m.span() for m in re.finditer(rule.kept, text)] == want
+
+
+def test_masks_of_all_kinds_of_spans(spark):
+    rng, rows = random.Random(6), []
+    for n in range(200):
+        text = "".join(rng.choices("ab🙂é﻿\x00", k=rng.randrange(20)))
+        spans = sorted((a, 0, "k", b) for a, b in (sorted(rng.sample(range(len(text) + 1), 2)) for _ in range(rng.randrange(6))) if len(text) > 1) if len(text) > 1 else []
+        want, at = "", 0
+        for start, _, _, end in spans:
+            if start >= at:
+                want += text[at:start] + "<secret>"
+            at = max(at, end)
+        rows.append((n, text, spans, want + text[at:]))
+    df = spark.createDataFrame(rows, f"n int, text string, spans array<{secrets.SPAN}>, want string")
+    got = df.select("n", "want", secrets.masked(F.col("text"), F.col("spans")).alias("got")).collect()
+    assert [r.n for r in got if r.got != r.want] == []
+
+
+def test_many_findings_in_one_text_cost_in_proportion(spark):
+    """Twice the findings take about twice the time, to find and to mask them, up to 200,000 in one text."""
+    took = []
+    for n in (1000, 100_000, 200_000):  # the first is a warm-up
+        text = "".join(f"{i:016x} " for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, "none")], "doc_id int, text string")
+        began = time.time()
+        found, _ = secrets.scan(df, "doc_id", "text")
+        first, last = found.where("doc_id = 1").select(F.size("spans"), F.element_at("spans", -1)["end"]).first()
+        assert (first, last) == (n, len(text) - 1)
+        clean = secrets.cleaned(df, "text").where("doc_id = 1").select("text").first()[0]
+        assert clean == "<secret> " * n
+        took.append(time.time() - began)
+    assert took[2] < 4 * took[1] and took[2] < 60
+
+
+def test_a_second_scan_takes_all_from_the_ledger(spark, sf_dir):
+    """The ledger that the query writes has every pair, so the same documents are not scanned again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 200")
+    first, new = secrets.scan(docs, "doc_id", "text")
+    ledger = written(new)
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", secrets.address(F.col("text")))
+    assert secrets.unseen(rows, secrets.RULES, ledger).isEmpty()
+    again, none = secrets.scan(docs, "doc_id", "text", ledger=ledger)
+    assert none.isEmpty() and sorted(map(str, again.collect())) == sorted(map(str, first.collect()))
+
+
+def test_many_unseen_blobs_are_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(CASES)], "path long, text string")
+    want = sorted(map(str, secrets.scan(df, "path", "text")[0].collect()))
+    part = written(secrets.scan(df.where("path < 3"), "path", "text")[1])
+    monkeypatch.setattr(secrets, "SENT_BLOBS", 0)
+    found, new = secrets.scan(df, "path", "text", ledger=part)
+    assert sorted(map(str, found.collect())) == want and new.count() == 3 * (len(CASES) - 3)
