@@ -262,9 +262,8 @@ ORACLES: dict[str, str] = {
         f"AS boundary FROM {ORDERS_HOT}"
     ),
     "q_boundary_partition": f"SELECT min(d) AS boundary FROM {LINEITEM_HOT}",
-    "q_boundary_partition_numeric": (
-        f"SELECT min(d) AS boundary FROM {LINEITEM_HOT} WHERE d >= DATE '2000-09-01' AND d < DATE '2001-01-01'"
-    ),
+    "q_boundary_partition_numeric": f"SELECT min(d) AS boundary FROM {LINEITEM_HOT}",
+    "q_boundary_partition_pruned": f"SELECT min(d) AS boundary FROM {LINEITEM_HOT}",
     "q_rule_proof": (
         f"SELECT 'hot' AS tbl, count(d) AS timed, CAST(0 AS BIGINT) AS misplaced FROM {LINEITEM_HOT} UNION ALL "
         "SELECT 'cold', count(d), count(*) FILTER (strftime(d, '%Y%m') <> strftime(d + l_linenumber, '%Y%m')) "

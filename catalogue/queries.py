@@ -217,21 +217,27 @@ def boundary_all_null_hot(spark, sf_dir):
 @query
 def boundary_partition(spark, sf_dir):
     hot = fx.lineitem_by_month(spark, sf_dir)
-    return _pruned(spark, hot, TableSpec("d", "date", hot_partition=fx.MONTH))
+    return boundary.lowest_partition_frame(hot, TableSpec("d", "date", hot_partition=fx.MONTH))
 
 
 @query
 def boundary_partition_numeric(spark, sf_dir):
-    # Months as numbers: 9 comes before 10, as it does not by name.
-    rule = PartitionRule("m", "month({t})")
-    year = fx.lineitem(spark, sf_dir).hot.where("d >= DATE '2000-09-01' AND d < DATE '2001-01-01'")
-    return _pruned(spark, year.withColumn("m", F.expr(rule.of("d"))), TableSpec("d", "date", hot_partition=rule))
+    # Months counted from the end of 1999: 9 comes before 10, as it does not by name.
+    rule = PartitionRule("m", "year({t}) * 12 + month({t}) - 24000")
+    hot = fx.lineitem(spark, sf_dir).hot.withColumn("m", F.expr(rule.of("d")))
+    return boundary.lowest_partition_frame(hot, TableSpec("d", "date", hot_partition=rule))
 
 
-def _pruned(spark, hot: DataFrame, spec: TableSpec) -> DataFrame:
-    values = [r.partition for r in catalog.frame_partitions(hot, spec.hot_partition.column).collect()]
+@query
+def boundary_partition_pruned(spark, sf_dir):
+    """The same from a partitioned copy, of which the first month is read and no other."""
+    path, spec = fx.scratch(spark), TableSpec("d", "date", hot_partition=fx.MONTH)
+    whole = fx.lineitem_by_month(spark, sf_dir)
+    whole.repartition(fx.MONTH.column).write.partitionBy(fx.MONTH.column).parquet(path)
+    hot = spark.read.schema(whole.schema).parquet(path)
+    values = [r.partition for r in catalog.frame_partitions(hot, fx.MONTH.column).collect()]
     low = boundary.pruned_boundary(hot, spec, values)
-    return spark.range(1).select(F.expr(low.sql(hot.schema[spec.time_column].dataType)).alias("boundary"))
+    return spark.range(1).select(F.expr(low.sql(hot.schema["d"].dataType)).alias("boundary"))
 
 
 @query

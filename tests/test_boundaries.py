@@ -17,6 +17,8 @@ from tierview.functions.boundaries import (
     utc_epoch_seconds,
     validate_targets,
 )
+from tierview.operators import boundary
+from tierview.plans.spec import PartitionRule, TableSpec
 
 GOOD = [
     ("2025-11-12 00:00:00", "datetime", "2025-11-12 00:00:00"),
@@ -120,3 +122,20 @@ def test_fractions_of_any_length_count(spark):
     for text in ("2024-01-01 00:00:00." + "0" * 3_000 + "1", "2024-01-01 00:00:00.000000" + "0" * 2_000_000 + "1", "2024-01-01 00:00:00." + "0" * 99):
         row = validate_targets(spark.createDataFrame([("datetime", text)], "time_type string, boundary string")).first()
         assert row.normalized == parse_boundary(text, "datetime").text
+
+
+def test_the_lowest_partition_in_one_job(spark):
+    """Numeric partitions in their own order, partitions without a time, rows that break the rule, and no rows."""
+    rule = PartitionRule("m", "year({t}) * 12 + month({t}) - 24000")
+    spec = TableSpec("d", "date", hot_partition=rule)
+    days = spark.range(400).select(F.when(F.col("id") >= 40, F.expr("date_add(DATE '2000-08-03', cast(id as int))")).alias("d"), "id")
+    hot = days.withColumn("m", F.coalesce(F.expr(rule.of("d")), F.lit(1)))
+    assert boundary.lowest_partition_frame(hot, spec).first()[0] == dt.date(2000, 9, 12)
+    assert boundary.lowest_partition_frame(hot.where("id < 40"), spec).first()[0] == dt.date(9999, 12, 31)
+    assert boundary.lowest_partition_frame(hot.limit(0), spec).first()[0] == dt.date(9999, 12, 31)
+    wrong = hot.withColumn("m", F.when(F.col("id") == 100, 99).otherwise(F.col("m")))
+    with pytest.raises(Exception, match="1 rows are not where"):
+        boundary.lowest_partition_frame(wrong, spec).collect()
+    epochs = spark.range(10).selectExpr("CAST(id * 100 AS int) AS t", "id DIV 3 AS p")
+    told = boundary.lowest_partition_frame(epochs, TableSpec("t", "bigint", hot_partition=PartitionRule("p", "{t} DIV 300")))
+    assert told.first()[0] == 0 and told.dtypes == [("boundary", "bigint")]

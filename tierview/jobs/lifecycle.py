@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierview.functions import sqltext
 from tierview.functions.boundaries import Boundary, parse_boundary
-from tierview.jobs.results import Results, StepError, step
+from tierview.jobs import journal
+from tierview.jobs.results import JobError, Results, StepError, step
 from tierview.operators.boundary import PartitionError, many_boundaries, misplaced_rows, parsed
 from tierview.operators.unify import read_range, unified_sql, unify
 from tierview.plans import lifecycle as plans
@@ -199,10 +200,14 @@ def update(
 def update_many(
     spark: SparkSession, config: TierConfig, pair_name: str, targets: Sequence[tuple[str, str | int | Boundary]]
 ) -> DataFrame:
-    """:func:`update` for several views, in order. All targets are checked before any view changes."""
+    """:func:`update` for several views, in order. All targets are checked before any view changes.
+
+    With a journal a failure puts the views before it back, and a run that broke off is ended first.
+    """
     pair = config.pair(pair_name)
     if not targets:
         raise ValueError("no tables to update")
+    _recovered(spark, config)
     work = []
     for table, value in targets:
         if not table.strip():
@@ -221,11 +226,38 @@ def update_many(
         # Analysis only: types the catalog would refuse are found here.
         spark.sql(unified_sql(plan, boundary, hot, cold))
     results = Results()
-    for table, boundary, plan in work:
-        _alter(spark, pair, table, boundary, plan, results)
+    _alter_all(spark, config, [(pair, table, boundary, plan) for table, boundary, plan in work], results)
     return results.frame(spark)
 
 
+def _alter_all(
+    spark: SparkSession, config: TierConfig, work: list[tuple[TierPair, str, Boundary, MappingPlan]], results: Results
+) -> None:
+    """Re-point all views. With a journal all of them or, if one cannot be, none: what was changed is put back."""
+    if config.journal is None:
+        for one in work:
+            _alter(spark, *one, results)
+        return
+    changes = []
+    for pair, table, boundary, plan in work:
+        view, hot, cold = _names(pair, table)
+        changes.append(journal.Change(view, views.view_text(spark, view), unified_sql(plan, boundary, hot, cold)))
+    changing = [c for c in changes if c.old != c.new]
+    run = journal.plan(spark, config.journal, changing) if changing else None
+    done = Results()
+    try:
+        for one in work:
+            _alter(spark, *one, done)
+    except JobError as error:
+        results.rows += [(*r[:2], "restored", None, r[4]) if r[2] == "updated" else r for r in done.rows]
+        journal.undo(spark, changing)
+        journal.end(spark, config.journal, run, journal.UNDONE)
+        raise results.stop(f"{error}; the views before it were put back") from error
+    results.rows += done.rows
+    if run:
+        journal.end(spark, config.journal, run, journal.DONE)
+
+
 def _alter(
     spark: SparkSession, pair: TierPair, table: str, boundary: Boundary, plan: MappingPlan, results: Results
 ) -> None:
@@ -244,9 +276,11 @@ def refresh_all(spark: SparkSession, config: TierConfig) -> DataFrame:
 
     One pass; whatever schedules it must not let two passes overlap. Views that this library did not
     create and ignored tables are left alone. With a ledger, tables whose files are the ones of the last pass
-    are not read.
+    are not read. With a journal the views of all pairs change as one: a failure puts those before it back.
     """
     results = Results()
+    _recovered(spark, config)
+    work_of_all = []
     for pair in config.pairs:
         with _recorded(results, pair, None, f"refresh of {pair.name}"), step("precheck"):
             found = [v for v in catalog.managed_views(spark, pair.hot_db) if v not in config.ignore]
@@ -255,11 +289,21 @@ def refresh_all(spark: SparkSession, config: TierConfig) -> DataFrame:
             with _recorded(results, pair, table, f"refresh of {pair.name}.{table}"), step("mapping"):
                 work.append((table, f"{table}{pair.suffix}", _checked(spark, config, pair, table)))
         lows = _boundaries(spark, config, pair, work, results, "refresh")
-        for table, _, plan in work:
-            _alter(spark, pair, table, lows[table], plan, results)
+        some = [(pair, table, lows[table], plan) for table, _, plan in work]
+        if config.journal is None:
+            _alter_all(spark, config, some, results)
+        else:
+            work_of_all += some
+    _alter_all(spark, config, work_of_all, results)
     return results.frame(spark)
 
 
+def _recovered(spark: SparkSession, config: TierConfig) -> None:
+    """End a run over several views that broke off, before anything else is looked at."""
+    if config.journal is not None:
+        journal.recover(spark, config.journal)
+
+
 def run_rollback(spark: SparkSession, config: TierConfig, on_error: str = "stop") -> DataFrame:
     """Drop the views and rename the hot tables back, from whatever state they are in.
 

@@ -46,6 +46,29 @@ def parsed(low: str | None, spec: TableSpec) -> Boundary:
     return sentinel(spec.time_type) if low is None else parse_boundary(low, spec.time_type)
 
 
+def partition_lows(hot: DataFrame, spec: TableSpec) -> DataFrame:
+    """``partition, low, misplaced``: of each partition the smallest time, and the rows that the rule puts elsewhere."""
+    rule = spec.hot_partition
+    wrong = F.count_if(misplacement(spec.time_column, rule))
+    return hot.groupBy(sqltext.column(rule.column).alias("partition")).agg(_lowest(spec).alias("low"), wrong.alias("misplaced"))
+
+
+def lowest_partition_frame(hot: DataFrame, spec: TableSpec, name: str = "boundary") -> DataFrame:
+    """Like :func:`boundary_frame`, as the smallest time of the first partition that has one, in one job.
+
+    For a frame whose partitions no catalog lists. Two columns are read, and a row for each partition and task moved.
+    Rows that break the rule are an error. Where a catalog lists the partitions, :func:`many_boundaries` reads the first
+    ones only.
+    """
+    kind = hot.schema[spec.time_column].dataType
+    kind = T.LongType() if spec.time_type == "bigint" else kind
+    late = F.expr(sentinel(spec.time_type).sql(kind)).cast(kind)
+    first = F.min_by("low", F.when(F.col("low").isNotNull(), F.col("partition")))
+    told = partition_lows(hot, spec).agg(first.cast(kind).alias("low"), F.coalesce(F.sum("misplaced"), F.lit(0)).alias("wrong"))
+    broken = F.raise_error(F.format_string("%d rows are not where the partition rule says", F.col("wrong"))).cast(kind)
+    return told.select(F.when(F.col("wrong") > 0, broken).otherwise(F.coalesce("low", late)).alias(name))
+
+
 def pruned_boundary(hot: DataFrame, spec: TableSpec, values: list) -> Boundary:
     """The smallest time of a frame whose partitions follow time, given their values in ascending order.
 

@@ -94,6 +94,9 @@ class TierConfig:
     ignore: frozenset[str] = frozenset()
     # Table in which jobs remember what they have seen of each file (``db.name``); without one they read all files.
     ledger: str | None = None
+    # Table in which jobs write down what they are going to do to several views (``db.name``), so that they change all
+    # of them or none.
+    journal: str | None = None
 
     def pair(self, name: str) -> TierPair:
         for pair in self.pairs:
