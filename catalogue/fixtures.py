@@ -16,6 +16,9 @@ from tierview.functions.boundaries import utc_epoch_seconds
 # A short delimiter made of regular-expression characters, so that quoting is exercised.
 DELIMITER = "|+|"
 IPV4_BASE = 167772160  # 10.0.0.0
+# Delimiters of lines and of words, both of which occur in the words.
+NESTED = (".", ",")
+NETWORKS = {"link_local": "fe80::/10", "unique_local": "fc00::/7", "documents": "2001:db8::/32", "mapped": "::ffff:0:0/96"}
 
 
 @dataclass(frozen=True)

@@ -322,6 +322,25 @@ ORACLES: dict[str, str] = {
     "q_ipv4_int": f"SELECT event_id, {_IPV4} AS ip FROM events",
     "q_ipv6_int": f"SELECT event_id, CAST({_IPV6} AS VARCHAR) AS ip FROM events",
     "q_ipv6_bytes": f"SELECT event_id, {_IPV6_HEX} AS ip_hex FROM events",
+    "q_ipv6_ranges": f"""
+        WITH told AS (SELECT event_id, lower({_IPV6_HEX}) AS x FROM events)
+        SELECT event_id, x >= 'fe8' AND x < 'fec' AS link_local, x >= 'fc' AND x < 'fe' AS unique_local,
+          starts_with(x, '20010db8') AS documents, starts_with(x, '00000000000000000000ffff') AS mapped,
+          x >= '20010db8000000000000000000000010' AND x <= 'fe8000000000000000000000000001f4' AS between,
+          upper(substr(x, 1, 10) || format('{{:x}}', CAST(('0x' || substr(x, 11, 1))::UTINYINT & 12 AS INTEGER))) || repeat('0', 21) AS net42,
+          CAST(CAST('0x' || substr(x, 1, 16) AS UBIGINT) AS VARCHAR) AS high, CAST(CAST('0x' || substr(x, 17, 16) AS UBIGINT) AS VARCHAR) AS low
+        FROM told""",
+    "q_encode_nested": (
+        "SELECT doc_id, CASE WHEN text IS NULL THEN '\\n0' ELSE array_to_string(list_transform(string_split(text, chr(10)), "
+        "lambda line: array_to_string(list_transform(string_split(line, ' '), "
+        "lambda w: replace(replace(replace(w, '\\', '\\e'), '.', '\\0'), ',', '\\1')), ',')), '.') END AS stored FROM documents"
+    ),
+    "q_decode_nested": "SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents",
+    "q_decode_nested_records": (
+        "SELECT event_id, CAST(event_type <> 'error' AS INTEGER) AS n, CASE WHEN event_type <> 'error' THEN event_type END AS kind, "
+        'CASE WHEN event_type <> \'error\' THEN user_id END AS "user", CASE WHEN event_type <> \'error\' THEN value END AS amount '
+        f"FROM {EVENTS_COLD}"
+    ),
     "q_decode_strings": "SELECT doc_id, string_split(text, ' ') AS words FROM documents",
     "q_decode_typed": "SELECT vec_id, embedding FROM embeddings",
     "q_encode_roundtrip": "SELECT vec_id, embedding FROM embeddings",

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogue import fixtures as fx
-from tierview.functions import addresses, boundaries, codec
+from tierview.functions import addresses, boundaries, codec, nested, networks
 from tierview.functions.boundaries import parse_boundary, sentinel
 from tierview.operators import agreement, audit, boundary, unify
 from tierview.plans import lifecycle
+from tierview.plans.mapping import reconcile
 from tierview.plans.spec import PartitionRule, TableSpec, time_specs
 from tierview.sources import aliases, catalog, ledger, tables, views
 
@@ -404,6 +405,58 @@ def ipv6_bytes(spark, sf_dir):
     return wide.select("event_id", F.hex("ip").alias("ip_hex"))
 
 
+@query
+def ipv6_ranges(spark, sf_dir):
+    """Where every address is, of all 128 bits: networks, a range, its own network of 42 bits, and its halves."""
+    rows = addresses.with_ipv6_bytes(fx.addresses(spark, sf_dir), "ip6", "ip")
+    key = F.col("ip")
+    high, low = networks.halves(key)
+    return rows.select(
+        "event_id",
+        *(networks.in_network(key, net).alias(name) for name, net in fx.NETWORKS.items()),
+        networks.in_range(key, "2001:db8::10", "fe80::1f4").alias("between"),
+        F.hex(networks.network_of(key, 42)).alias("net42"),
+        high.cast("string").alias("high"),
+        low.cast("string").alias("low"),
+    )
+
+
+def _nested_lines(spark, sf_dir) -> tuple[DataFrame, T.DataType]:
+    """Every document as lines of words, which may hold both delimiters, and its type."""
+    lines = F.transform(F.split("text", "\n", -1), lambda line: F.split(line, " ", -1))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines")), T.ArrayType(T.ArrayType(T.StringType()))
+
+
+@query
+def encode_nested(spark, sf_dir):
+    df, kind = _nested_lines(spark, sf_dir)
+    return df.select("doc_id", nested.encode("lines", kind, fx.NESTED).alias("stored"))
+
+
+@query
+def decode_nested(spark, sf_dir):
+    df, kind = _nested_lines(spark, sf_dir)
+    stored = df.select("doc_id", nested.encode("lines", kind, fx.NESTED).alias("stored"))
+    back = stored.select("doc_id", nested.decode("stored", kind, fx.NESTED).alias("lines"))
+    return back.select("doc_id", F.transform("lines", lambda line: F.array_join(line, " ")).alias("lines"))
+
+
+@query
+def decode_nested_records(spark, sf_dir):
+    """Maps of structs from the text of a cold tier, served through the mapping."""
+    cold = fx.events(spark, sf_dir).cold
+    text = F.concat("event_type", F.lit(":"), "user_id", F.lit(","), F.col("value").cast("string"))
+    cold = cold.select("event_id", "recordTimestamp", F.when(F.col("event_type") != "error", text).otherwise("\\z0").alias("told"))
+    record = "map<string,struct<user:bigint,amount:double>>"
+    hot = spark.createDataFrame([], f"event_id bigint, recordTimestamp bigint, told {record}")
+    plan = reconcile(hot.schema, cold.schema, TableSpec(nested_delimiters=(";", ":", ",")))
+    served = unify.cold_scan(cold, plan)
+    entry = F.get(F.map_entries("told"), F.lit(0))
+    return served.select(
+        "event_id", F.size("told").alias("n"), entry["key"].alias("kind"), entry["value"]["user"].alias("user"), entry["value"]["amount"].alias("amount")
+    )
+
+
 @query
 def decode_strings(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select(

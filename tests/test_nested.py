@@ -1,0 +1,93 @@
+"""Nested values as text and back, and what the mapping makes of them."""
+
+from __future__ import annotations
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tierview import TableSpec, reconcile
+from tierview.functions import nested
+from tierview.operators.unify import cold_scan
+from tierview.plans.mapping import MappingError
+
+DELIMITERS = ("|+", ",", ";;", ":")
+TYPES = {
+    "array<array<string>>": st.lists(st.none() | st.lists(st.none() | st.text("a|+,;:\\enz012 é🙂", max_size=4), max_size=3), max_size=3),
+    "array<struct<a:int,b:array<double>>>": st.lists(
+        st.none() | st.tuples(st.none() | st.integers(-9, 9), st.none() | st.lists(st.sampled_from([0.1, -1e300, 5e-324, None]), max_size=3)), max_size=3
+    ),
+    "map<string,array<string>>": st.dictionaries(st.text("a,:\\n", max_size=2), st.none() | st.lists(st.none() | st.text("x,:\\", max_size=2), max_size=2), max_size=3),
+    "struct<m:map<int,string>,s:struct<t:string,u:boolean>>": st.tuples(
+        st.none() | st.dictionaries(st.integers(0, 3), st.none() | st.text(";|n\\", max_size=2), max_size=2), st.none() | st.tuples(st.none() | st.text("\\z,", max_size=3), st.booleans())
+    ),
+    "array<decimal(38,4)>": st.lists(st.none() | st.decimals(-(10**20), 10**20, places=4), max_size=3),
+    "array<binary>": st.lists(st.none() | st.binary(max_size=3).map(bytearray), max_size=3),
+    "string": st.text("\\nze|+,é", max_size=5),
+}
+
+
+@pytest.mark.parametrize("kind", TYPES)
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(data=st.data())
+def test_values_come_back(spark, kind, data):
+    values = [*data.draw(st.lists(st.none() | TYPES[kind], min_size=30, max_size=60)), None]
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(values)], f"n int, v {kind}").repartition(4)
+    wanted = df.schema["v"].dataType
+    told = df.withColumn("text", nested.encode("v", wanted, DELIMITERS)).withColumn("back", nested.decode("text", wanted, DELIMITERS))
+    rows = told.collect()
+    assert all(r.text is not None for r in rows) and [r for r in rows if r.v != r.back] == []
+    assert told.where("text IS NULL").isEmpty()
+
+
+def test_written_form(spark):
+    row = spark.sql("SELECT array(array('a,b', ''), array(), NULL, array(NULL, '\\\\')) AS v, map('k', array(1, 2)) AS m, named_struct('x', 1, 'y', CAST(NULL AS string)) AS s")
+    kinds = {f.name: f.dataType for f in row.schema.fields}
+    text = row.select(*(nested.encode(c, k, DELIMITERS).alias(c) for c, k in kinds.items())).first()
+    assert tuple(text) == ("a\\1b,|+\\z1|+\\n1|+\\n2,\\e", "k,1;;2", "1|+\\n1")
+
+
+def test_text_that_does_not_fit(spark):
+    df = spark.createDataFrame([("1|+2|+3",), ("1",), ("x|+y",), (None,), ("\\n0",), ("",)], "t string")
+    kind = T._parse_datatype_string("struct<a:int,b:string>")
+    got = [r[0] for r in df.select(nested.decode("t", kind, DELIMITERS)).collect()]
+    assert [g and tuple(g) for g in got] == [None, None, (None, "y"), None, None, None]
+    for bad in ("1|+2|+3", "x|+y"):
+        with pytest.raises(Exception):
+            df.where(F.col("t") == bad).select(nested.decode("t", kind, DELIMITERS, strict=True)).collect()
+    pairs = spark.createDataFrame([("a,1|+b",), ("a,1|+\\n2,2",), ("a,1",)], "t string")
+    kind = T.MapType(T.StringType(), T.IntegerType())
+    assert [r[0] for r in pairs.select(nested.decode("t", kind, DELIMITERS)).collect()] == [None, None, {"a": 1}]
+
+
+@pytest.mark.parametrize("bad", [("|",), ("|", "|"), ("ab", "bc"), ("", ","), ("\\", ","), ("1", ","), ("n", ",")])
+def test_delimiters_that_would_lose_something(bad):
+    with pytest.raises(ValueError):
+        nested.encode_sql("v", T.ArrayType(T.ArrayType(T.StringType())), bad)
+
+
+def test_types_without_text():
+    with pytest.raises(ValueError):
+        nested.levels(T.ArrayType(T.VariantType()))
+    assert nested.levels(T.MapType(T.StringType(), T.ArrayType(T.StructType([T.StructField("x", T.IntegerType())])))) == 4
+
+
+def test_nested_columns_are_served(spark):
+    """Hot columns of nested types, cold ones as text; without declared delimiters they are refused as before."""
+    hot = spark.sql("SELECT CAST(1 AS bigint) AS t, array(array(1, 2)) AS a, map('k', 1.5D) AS m")
+    cold = spark.createDataFrame([(0, "1;2,\\n1,\\z1", "k:2.5"), (1, None, "\\n0")], "t bigint, a string, m string")
+    spec = TableSpec("t", "bigint", nested_delimiters=(",", ";", ":"))
+    with pytest.raises(MappingError):
+        reconcile(hot.schema, cold.schema, TableSpec("t", "bigint"))
+    spec_m = TableSpec("t", "bigint", nested_delimiters=(",", ":", ";"))
+    plan = reconcile(hot.select("t", "a").schema, cold.select("t", "a").schema, spec)
+    assert [tuple(r) for r in cold_scan(cold.select("t", "a"), plan).collect()] == [(0, [[1, 2], None, []]), (1, None)]
+    assert [c.rule for c in plan.columns] == ["plain", "decode_nested"]
+    plan = reconcile(hot.select("t", "m").schema, cold.select("t", "m").schema, spec_m)
+    assert [tuple(r) for r in cold_scan(cold.select("t", "m"), plan).collect()] == [(0, {"k": 2.5}), (1, None)]
+    same = reconcile(hot.schema, hot.schema, spec)
+    assert {c.rule for c in same.columns} == {"plain"}
+    with pytest.raises(MappingError):
+        reconcile(hot.schema, spark.sql("SELECT CAST(1 AS bigint) AS t, 1 AS a, 2 AS m").schema, spec)

@@ -1,0 +1,64 @@
+from __future__ import annotations
+
+import ipaddress
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tierview.functions import networks
+
+
+@pytest.fixture(scope="module")
+def drawn():
+    rng = random.Random(2)
+    edges = ["::", "::1", "fe80::", "febf:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "fec0::", "fc00::1", "fdff::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "0:0:0:1::", "::ffff:ffff:ffff:ffff"]
+    return [ipaddress.IPv6Address(e) for e in edges] + [ipaddress.IPv6Address(rng.getrandbits(rng.choice([8, 64, 65, 127, 128]))) for _ in range(300)]
+
+
+def test_order_ranges_and_networks(spark, drawn):
+    df = spark.createDataFrame([(n, bytearray(a.packed)) for n, a in enumerate(drawn)] + [(-1, None)], "n int, key binary")
+    nets = ["fe80::/10", "fc00::/7", "::/0", "::1/128", "2000::/3", "8000::/1"]
+    got = df.select("n", *(networks.in_network(F.col("key"), net).alias(str(i)) for i, net in enumerate(nets)), networks.in_range(F.col("key"), "::1", "fe80::").alias("r"))
+    for row in got.collect():
+        if row.n < 0:
+            assert set(row[1:]) == {None}
+            continue
+        address = drawn[row.n]
+        assert [row[str(i)] for i in range(len(nets))] == [address in ipaddress.IPv6Network(net) for net in nets]
+        assert row.r == (ipaddress.IPv6Address("::1") <= address <= ipaddress.IPv6Address("fe80::"))
+    ranked = [r.n for r in df.where("n >= 0").orderBy("key", "n").collect()]
+    assert [drawn[n] for n in ranked] == sorted(drawn)
+
+
+@pytest.mark.parametrize("bits", [0, 1, 7, 8, 10, 63, 64, 127, 128])
+def test_networks_of_addresses(spark, drawn, bits):
+    df = spark.createDataFrame([(n, bytearray(a.packed)) for n, a in enumerate(drawn)], "n int, key binary")
+    for row in df.select("n", networks.network_of(F.col("key"), bits).alias("net")).collect():
+        assert bytes(row.net) == ipaddress.IPv6Network((drawn[row.n], bits), strict=False)[0].packed
+
+
+def test_halves_and_distances(spark, drawn):
+    rows = [(int(a), bytearray(a.packed), bytearray(b.packed)) for a, b in zip(drawn, drawn[1:] + drawn[:1])]
+    df = spark.createDataFrame([(str(n), a, b) for n, a, b in rows], "n string, a binary, b binary")
+    high, low = networks.halves(F.col("a"))
+    dh, dl = networks.distance(F.col("a"), F.col("b"))
+    back = networks.from_halves(high, low)
+    for row in df.select("*", high.alias("high"), low.alias("low"), back.alias("back"), dh.alias("dh"), dl.alias("dl")).collect():
+        a, b = int.from_bytes(row.a), int.from_bytes(row.b)
+        assert (int(row.high) << 64) + int(row.low) == a and bytes(row.back) == bytes(row.a)
+        assert (row.dh is None) == (a < b) and (a < b or (int(row.dh) << 64) + int(row.dl) == a - b)
+    none = spark.range(1).select(networks.from_halves(F.lit(-1).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")).alias("x"))
+    assert none.first().x is None
+
+
+def test_what_is_no_range():
+    for call in (lambda: networks.in_range(F.col("k"), "::2", "::1"), lambda: networks.in_network(F.col("k"), "fe80::1/10"), lambda: networks.network_of(F.col("k"), 129)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_a_range_reaches_the_scan(spark, drawn, tmp_path):
+    spark.createDataFrame([(bytearray(a.packed),) for a in drawn], "key binary").write.parquet(str(tmp_path / "k"))
+    df = spark.read.parquet(str(tmp_path / "k")).where(networks.in_network(F.col("key"), "fe80::/10"))
+    assert "GreaterThanOrEqual(key" in df._jdf.queryExecution().executedPlan().toString()

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tierview.functions import addresses, codec, sqltext
+from tierview.functions import addresses, codec, nested, sqltext
 from tierview.functions.boundaries import Boundary
 from tierview.plans.spec import PartitionRule, TableSpec
 
@@ -154,7 +154,7 @@ def reconcile(hot: T.StructType, cold: T.StructType, spec: TableSpec) -> Mapping
     if unknown:
         raise MappingError(f"cold types declared for columns the cold tier lacks: {unknown}")
     for f in hot.fields:
-        _check_type(f.name, f.dataType)
+        _check_type(f.name, f.dataType, spec)
 
     columns: list[ColumnRule] = []
     steps: list[list[tuple[str, str]]] = []
@@ -205,7 +205,18 @@ def _check_names(schema: T.StructType, side: str) -> None:
         raise MappingError(f"the {side} tier has no columns")
 
 
-def _check_type(name: str, data_type: T.DataType) -> None:
+def _nested(data_type: T.DataType) -> bool:
+    inner = data_type.elementType if isinstance(data_type, T.ArrayType) else data_type
+    return isinstance(inner, (T.MapType, T.StructType)) or (inner is not data_type and isinstance(inner, T.ArrayType))
+
+
+def _check_type(name: str, data_type: T.DataType, spec: TableSpec) -> None:
+    if spec.nested_delimiters and _nested(data_type):
+        try:
+            nested.checked(data_type, spec.nested_delimiters)
+        except ValueError as error:
+            raise MappingError(f"column {name}: {error}") from error
+        return
     if isinstance(data_type, _REFUSED):
         raise MappingError(f"column {name}: type {data_type.simpleString()} is not supported")
     try:
@@ -248,11 +259,18 @@ def _cold_expression(
 ) -> tuple[str, str, list[tuple[str, str]]]:
     """(rule, expression, helper columns) giving the hot column from the cold one.
 
-    Precedence: array of IPv6, array of text, any other array, address, plain column.
+    Precedence: nested type, array of IPv6, array of text, any other array, address, plain column.
     """
     value, stored, wanted = sqltext.ident(cold.name), cold.dataType, hot.dataType
     text = isinstance(stored, T.StringType)
 
+    if _nested(wanted):
+        if text:
+            return "decode_nested", nested.decode_sql(value, wanted, spec.nested_delimiters, spec.strict), []
+        if stored != wanted:
+            raise MappingError(f"cold column {cold.name} is {stored.simpleString()}, neither {wanted.simpleString()} nor text")
+        return _plain(value, stored, wanted, spec)
+
     if "array" in declared or isinstance(wanted, T.ArrayType):
         if not isinstance(wanted, T.ArrayType):
             raise MappingError(f"cold column {cold.name} is an array, hot column {hot.name} is not")

@@ -59,6 +59,9 @@ class TableSpec:
     # ``array<ipv4>``, ``array<ipv6>``, ``array<T>``; ``Array(Nullable(IPv6))`` and the like will do.
     cold_types: Mapping[str, str] = field(default_factory=dict)
     delimiter: str = DEFAULT_DELIMITER
+    # One delimiter for each level of nested cold columns kept as text (:mod:`tierview.functions.nested`); without them
+    # nested columns are refused.
+    nested_delimiters: tuple[str, ...] = ()
     # Whether a cold value that does not convert fails the query (in ANSI mode, Spark's default).
     strict: bool = False
     hot_partition: PartitionRule | None = None
