@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
+from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +17,26 @@ from tierview.functions import sqltext
 from tierview.functions.boundaries import PLACEHOLDERS
 from tierview.plans.spec import ColdSource
 
+log = logging.getLogger(__name__)
+
 TABLE, VIEW = "TABLE", "VIEW"
 
+#: Questions to the catalog that are under way together.
+AT_ONCE = 16
+
+
+class CatalogError(RuntimeError):
+    """The catalog cannot say what must be known."""
+
 # The property that marks a view as one of ours, and where a cold table came from.
 MANAGED = "tierview.managed"
 COLD = "tierview.cold"
 
 LISTING_SCHEMA = "table string, kind string"
+SURVEY_SCHEMA = (
+    "tbl string, kind string, provider string, partition_columns array<string>, properties map<string,string>, "
+    "columns array<struct<name:string,type:string,nullable:boolean,default:string>>, view_text string, error string"
+)
 COLUMN_SCHEMA = "tbl string, ordinal int, column string, type string, nullable boolean, default string"
 
 # A single JDBC read is one task unless it is told how to split the table.
@@ -63,9 +80,15 @@ def _views(spark: SparkSession, db: str) -> DataFrame:
 
 
 def managed_views(spark: SparkSession, db: str) -> list[str]:
-    """Views created by this library, by name; other people's views are not among them."""
-    names = sorted(r.viewName for r in _views(spark, db).collect())
-    return [v for v in names if MANAGED in properties(spark, f"{db}.{v}")]
+    """Views created by this library, by name; other people's views are not among them.
+
+    A view that cannot be described is an error: it may be one of ours.
+    """
+    found = survey(spark, db, sorted(r.viewName for r in _views(spark, db).collect()))
+    broken = [about for about in found if about.error]
+    if broken:
+        raise CatalogError("; ".join(f"{about.table}: {about.error}" for about in broken))
+    return [about.table for about in found if MANAGED in about.properties]
 
 
 def properties(spark: SparkSession, table: str) -> dict[str, str]:
@@ -78,6 +101,74 @@ def describe(spark: SparkSession, table: str) -> dict:
     return json.loads(row[0])
 
 
+@dataclass(frozen=True)
+class About:
+    """What the catalog says of one table or view in one answer; only ``error`` where it cannot."""
+
+    table: str
+    kind: str | None = None
+    provider: str | None = None
+    partition_columns: tuple[str, ...] = ()
+    properties: Mapping[str, str] = field(default_factory=dict)
+    # Name, type, nullable, default, in order.
+    columns: tuple[tuple[str, str, bool, str | None], ...] = ()
+    view_text: str | None = None
+    error: str | None = None
+
+
+def survey(spark: SparkSession, db: str, names: Iterable[str] | None = None, at_once: int = AT_ONCE) -> list[About]:
+    """Ask the catalog once for each table and view of a schema (or those named), ``at_once`` of them together.
+
+    In the order of their names. One that cannot be described has its error, and does not keep the others from being
+    told. Kinds, columns, properties and view texts are all in the one answer, so nothing is asked twice.
+    """
+
+    def asked(name: str) -> About:
+        try:
+            told = describe(spark, f"{db}.{name}")
+            return About(
+                name,
+                VIEW if told.get("type") == "VIEW" else TABLE,
+                told.get("provider"),
+                tuple(told.get("partition_columns") or ()),
+                dict(told.get("table_properties") or {}),
+                tuple((c["name"], type_text(c["type"]), c.get("nullable", True), c.get("default")) for c in told["columns"]),
+                told.get("view_text"),
+            )
+        except Exception as error:  # noqa: BLE001 - a failure to answer is what is known of the table
+            return About(name, error=sqltext.error_text(error))
+
+    if names is None:
+        names = [r.tableName for r in spark.sql(f"SHOW TABLES IN {sqltext.table_ref(db)}").where("NOT isTemporary").collect()]
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(asked, sorted(names)))
+
+
+def survey_frame(spark: SparkSession, found: Iterable[About]) -> DataFrame:
+    """A survey as a table: ``tbl, kind, provider, partition_columns, properties, columns, view_text, error``."""
+    rows = [
+        (a.table, a.kind, a.provider, list(a.partition_columns), dict(a.properties), list(a.columns), a.view_text, a.error) for a in found
+    ]
+    return spark.createDataFrame(rows, SURVEY_SCHEMA)
+
+
+def type_text(told: Mapping) -> str:
+    """The name of a type as a schema has it, from the catalog's description of it."""
+    name = told["name"]
+    if name == "array":
+        return f"array<{type_text(told['element_type'])}>"
+    if name == "map":
+        return f"map<{type_text(told['key_type'])},{type_text(told['value_type'])}>"
+    if name == "struct":
+        return f"struct<{','.join(f'{f['name']}:{type_text(f['type'])}' for f in told['fields'])}>"
+    if name == "decimal":
+        return f"decimal({told['precision']},{told['scale']})"
+    if name == "interval" and told.get("start_unit"):
+        units = dict.fromkeys((told["start_unit"], told.get("end_unit") or told["start_unit"]))
+        return f"interval {' to '.join(units)}"
+    return {"timestamp_ltz": "timestamp", "integer": "int", "varchar": "string", "char": "string"}.get(name, name)
+
+
 def column_rows(df: DataFrame, table: str) -> list[tuple]:
     return [
         (table, n, f.name, f.dataType.simpleString(), f.nullable, (f.metadata or {}).get("CURRENT_DEFAULT"))
@@ -86,10 +177,15 @@ def column_rows(df: DataFrame, table: str) -> list[tuple]:
 
 
 def columns(spark: SparkSession, db: str) -> DataFrame:
-    """Column catalog of every table and view of a schema, in ordinal order."""
+    """Column catalog of every table and view of a schema, in ordinal order, from one :func:`survey`.
+
+    One that cannot be described has no columns here; the survey has its error.
+    """
     rows = []
-    for name in sorted(table_kinds(spark, db)):
-        rows += column_rows(spark.table(sqltext.table_ref(db, name)), name)
+    for about in survey(spark, db):
+        if about.error:
+            log.warning("%s.%s cannot be described: %s", db, about.table, about.error)
+        rows += [(about.table, n, *told) for n, told in enumerate(about.columns)]
     return spark.createDataFrame(rows, COLUMN_SCHEMA).orderBy("tbl", "ordinal")
 
 
