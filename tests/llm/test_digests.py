@@ -5,6 +5,7 @@ from base64 import b64decode
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tierview.llm import digests, queries
 
@@ -99,3 +100,82 @@ def test_query(spark, sf_dir):
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
     others = [i for i, t in docs if len(t) >= 200]
     assert np.mean([got[i].near_edited > got[i].near_next for i in others]) > 0.97
+
+
+def slow_print(text: str, ranks) -> bytes:
+    """The fingerprint by the definition, in Python's integers: features in order, filters of ``FULL`` of them."""
+    data, top = text.encode(), 2**64
+    if not data:
+        return b""
+    windows = list(dict.fromkeys(data[i : i + digests.WINDOW] for i in slow_selection(data, ranks)))
+    mix = [int(x) for x in digests._MIX]
+    features = [sum((b + 1) * m for b, m in zip(window, mix)) % top for window in windows]
+    features = features or [int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")]
+    filters = [[False] * digests.BITS for _ in range(-(-len(features) // digests.FULL))]
+    for n, feature in enumerate(features):
+        for step in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            feature = (feature ^ feature >> 33) * step % top
+        feature ^= feature >> 33
+        for k in range(digests.HASHES):
+            filters[n // digests.FULL][(feature >> 11 * k) % digests.BITS] = True
+    return b"".join(int("".join("01"[bit] for bit in own), 2).to_bytes(digests.BITS // 8, "big") for own in filters)
+
+
+def slow_likeness(one: bytes, two: bytes) -> float:
+    size = digests.BITS // 8
+    if not one or not two:
+        return float(one == two)
+    a, b = ([int.from_bytes(x[i : i + size], "big") for i in range(0, len(x), size)] for x in (one, two))
+
+    def alike(x, y):
+        chance = x.bit_count() * y.bit_count() / digests.BITS
+        least = min(x.bit_count(), y.bit_count())
+        return min(1.0, max(0.0, ((x & y).bit_count() - chance) / max(least - chance, 1e-9)))
+
+    def way(own, other):
+        return sum(x.bit_count() * max(alike(x, y) for y in other) for x in own) / sum(x.bit_count() for x in own)
+
+    ways = [way(a, b)] * (len(a) <= len(b)) + [way(b, a)] * (len(b) <= len(a))
+    return sum(ways) / len(ways)
+
+
+def test_fingerprints_and_likeness_by_brute_force():
+    ranks = digests.rarity(np.random.default_rng(8).integers(0, 50, digests.STEPS + 1))
+    long = "".join(np.random.default_rng(99).choice(list("abcdefghijklmnop  .,\n"), 12_000))
+    texts = [*TEXTS, long, long[:7000] + "changed " * 40 + long[7000:], "ab" * 40 + TEXTS[5]]
+    prints = digests.fingerprinted(*raw(texts), ranks)
+    slow = [slow_print(text, ranks) for text in texts]
+    assert [b64decode(p) for p in prints] == slow and max(map(len, slow)) > digests.BITS // 8
+    for x, a in zip(prints, slow):
+        for y, b in zip(prints, slow):
+            assert abs(digests.likeness(x, y) - slow_likeness(a, b)) < 1e-12
+
+
+def test_query_by_brute_force(spark, sf_dir, tmp_path):
+    """All columns of the query on a table of short, long, empty, null and equal texts."""
+    texts = [*TEXTS, None, TEXTS[3], TEXTS[8] + TEXTS[9]]
+    spark.createDataFrame([(n, t, 1) for n, t in enumerate(texts)], "doc_id long, text string, k int").write.parquet(str(tmp_path / "documents.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    ranks = digests.rarity(digests.entropy_counts(df, "text"))
+    rows = sorted(((n, t or "") for n, t in enumerate(texts)), reverse=True)
+    want = {}
+    for (i, own), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        mine, theirs, changed = (slow_print(t, ranks) for t in (own, after, edited))
+        want[i] = (len(own), hashlib.sha256(edited.encode()).hexdigest(), mine, changed, slow_likeness(mine, changed), slow_likeness(mine, theirs))
+    for r in queries.QUERIES["op6_fingerprints"](spark, str(tmp_path)).collect():
+        told = (r.n_chars, r.edited_sha256, b64decode(r.fingerprint), b64decode(r.edited_fingerprint), r.near_edited, r.near_next)
+        assert told[:4] == want[r.doc_id][:4]
+        assert max(abs(x - y) for x, y in zip(told[4:], want[r.doc_id][4:])) < 1e-12
+
+
+def test_awkward_rows(spark, awkward, nothing):
+    ranks = digests.rarity(digests.entropy_counts(awkward, "text"))
+    rows = awkward.select("doc_id", "text", "k").withColumn("again", F.col("text"))
+    prints = digests.fingerprints(rows, ["text", "again"], ranks, keep=["doc_id", "k"])
+    alike = digests.compared(prints, {"same": ("text", "again")})
+    assert alike.columns == ["doc_id", "k", "text", "again", "same"] and alike.count() == awkward.count()
+    assert {r.same for r in alike.collect()} == {1.0}
+    assert {r.text == "" for r in alike.join(rows.select("doc_id").where("coalesce(text, '') = ''"), "doc_id").collect()} == {True}
+    assert digests.compared(digests.fingerprints(nothing, ["text"], ranks), {"x": ("text", "text")}).count() == 0

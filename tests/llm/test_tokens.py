@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -59,3 +62,41 @@ def test_query_counts_every_document(spark, sf_dir, tokenizer):
     ids = sorted(texts)
     counts = [len(e.ids) for e in tokenizer.encode_batch([texts[i] for i in ids], add_special_tokens=False)]
     assert got == {i: (len(texts[i].encode()), n) for i, n in zip(ids, counts)}
+
+
+def test_groups_are_balanced_by_bytes(spark, monkeypatch):
+    """Characters of one, two, three and four bytes: no group of several pieces has more bytes than the limit."""
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 1000)
+    seen, plain = [], tokens.groups
+    monkeypatch.setattr(tokens, "groups", lambda sizes: seen.append(plain(sizes, 1000)) or seen.append(sizes) or seen[-2])
+    texts = [c * n for n in (90, 200, 300) for c in ("a", "é", "日", "🙂")] * 3
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([len(t.encode()) for t in texts]), pa.array(texts)], names=["k", "n_bytes", "t"])
+    plan = {}
+    monkeypatch.setattr(tokens, "bounded_batches", lambda *_: None)
+
+    class Rows:  # hands the task's function out instead of running it
+        schema = spark.createDataFrame([], "k long").schema
+
+        def mapInArrow(self, function, _):
+            plan["task"] = function
+            raise StopIteration
+
+    df = spark.createDataFrame([(1, "a")], "k long, t string")
+    monkeypatch.setattr(type(df), "select", lambda *_: Rows())
+    with pytest.raises(StopIteration):
+        tokens.count_tokens(df, "k", "t", public_tokenizers.path("byte_bpe_50k.json"))
+    list(plan["task"](iter([batch])))
+    made, sizes = seen
+    assert sizes == [len(t.encode()) for t in texts]
+    assert all(len(g) == 1 or sum(sizes[i] for i in g) <= 1000 for g in made) and len(made) > 5
+
+
+def test_unknown_patterns_are_not_split(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.splits_at_spaces(path)
+    assert not tokens.splits_at_spaces(public_tokenizers.path("word_bpe_49k.json"))
+    assert not tokens.splits_at_spaces(public_tokenizers.path("piece_bpe_32k.model"))
+    about = json.loads(open(path, encoding="utf-8").read())
+    for change in ({"pre_tokenizer": {"type": "Split"}}, {"normalizer": {"type": "NFKC"}}, {"added_tokens": [{**about["added_tokens"][0], "lstrip": True}]}):
+        (tmp_path / "own.json").write_text(json.dumps({**about, **change}))
+        assert not tokens.splits_at_spaces(str(tmp_path / "own.json"))

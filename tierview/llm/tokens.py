@@ -2,17 +2,20 @@
 
 A long text is split where no token can cross: between a visible character and white space after it. There the
 pattern that splits text before the merges always ends a word, whatever stands around, and no special string has a
-space in it. A text without such a place stays whole. The pieces of a batch are counted in groups of about equal bytes.
+space in it. That is known of one pattern; texts of a vocabulary with another one stay whole, and so does a text without
+such a place. The pieces of a batch are counted in groups of about equal bytes.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from tierview.llm.session import bounded_batches, column
 #: Characters of a piece, and bytes of the pieces that are encoded at once.
 PIECE_CHARS, GROUP_BYTES = 1 << 15, 1 << 20
 
-#: A letter, digit or visible ASCII mark before a space or line feed: white space for every library's pattern.
+#: A letter, digit or visible ASCII mark before a space or line feed.
 _CUT = re.compile(r"(?:[^\W_]|[!-~])(?=[ \n])")
 
 
@@ -40,6 +43,26 @@ def pieces(text: str, limit: int = PIECE_CHARS) -> list[str]:
     return out
 
 
+def splits_at_spaces(vocabulary: str) -> bool:
+    """Whether no token of this vocabulary crosses from a visible character to the white space after it.
+
+    So it is with the library's own pattern on bytes, which takes white space into what follows it, where nothing is
+    normalized before and no added token has white space in it or takes some from around it.
+    """
+    if not vocabulary.endswith(".json"):
+        return False
+    with open(vocabulary, encoding="utf-8") as file:
+        about = json.load(file)
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    splits = about["pre_tokenizer"] or {}
+    tokens = about["added_tokens"]
+    return (
+        about["normalizer"] is None
+        and {k: splits.get(k) for k in plain} == plain
+        and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens)
+    )
+
+
 def groups(sizes: list[int], limit: int = GROUP_BYTES) -> list[list[int]]:
     """Indices in order of size, in groups of ``limit`` bytes (a larger piece alone), so that a group's are alike."""
     out: list[list[int]] = []
@@ -76,11 +99,11 @@ def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str, limit: int
     """Returns per row ``key`` (under its name), ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit``).
 
     ``vocabulary`` is a file that every executor has: ``.json`` of the tokenizers library, or ``.model`` of
-    sentencepiece, whose texts are never split (its merges see the whole text). No begin, end or added special
+    sentencepiece; texts are split only where :func:`splits_at_spaces`. No begin, end or added special
     tokens; special strings within a text count as the library has it by default. A null or empty text has 0 bytes
     and 0 tokens. An empty table gives no rows; other columns are not read.
     """
-    splits = vocabulary.endswith(".json")
+    splits = splits_at_spaces(vocabulary)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(vocabulary)
@@ -92,7 +115,7 @@ def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str, limit: int
                 parts += own
                 owners += [row] * len(own)
             tokens = np.zeros(len(parts), np.int64)
-            for group in groups([len(part) for part in parts]):
+            for group in groups(pc.binary_length(pa.array(parts, pa.large_string())).to_pylist()):
                 tokens[group] = count([parts[i] for i in group])
             sums = np.zeros(len(texts), np.int64)
             np.add.at(sums, np.array(owners, np.int64), tokens)
