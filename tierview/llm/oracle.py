@@ -73,6 +73,28 @@ FROM (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) LEFT J
 """
 
 
+# The checksum's table of 256 entries is built by its rule, eight steps for each byte.
+ORACLES["op8_balanced_shards"] = """
+WITH steps AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, n)) AS t),
+bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b
+  FROM documents),
+summed AS (
+  SELECT doc_id, size,
+    xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+  FROM bytes, steps),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total
+  FROM summed),
+dealt AS (SELECT *, CAST(least(7, (2 * before + size) * 8 // (2 * total)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt
+"""
+
 # Vectors as integers, one row for each component; rounds of assignment and floors of means, one CTE after the other.
 _COMPONENTS = """
 kept AS MATERIALIZED (
