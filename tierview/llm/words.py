@@ -45,6 +45,13 @@ def plain_words() -> np.ndarray:
     return table
 
 
+def lines() -> np.ndarray:
+    """Words are lines, of whatever bytes but line feeds."""
+    table = _BYTE.copy()
+    table[ord("\n")] = 0
+    return table
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit integers in which every bit depends on every other."""
     h = h ^ (h >> U64(33))
