@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierview import PartitionRule, TableSpec, TierConfig, TierPair
-from tierview.jobs import JobError, refresh_all, run_init, unified_range, update
+from tierview.jobs import JobError, refresh_all, run_init, tier_agreement, unified_range, update
 from tierview.operators.boundary import misplacement
 from tierview.sources import files, ledger, views
 
@@ -272,3 +272,19 @@ def test_a_range_over_many_files_is_not_listed(site, monkeypatch):
     monkeypatch.setattr(files, "LISTED", 1)
     got = unified_range(site.spark, site.config, "p", "flat", "2024-04-01", "2024-07-01")
     assert got.count() == 91
+
+
+def test_tiers_are_compared_where_they_overlap(site):
+    spark = site.spark
+    same, apart = tier_agreement(spark, site.config, "p", "daily")
+    assert same.count() == 50 and same.where("NOT agrees").isEmpty() and apart.isEmpty()
+    site.append(site.days(120, 122), "daily_hot", site.hot, ["ym"])
+    site.append(site.days(140, 141).withColumn("id", F.lit(-1).cast("bigint")), "daily", site.cold, ["ym"])
+    same, apart = tier_agreement(spark, site.config, "p", "daily", "2024-04-11", None, 7)
+    assert same.where("NOT agrees").count() == 2
+    assert sorted((r.id, r.n_hot, r.n_cold) for r in apart.collect()) == [(-1, 0, 1), (120, 2, 1), (121, 2, 1)]
+    same, apart = tier_agreement(spark, site.config, "p", "daily", None, "2024-04-20")
+    assert same.count() == 10 and apart.isEmpty()
+    spark.sql(f"TRUNCATE TABLE {site.cold}.flat")
+    same, apart = tier_agreement(spark, site.config, "p", "flat")
+    assert same.isEmpty() and apart.isEmpty()

@@ -6,6 +6,7 @@ from tierview.jobs.lifecycle import (
     rollback_plan,
     run_init,
     run_rollback,
+    tier_agreement,
     unified,
     unified_range,
     update,
@@ -20,6 +21,7 @@ __all__ = [
     "rollback_plan",
     "run_init",
     "run_rollback",
+    "tier_agreement",
     "unified",
     "unified_range",
     "update",

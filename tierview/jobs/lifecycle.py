@@ -12,13 +12,15 @@ from contextlib import contextmanager
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tierview.functions import sqltext
 from tierview.functions.boundaries import Boundary, parse_boundary
 from tierview.jobs import journal
 from tierview.jobs.results import JobError, Results, StepError, step
+from tierview.operators import agreement
 from tierview.operators.boundary import PartitionError, many_boundaries, misplaced_rows, parsed
-from tierview.operators.unify import read_range, unified_sql, unify
+from tierview.operators.unify import cold_scan, read_range, unified_sql, unify
 from tierview.plans import lifecycle as plans
 from tierview.plans.mapping import MappingPlan, reconcile
 from tierview.plans.spec import PartitionRule, TableSpec, TierConfig, TierPair
@@ -402,3 +404,30 @@ def _narrowed(spark, config, table: str, column: str, time_filter, start: Bounda
     # What was measured for another rule tells the times as well.
     watched = ledger.Watched(df, column)
     return ledger.narrowed(watched, ledger.retold(known, watched), *bounds)
+
+
+def tier_agreement(
+    spark: SparkSession, config: TierConfig, pair_name: str, table: str, start=None, end=None, width: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Whether both tiers of a unified table hold the same rows with ``start <= time < end``: by bucket, and the rows
+    that one has more often (:mod:`tierview.operators.agreement`).
+
+    Without limits it is where the tiers overlap: from the smallest hot time to the largest cold one. ``width`` is the
+    length of a bucket, in days of a date and seconds or units of other times; a day unless given.
+    """
+    pair = config.pair(pair_name)
+    _, hot, cold = _names(pair, table)
+    plan = _checked(spark, config, pair, table)
+    kind, time = plan.spec.time_type, plan.spec.time_column
+    limits = [v if v is None or isinstance(v, Boundary) else parse_boundary(v, kind) for v in (start, end)]
+    frames = [spark.table(sqltext.table_ref(t)) for t in (hot, cold)]
+    if limits[0] is None:
+        limits[0] = many_boundaries(spark, {hot: plan.spec})[hot]
+    ours, theirs = agreement.overlap(*frames, plan, *limits)
+    if limits[1] is None:
+        # Beyond the last cold time hot has rows of its own.
+        last = cold_scan(frames[1], plan).agg(F.max(sqltext.column(time)).cast("string")).first()[0]
+        column = sqltext.column(time)
+        ours = ours.where(F.lit(False) if last is None else column <= F.expr(plan.hot_literal(parse_boundary(last, kind))))
+    width = width or agreement.WIDTHS[kind]
+    return agreement.agreement(ours, theirs, time, width), agreement.differences(ours, theirs, time, width)
