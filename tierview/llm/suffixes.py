@@ -1,14 +1,14 @@
 """Removal of repeated byte strings by a hash-compared suffix sort.
 
 A byte goes if a string of 50 bytes over it also starts in a document with a smaller id. Strings of 50 bytes are far
-too many to be sorted or moved, so each is owned by an anchor: of the 35 places in it at which 16 bytes begin, the one
+too many to be sorted or moved, so each is owned by an anchor: of the 27 places in it at which 24 bytes begin, the one
 with the smallest hash. Equal strings have equal anchors at equal distances, and neighbouring strings mostly share one,
-so there is an anchor for every 18 bytes.
+so there is an anchor for every 14 bytes.
 
 1. Anchors whose whole span (all the strings that they own) is equal are one class. All but those in the class's first
    document are repeats. Within a chunk of texts the bytes of each are compared with those of the class's first; across
    chunks spans are equal if a second hash of 64 bits, of another kind, agrees as well.
-2. What is left are the first members of classes that share an anchor's 16 bytes with another class: the ends of
+2. What is left are the first members of classes that share an anchor's 24 bytes with another class: the ends of
    repeats, and chance. Their spans are cut from the texts, and all strings of 50 bytes in them, which are suffixes
    cut off at 50, are sorted: two suffixes are compared by binary search for their common extension on prefix
    polynomial hashes, in a mergesort. Neighbours of equal hashes are compared byte by byte. Of equal ones, all but
@@ -30,10 +30,11 @@ from tierview.llm import words
 from tierview.llm.session import bounded_batches, column, written
 from tierview.llm.words import U64
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 _PLACES = LENGTH - GRAM + 1
 
-#: Spans with the same anchor from which on their strings are dealt out one by one, and spans that are sorted at once.
+#: Spans with the same anchor from which on their strings are dealt out one by one, so that no task gets them all, and
+#: spans that are sorted at once. No result depends on either.
 HEAVY, SORTED = 4096, 4096
 
 _RNG = np.random.Generator(np.random.PCG64(50))
@@ -427,7 +428,7 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     id remove nothing from each other, and each is judged by its own text. A row without an id has no place in the
     order: it loses nothing, and nothing goes for its sake. An empty table gives no rows; other columns are not read.
 
-    Anchors are the only thing of the size of the input that is moved besides the texts, some 30 bytes for each 17. A
+    Anchors are the only thing of the size of the input that is moved besides the texts, some 30 bytes for each 14. A
     class is one row of a chunk of texts by then, however many copies it has. Sorting is Spark's, so an anchor of any
     number of rows is read in order and not held; one that many different spans share is dealt out by their strings.
     """
