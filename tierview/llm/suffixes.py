@@ -219,8 +219,8 @@ def sort_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[
 # its span's second hash; k2 has 32 bits of its place in the text, and 6 each of the distances to the first and last string
 # that it owns. Anchors of equal k1 and h are a class. A run of repeats has neither, and its ends in k2. c tells apart
 # texts that share an id; it is 0 where ids are unique.
-_ANCHORED = "k1 bigint, h bigint, k2 bigint, id bigint, c int"
-_TOLD = "id bigint, c int, tag bigint, x bigint"
+_ANCHORED = "k1 bigint, h bigint, k2 bigint, id bigint, c bigint"
+_TOLD = "id bigint, c bigint, tag bigint, x bigint"
 
 
 def _owned(k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,7 +301,7 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several[0] += goes_on * (1 + opened)
         several = several > 1
         if goes_on and several[0] and len(held):
-            yield _rows(held[:, 1], held[:, 2].astype(np.int32), np.full(len(held), lead[0]), held[:, 0])
+            yield _rows(held[:, 1], held[:, 2], np.full(len(held), lead[0]), held[:, 0])
         if not goes_on or several[0] or group[-1] > 0:
             held = held[:0]
         out = np.flatnonzero(~again & several[group])
@@ -342,7 +342,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     bodies.append(body)
             n = len(tags)
             yield pa.record_batch(
-                [pa.array(tags, pa.int64()), pa.array([ids[row]] * n, pa.int64()), pa.array([c[row]] * n, pa.int32()), pa.array(places, pa.int64()), pa.array(bodies, pa.binary())],
+                [pa.array(tags, pa.int64()), pa.array([ids[row]] * n, pa.int64()), pa.array([c[row]] * n, pa.int64()), pa.array(places, pa.int64()), pa.array(bodies, pa.binary())],
                 names=["tag", "id", "c", "lo", "body"],
             )
 
@@ -435,7 +435,7 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     bounded_batches(df.sparkSession)
     docs = df.select(column(key).cast("long").alias("id"), F.coalesce(column(text), F.lit("")).alias("t"))
     shared = not docs.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty()
-    docs = docs.select("id", F.hash("t").alias("c") if shared else F.lit(0).alias("c"), "t")
+    docs = docs.select("id", F.xxhash64("t").alias("c") if shared else F.lit(0).cast("bigint").alias("c"), "t")
 
     found = docs.where("id IS NOT NULL").mapInArrow(_anchored, _ANCHORED)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -452,7 +452,7 @@ def remove_repeats(df: DataFrame, key: str, text: str) -> DataFrame:
     placed = docs.where("id IS NOT NULL")
     bodies = placed.distinct() if shared else placed
     cut = bodies.join(of, ["id", "c"]).select("id", "c", "t", "spans")
-    cut = cut.mapInArrow(_cut, "tag bigint, id bigint, c int, lo bigint, body binary")
+    cut = cut.mapInArrow(_cut, "tag bigint, id bigint, c bigint, lo bigint, body binary")
     more = cut.repartition(parts, "tag").sortWithinPartitions("tag", "id").mapInArrow(_sorted, _TOLD)
 
     runs = told.where("tag IS NULL").unionByName(more).groupBy("id", "c").agg(F.collect_list("x").alias("runs"))
