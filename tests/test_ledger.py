@@ -288,3 +288,15 @@ def test_tiers_are_compared_where_they_overlap(site):
     spark.sql(f"TRUNCATE TABLE {site.cold}.flat")
     same, apart = tier_agreement(spark, site.config, "p", "flat")
     assert same.isEmpty() and apart.isEmpty()
+
+
+def test_batches_and_compaction_change_nothing(site, monkeypatch):
+    whole = site.seen()
+    monkeypatch.setattr(ledger, "TABLES_PER_JOB", 1)
+    monkeypatch.setattr(ledger, "COMPACTED_FROM", 0)
+    site.append(site.days(90, 92), "daily_hot", site.hot, ["ym"])
+    seen = site.seen()
+    name = f"{site.hot}.daily_hot"
+    assert seen[name].low == "2024-03-31" and seen[name].new_files == 2 and seen[name].n_rows == whole[name].n_rows + 2
+    assert {n: s for n, s in seen.items() if n != name} == {n: s for n, s in whole.items() if n != name}
+    assert statuses(refresh_all(site.spark, site.config)) == {"daily": "updated", "flat": "unchanged"}

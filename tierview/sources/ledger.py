@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierview.functions import sqltext
+from tierview.operators.boundary import TABLES_PER_JOB
 from tierview.plans.spec import PartitionRule
 from tierview.sources import files
 
@@ -155,11 +156,19 @@ def observe(spark: SparkSession, ledger: str, watched: dict[str, Watched]) -> di
     where these do not tell the times or do not prove the rule; of other new files the time column is read, and with a
     rule its partition column. What was found is kept before the next step, so a broken pass goes on where it was.
 
-    The driver holds the names of new files, up to ``files.LISTED`` of a table; with more, the table is read whole.
+    The driver holds the names of new files, up to ``files.LISTED`` of a table; with more, the table is read whole. So
+    many tables share a job as elsewhere (``TABLES_PER_JOB``).
     """
-    if not watched:
-        return {}
     create(spark, ledger)
+    names, out = sorted(watched), {}
+    for n in range(0, len(names), TABLES_PER_JOB):
+        out |= _observed(spark, ledger, {name: watched[name] for name in names[n : n + TABLES_PER_JOB]})
+    if len(spark.table(sqltext.table_ref(ledger)).inputFiles()) > COMPACTED_FROM:
+        compact(spark, ledger)
+    return out
+
+
+def _observed(spark: SparkSession, ledger: str, watched: dict[str, Watched]) -> dict[str, Seen]:
     now = listings(watched)
 
     def new_counts() -> dict[str, int]:
@@ -181,8 +190,6 @@ def observe(spark: SparkSession, ledger: str, watched: dict[str, Watched]) -> di
                 found.append(from_scan(watched[name], mine, names))
         add(spark, ledger, reduce(DataFrame.union, (f.select(_NAMES) for f in found)))
         counts = new_counts()
-    if len(spark.table(sqltext.table_ref(ledger)).inputFiles()) > COMPACTED_FROM:
-        compact(spark, ledger)
 
     out = {name: Seen(0, 0, 0, 0, 0, None) for name in watched}  # a table without files
     for row in summed(now, entries(spark, ledger, watched)).collect():
