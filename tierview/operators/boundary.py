@@ -47,25 +47,34 @@ def parsed(low: str | None, spec: TableSpec) -> Boundary:
 
 
 def partition_lows(hot: DataFrame, spec: TableSpec) -> DataFrame:
-    """``partition, low, misplaced``: of each partition the smallest time, and the rows that the rule puts elsewhere."""
-    rule = spec.hot_partition
-    wrong = F.count_if(misplacement(spec.time_column, rule))
-    return hot.groupBy(sqltext.column(rule.column).alias("partition")).agg(_lowest(spec).alias("low"), wrong.alias("misplaced"))
+    """``partition, low, broken``: of each partition the smallest time, and whether a row of it belongs elsewhere.
+
+    A rule never falls as time rises, so a partition to which its smallest and its largest time belong is right. The rule
+    is computed for these two, and not for each row.
+    """
+    rule, time = spec.hot_partition, sqltext.column(spec.time_column)
+    sums = hot.groupBy(sqltext.column(rule.column).alias("__p")).agg(F.min(time).alias("__low"), F.max(time).alias("__high"))
+    right = F.lit(True)
+    for edge in ("__low", "__high"):
+        sums = sums.withColumn(spec.time_column, F.col(edge)).withColumn(f"{edge}_in", F.expr(rule.of(sqltext.ident(spec.time_column))))
+        right = right & F.col(f"{edge}_in").eqNullSafe(F.col("__p"))
+    broken = F.col("__low").isNotNull() & ~right
+    return sums.select(F.col("__p").alias("partition"), F.col("__low").alias("low"), broken.alias("broken"))
 
 
 def lowest_partition_frame(hot: DataFrame, spec: TableSpec, name: str = "boundary") -> DataFrame:
     """Like :func:`boundary_frame`, as the smallest time of the first partition that has one, in one job.
 
     For a frame whose partitions no catalog lists. Two columns are read, and a row for each partition and task moved.
-    Rows that break the rule are an error. Where a catalog lists the partitions, :func:`many_boundaries` reads the first
+    Partitions that break the rule are an error. Where a catalog lists the partitions, :func:`many_boundaries` reads the first
     ones only.
     """
     kind = hot.schema[spec.time_column].dataType
     kind = T.LongType() if spec.time_type == "bigint" else kind
     late = F.expr(sentinel(spec.time_type).sql(kind)).cast(kind)
     first = F.min_by("low", F.when(F.col("low").isNotNull(), F.col("partition")))
-    told = partition_lows(hot, spec).agg(first.cast(kind).alias("low"), F.coalesce(F.sum("misplaced"), F.lit(0)).alias("wrong"))
-    broken = F.raise_error(F.format_string("%d rows are not where the partition rule says", F.col("wrong"))).cast(kind)
+    told = partition_lows(hot, spec).agg(first.cast(kind).alias("low"), F.count_if("broken").alias("wrong"))
+    broken = F.raise_error(F.format_string("%d partitions hold rows that the partition rule puts elsewhere", F.col("wrong"))).cast(kind)
     return told.select(F.when(F.col("wrong") > 0, broken).otherwise(F.coalesce("low", late)).alias(name))
 
 
