@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import zlib
 
 import numpy as np
@@ -113,7 +114,7 @@ def test_remembered_words_are_bounded(tokenizer, monkeypatch):
 
 def test_other_vocabularies_take_whole_texts(tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert not arrowfiles.by_words(path)
+    assert not arrowfiles.by_words(arrowfiles._about(path))
     encoder, texts = arrowfiles.Encoder(path), ["two  words\n and", "", "more"]
     ids, sizes = encoder.encode(pa.array(texts))
     want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
@@ -121,9 +122,26 @@ def test_other_vocabularies_take_whole_texts(tmp_path):
     about = json.loads(open(PATH, encoding="utf-8").read())
     about["added_tokens"].append({**about["added_tokens"][0], "id": 49408, "content": "two words"})
     (tmp_path / "own.json").write_text(json.dumps(about))
-    assert not arrowfiles.by_words(str(tmp_path / "own.json"))
+    assert not arrowfiles.by_words(arrowfiles._about(str(tmp_path / "own.json")))
 
 
+def test_plain_words_have_the_library_s_ids(tokenizer):
+    """All plain letters, in words of every kind and with every mark, and words that only look plain."""
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(1, 0x250) if arrowfiles._PLAIN.fullmatch(chr(c)) and chr(c) not in ".,;:!?"]
+    assert len(letters) == 52 + 62 + 123
+    words = letters + ["".join(rng.choices(letters if n % 2 else letters[:52], k=rng.randrange(1, 12))) + rng.choice(["", *".,;:!?"]) for n in range(4000)]
+    words += ["İ", "ı", "ĸ", "ŉ", "ſ", "é\u0301", "x\u0300", "a.b", "a..", ".a", "don't", "'s", "we'LL", "a²", "aª", "ΣΑΣ", "ﬁn", "Ǆ", "a\u00ad"]
+    encoder = arrowfiles.Encoder(PATH)
+    assert encoder.plain
+    for _ in range(2):
+        ids, sizes = encoder.encode(pa.array([*words, " ".join(words)]))
+        want = [e.ids for e in tokenizer.encode_batch([*words, " ".join(words)], add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    about = arrowfiles._about(PATH)
+    about["normalizer"] = None
+    assert not arrowfiles.plain_by_model(about)
+
 def test_query_is_the_library_on_every_document(spark, sf_dir, tokenizer):
     texts = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.QUERIES["op12_token_files"](spark, sf_dir).collect()}

@@ -43,16 +43,39 @@ CHUNK_BYTES = 4 << 20
 # A pattern that drops white space, and normalizers that leave it white and see no further than a word.
 _DROPS_SPACE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WITHIN_WORDS = ("NFC", "Lowercase", "Replace")
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
 
+#: Words of Latin letters and perhaps a mark: letters that are composed already and have one lower-case letter each.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĲ-ķĹ-ňŊ-ž]+)([.,;:!?]?)")
 
-def by_words(vocabulary: str) -> bool:
-    """Whether this tokenizer's ids of a text are those of its words between white space, one after the other.
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in vocabularies of bytes: itself where it is visible, else one from 256 on."""
+    out = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+    rest = [b for b in range(256) if b not in out]
+    return out | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+def _about(vocabulary: str) -> dict:
+    with open(vocabulary, encoding="utf-8") as file:
+        return json.load(file)
+
+
+def plain_by_model(about: dict) -> bool:
+    """Whether the ids of ``_PLAIN`` words are those of the model, given the bytes of their letters in lower case and
+    of their mark: after the pattern, bytes are all that is made of a word, and before it lower case."""
+    first = about["normalizer"] or {}
+    splits = about["pre_tokenizer"].get("pretokenizers", [])
+    lowers = any(step["type"] == "Lowercase" for step in first.get("normalizers", [first]) if step)
+    return lowers and len(splits) == 2 and {k: splits[1].get(k) for k in _BYTES} == _BYTES
+
+
+def by_words(about: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its words between white space, one after the other.
 
     So it is if white space separates and is dropped: known of the pattern above, where normalizers work within words
     and no added token has white space in it or around it.
     """
-    with open(vocabulary, encoding="utf-8") as file:
-        about = json.load(file)
     first = about["normalizer"] or {"type": "Sequence", "normalizers": []}
     steps = first.get("normalizers", [first])
     splits = about["pre_tokenizer"] or {}
@@ -79,13 +102,18 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_words = by_words(vocabulary)
         self.type = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        about = _about(vocabulary)
+        self.by_words = by_words(about)
+        self.plain = self.by_words and plain_by_model(about)
+        self.letters = _byte_letters()
+        self.marks = {mark: self._library([mark])[0].tolist() for mark in ("", *".,;:!?")} if self.plain else {}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.sizes, self.used = np.zeros(1 << 16, self.type), np.zeros(1 << 16, np.int32), 0
+        self.starts = np.zeros(1 << 16, np.int64)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has."""
@@ -94,15 +122,50 @@ class Encoder:
         sizes = np.fromiter(map(len, told), np.int64, len(told))
         return np.fromiter(itertools.chain.from_iterable(told), self.type, int(sizes.sum())), sizes
 
+    def _by_model(self, fresh: list[str]) -> tuple[list[str], list[list[int]], list[str]]:
+        """The plain words among these with their ids, and the others. Words with equal letters are tokenized once."""
+        near: dict[str, list[int]] = {}
+        plain, told, rest = [], [], []
+        tokenize = self.tokenizer.model.tokenize
+        for word in fresh:
+            found = _PLAIN.fullmatch(word)
+            if found is None:
+                rest.append(word)
+                continue
+            stem = found[1].lower()
+            ids = near.get(stem)
+            if ids is None:
+                at = self.known.get(stem)
+                if at is None:
+                    body = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+                    ids = [token.id for token in tokenize(body)]
+                else:
+                    ids = self.flat[self.starts[at] : self.starts[at] + self.sizes[at]].tolist()
+                near[stem] = ids
+            plain.append(word)
+            told.append(ids + self.marks[found[2]])
+        return plain, told, rest
+
     def _learn(self, fresh: list[str]) -> None:
-        flat, sizes = self._library(fresh)
+        if self.plain:
+            plain, told, rest = self._by_model(fresh)
+            sizes = np.fromiter(map(len, told), np.int64, len(told))
+            flat = np.fromiter(itertools.chain.from_iterable(told), self.type, int(sizes.sum()))
+            self._keep(plain, flat, sizes)
+            fresh = rest
+        if fresh:
+            self._keep(fresh, *self._library(fresh))
+
+    def _keep(self, fresh: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         at = len(self.known)
         self.known.update(zip(fresh, range(at, at + len(fresh))))
         while len(self.sizes) < len(self.known):
             self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
         while len(self.flat) < self.used + len(flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.sizes[at : len(self.known)] = sizes
+        self.starts[at : len(self.known)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
 
@@ -120,10 +183,9 @@ class Encoder:
         if fresh:
             self._learn(fresh)
         number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
-        ends = np.cumsum(self.sizes[: len(self.known)], dtype=np.int64)
         sizes = self.sizes[number].astype(np.int64)
         before = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.repeat(ends[number] - sizes - before[:-1], sizes) + np.arange(before[-1])]
+        ids = self.flat[np.repeat(self.starts[number] - before[:-1], sizes) + np.arange(before[-1])]
         bounds = np.concatenate(([0], np.cumsum(counts)))
         return ids, np.diff(before[bounds])
 
