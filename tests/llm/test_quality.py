@@ -139,3 +139,12 @@ def test_query_by_brute_force(spark, sf_dir):
         at = sum(max(-6, min(6, (v - m) / s)) * w for v, m, s, w in zip(own, ranking.mean, ranking.spread, ranking.weights))
         score = 1 / (1 + math.exp(-(at - ranking.cut + math.log(0.7 / 0.3))))
         assert abs(got[r.doc_id].score - score) < 1e-9
+
+
+def test_the_next_text_echoes_nothing():
+    texts = ["", "one word", "word", "word again", "", "again again", "again", " ", ""]
+    together = quality.features(*raw(texts))
+    for text, row in zip(texts, together):
+        assert (quality.features(*raw([text]))[0] == row).all()
+        assert not text or np.allclose(row, slow_features(text), rtol=1e-12, atol=1e-12)
+    assert not quality.features(*raw(["", " "]))[:, -1].any()

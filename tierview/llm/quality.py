@@ -60,7 +60,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lengths = (sizes - kinds[:, 3] - kinds[:, 4]) / np.maximum(counts, 1)
     word = _shares_distinct(hashes, bounds)
     run = _shares_distinct(*words.shingled(hashes, bounds, 5))
-    same = np.concatenate((hashes[1:] == hashes[:-1], [False])) if len(hashes) else np.zeros(0, bool)
+    same = np.append(hashes[1:] == hashes[:-1], False)[: len(hashes)]
+    same[bounds[1:][bounds[1:] > 0] - 1] = False  # what follows a last word is another text's
     echoed = np.add.reduceat(np.append(same, False), np.minimum(bounds[:-1], len(same))) if n else np.zeros(0)
     line_hashes, line_bounds, _ = words.hashed(data, offsets, words.lines())
     line = _shares_distinct(line_hashes, line_bounds)
