@@ -148,3 +148,59 @@ def test_the_next_text_echoes_nothing():
         assert (quality.features(*raw([text]))[0] == row).all()
         assert not text or np.allclose(row, slow_features(text), rtol=1e-12, atol=1e-12)
     assert not quality.features(*raw(["", " "]))[:, -1].any()
+
+
+def pairwise(table, good, ranking, weights):
+    """Loss, slope and curvature over every pair of a good and a bad row."""
+    x = np.clip((table - ranking.mean) / ranking.spread, -6, 6)
+    difference = (x[good][:, None] - x[~good][None]).reshape(-1, table.shape[1])
+    gap = difference @ weights
+    p = 1 / (1 + np.exp(gap))
+    loss = np.logaddexp(0, -gap).mean() + quality.PENALTY / 2 * weights @ weights
+    slope = quality.PENALTY * weights - (difference * p[:, None]).mean(axis=0)
+    curve = (difference * (p * (1 - p))[:, None]).T @ difference / len(gap) + quality.PENALTY * np.eye(len(weights))
+    return loss, slope, curve
+
+
+def test_every_pair_counts():
+    """No pair is drawn: the slope over all of them is zero, and sums by node are those by pair, also far apart and in ties."""
+    rng = np.random.default_rng(5)
+    table = np.concatenate((rng.normal(size=(300, 4)), np.ones((300, 1))), axis=1)
+    table[40:80] = table[0]
+    for noise in (0, 0.3, 1):
+        good = table @ [1.0, -0.5, 0.2, 0, 0] + noise * rng.normal(size=300) > 0.3
+        ranking = quality.learned(table, good)
+        assert np.abs(pairwise(table, good, ranking, ranking.weights)[1]).max() < 1e-9
+        loss = quality._all_pairs(lambda part, _: {k: v.reshape(-1) for k, v in part(table, good).items()}, ranking, int(good.sum()), int((~good).sum()))
+        for weights in (np.zeros(5), ranking.weights, 10 * rng.normal(size=5), np.array([2.0, 0, 0, 0, 0])):
+            made, slope, curve = loss(weights)
+            for mine, slow in zip((made, slope, curve()), pairwise(table, good, ranking, weights)):
+                assert np.allclose(mine, slow, rtol=1e-10, atol=1e-10)
+
+
+def test_learns_from_every_labelled_row(spark):
+    """More labelled rows than were once learned from: mean, spread, weights and threshold are those of all of them."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["plain", "words", "Of", "some", "text,", "here.", "##", "77", "a\nb"], rng.integers(1, 9))) for _ in range(28_000)]
+    marks = [int(t.count("#") + rng.random() < 1.2) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int").repartition(5)
+    mine = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(mine) > 20_000
+    table, good = quality.features(*raw([texts[i] for i in mine])), np.array([marks[i] == 1 for i in mine])
+    whole = quality.learned(table, good)
+    ranking = quality.learn(docs, "doc_id", "text", labels, "quality")
+    for name in ("mean", "spread", "weights", "cut"):
+        assert np.allclose(getattr(ranking, name), getattr(whole, name), rtol=1e-7, atol=1e-7), name
+    ranks = np.sort(whole.raw(table))
+    assert abs(ranking.cut - (ranks[(~good).sum() - 1] + ranks[(~good).sum()]) / 2) < 1e-7
+
+
+def test_ranks_of_scores(spark):
+    rng = np.random.default_rng(8)
+    values = [*rng.normal(size=300).tolist(), *[0.25] * 200, np.nextafter(0.25, 1), np.nextafter(0.25, 0), -0.0, 0.0, -40.0, 1e9]
+    frame = spark.createDataFrame([(float(v),) for v in values], "s double").repartition(4).cache()
+    ranks = sorted(values)
+    at = ranks.index(0.25)
+    for rank in (1, 2, at - 1, at, at + 1, at + 199, at + 200, at + 201, len(values) - 1):
+        assert quality._halfway(frame, rank) == (ranks[rank - 1] + ranks[rank]) / 2
