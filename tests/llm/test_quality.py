@@ -171,7 +171,7 @@ def test_every_pair_counts():
         good = table @ [1.0, -0.5, 0.2, 0, 0] + noise * rng.normal(size=300) > 0.3
         ranking = quality.learned(table, good)
         assert np.abs(pairwise(table, good, ranking, ranking.weights)[1]).max() < 1e-9
-        loss = quality._all_pairs(lambda part, _: {k: v.reshape(-1) for k, v in part(table, good).items()}, ranking, int(good.sum()), int((~good).sum()))
+        loss = quality._all_pairs(lambda part: {k: v.reshape(-1) for k, v in part(table, good).items()}, ranking, int(good.sum()), int((~good).sum()))
         for weights in (np.zeros(5), ranking.weights, 10 * rng.normal(size=5), np.array([2.0, 0, 0, 0, 0])):
             made, slope, curve = loss(weights)
             for mine, slow in zip((made, slope, curve()), pairwise(table, good, ranking, weights)):

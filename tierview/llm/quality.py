@@ -37,8 +37,8 @@ BUCKETS = 1024
 
 #: Of the features and labels of some rows, sums under keys.
 Part = Callable[[np.ndarray, np.ndarray], dict[int, np.ndarray]]
-#: Those sums over all rows; each has the given size.
-Sums = Callable[[Part, int], dict[int, np.ndarray]]
+#: Those sums over all rows, each flat.
+Sums = Callable[[Part], dict[int, np.ndarray]]
 #: Of weights: the loss, its slope, and its curvature, which is made if called for.
 Loss = Callable[[np.ndarray], tuple[float, np.ndarray, Callable[[], np.ndarray]]]
 
@@ -134,11 +134,11 @@ def _unweighted(sums: Sums, width: int) -> tuple[Ranking, int, int]:
         return {k: np.append(len(own), own.sum(axis=0)) for k, own in enumerate((table[~good], table[good]))}
 
     none = np.zeros(1 + width)
-    totals = sums(counted, 1 + width)
+    totals = sums(counted)
     below, above = (int(round(totals.get(k, none)[0])) for k in (0, 1))
     rows = max(above + below, 1)
     mean = (totals.get(0, none) + totals.get(1, none))[1:] / rows
-    squares = sums(lambda table, _: {0: ((table - mean) ** 2).sum(axis=0)}, width).get(0, np.zeros(width))
+    squares = sums(lambda table, _: {0: ((table - mean) ** 2).sum(axis=0)}).get(0, np.zeros(width))
     spread = np.maximum(np.sqrt(squares / rows), 1e-6) if above + below else np.ones(width)
     return Ranking(mean, spread, np.zeros(width), 0.0), above, below
 
@@ -165,7 +165,7 @@ def _all_pairs(sums: Sums, ranking: Ranking, above: int, below: int) -> Loss:
             key, full = 2 * cell + good, np.concatenate((np.ones((len(x), 1)), x), axis=1)
             return {int(k): share[key == k].T @ full[key == k] for k in np.unique(key)}
 
-        nodes = {k: v.reshape(NODES, 1 + width) for k, v in sums(by_node, NODES * (1 + width)).items()}
+        nodes = {k: v.reshape(NODES, 1 + width) for k, v in sums(by_node).items()}
         bad = sorted(k for k in nodes if k % 2 == 0)
         places = np.concatenate([k // 2 + _PLACES for k in bad])
         n, x = np.concatenate([nodes[k][:, 0] for k in bad]), np.concatenate([nodes[k][:, 1:] for k in bad])
@@ -194,7 +194,7 @@ def _all_pairs(sums: Sums, ranking: Ranking, above: int, below: int) -> Loss:
                 own = np.array([bend[k] for k in (2 * cell + good).tolist()]).reshape(-1, NODES)
                 return {0: (x * (share * own).sum(axis=1)[:, None]).T @ x}
 
-            square = sums(bent, width * width)[0].reshape(width, width)
+            square = sums(bent)[0].reshape(width, width)
             return square - cross - cross.T + PENALTY * np.eye(width)
 
         return loss + PENALTY / 2 * float(weights @ weights), slope + PENALTY * weights, curve
@@ -243,7 +243,7 @@ def learned(table: np.ndarray, good: np.ndarray, pairs: int | None = None) -> Ra
     Of all pairs, as in ``learn``. Only with ``pairs``, which no query gives, so many drawn ones stand for them.
     """
     width = table.shape[1]
-    sums: Sums = lambda part, _: {k: v.reshape(-1) for k, v in part(table, good).items()}
+    sums: Sums = lambda part: {k: v.reshape(-1) for k, v in part(table, good).items()}
     ranking, above, below = _unweighted(sums, width)
     if not above or not below:
         return ranking
@@ -278,9 +278,13 @@ def _unpacked(batch: pa.RecordBatch, width: int) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, width: int) -> Sums:
-    """Sums over ``rows`` (x and good). A task sums what it reads; Spark adds those up, in decimals, so in any order."""
+    """Sums over ``rows`` (x and good). A task sums what it reads, and Spark brings a key's sums together."""
 
-    def sums(part: Part, size: int) -> dict[int, np.ndarray]:
+    def total(partial: pa.Table) -> pa.Table:
+        table = np.sort(np.stack([np.frombuffer(v) for v in partial.column("v").to_pylist()]), axis=0)  # whatever order they came in
+        return pa.table({"k": partial.column("k").slice(0, 1), "v": pa.array([table.sum(axis=0).tobytes()], pa.binary())})
+
+    def sums(part: Part) -> dict[int, np.ndarray]:
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[int, np.ndarray] = {}
             for batch in batches:
@@ -289,16 +293,10 @@ def _summed(rows: DataFrame, width: int) -> Sums:
                     for k, v in part(_unpacked(batch, width), good).items():
                         own[k] = own.get(k, 0) + v.reshape(-1)
             for k, v in own.items():
-                yield pa.record_batch([pa.array(np.full(size, k)), pa.array(np.arange(size)), pa.array(v, pa.float64())], names=["k", "i", "v"])
-
-        partial = rows.mapInArrow(summed, "k bigint, i bigint, v double")
-        totals = partial.groupBy("k", "i").agg(F.sum(F.col("v").cast("decimal(38,18)")).cast("double").alias("v")).toArrow()
-        out: dict[int, np.ndarray] = {}
-        key, i, v = (totals.column(c).to_numpy() for c in ("k", "i", "v"))
-        for k in np.unique(key).tolist():
-            out[k] = np.zeros(size)
-            out[k][i[key == k]] = v[key == k]
-        return out
+                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([v.astype(np.float64).tobytes()], pa.binary())], names=["k", "v"])
+
+        partial = rows.mapInArrow(summed, "k bigint, v binary")
+        return {r.k: np.frombuffer(r.v) for r in partial.groupBy("k").applyInArrow(total, "k bigint, v binary").collect()}
 
     return sums
 
