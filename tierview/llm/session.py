@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 #: Documents that a Python worker holds at once. Spark limits Arrow batches by rows only, so long texts need few rows.
 BATCH_ROWS = 1000
 
+#: With it, the shuffle files of a query go when it ends. A frame that is run again makes them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the session's Arrow batch size to ``rows``, as one worker decodes a whole batch of texts."""
@@ -36,19 +41,35 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is made and run inside go when it ends; else they stay until the driver's garbage is collected."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that lost executors cost no recomputation."""
+    """``df`` written to the shared folder, so that lost executors cost no recomputation. Its shuffle files go at once."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    with _shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint()  # a frame has the setting of when it was made
 
 
 def written(df: DataFrame) -> DataFrame:
     """As ``checkpointed``, in Parquet: smaller, and read as far as needed. The folder is new each time."""
     session = df.sparkSession
     path = f"{shared_folder(session)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(session):
+        df.write.parquet(path)
     return session.read.schema(df.schema).parquet(path)
 
 
